@@ -12,8 +12,10 @@ than a window span several; columns beside ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -61,41 +63,66 @@ class Ragged:
         return self.flat[np.repeat(begin - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
-class ChunkEncoder:
-    """Token ids of many texts by a ``tokenizers`` file.
+@lru_cache(8)
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """Ranks by which ``tiktoken`` gives the very ids of a ``tokenizers`` file; None if that is not proved.
 
-    Texts are cut at single spaces into chunks; a chunk not seen before is split by the pattern and
-    its words go to the library, each distinct word once.
+    Contracting the least rank among all pairs whose bytes are a token equals applying the file's
+    merges in their order if ids follow the merges and each token, taken alone, is contracted to
+    itself: a pair that spells a token has had no merge across its ends so far, so its inside went
+    the way of the token alone, and the pair is the token's own merge.
     """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or spec["normalizer"] or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space"):
+        return None
+    special = {x["content"] for x in spec["added_tokens"]}
+    vocab = {k: v for k, v in model["vocab"].items() if k not in special}
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    order = [vocab.get(x, -1) for x in made]
+    if len(set(made)) < len(made) or order != sorted(order) or sorted(vocab.values()) != list(range(len(vocab))) or len(vocab) != len(made) + 256:
+        return None
+    own = Tokenizer.from_file(path).model
+    if any([t.id for t in own.tokenize(k)] != [v] for k, v in vocab.items()):
+        return None
+    # the printable stand-ins of bytes
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    back = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in shown)}
+    return {bytes(back[c] for c in k): v for k, v in vocab.items()}
+
 
-    def __init__(self, path: str):
+class ChunkEncoder:
+    """Token ids of many texts by a ``tokenizers`` file; each distinct space-led chunk is encoded once."""
+
+    def __init__(self, path: str, ranks: dict[bytes, int] | None):
         quiet_threads()
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.batch = self.tokenizer.encode_batch
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            one = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.batch = lambda texts: [one(x) for x in texts]
+        else:
+            self.batch = lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.chunks = Ragged(self.dtype), Ragged(self.dtype)
+        self.chunks = Ragged(self.dtype)
 
     def learn(self, keys: list) -> None:
         """Encode chunks; a tuple is a text's first chunk, a string follows a space."""
-        split = [self.split(k[0] if isinstance(k, tuple) else " " + k) for k in keys]
-        words = list(chain.from_iterable(split))
-        if new := list(set(words).difference(self.words.rows)):
-            ids = [x.ids for x in self.batch(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.words.add(new, np.fromiter(chain.from_iterable(ids), self.dtype, int(lens.sum())), lens)
-        flat, ends = self.words.get(words)
-        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        at = np.concatenate([[0], ends])[np.concatenate([[0], last])]
-        self.chunks.add(keys, flat, np.diff(at))
+        ids = self.batch([k[0] if isinstance(k, tuple) else " " + k for k in keys])
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.chunks.add(keys, np.fromiter(chain.from_iterable(ids), self.dtype, int(lens.sum())), lens)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.chunks.rows) > REMEMBERED:
@@ -118,26 +145,28 @@ class ChunkEncoder:
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         if whole:
-            for k, x in zip(whole, self.batch(list(whole.values()), add_special_tokens=False)):
-                out[k] = np.array(x.ids, dtype=self.dtype)
+            for k, ids in zip(whole, self.batch(list(whole.values()))):
+                out[k] = np.array(ids, dtype=self.dtype)
         return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, ranks: dict[bytes, int] | None) -> ChunkEncoder:
     """One encoder for each worker process, kept across its tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path, ranks)
     return _ENCODERS[path]
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """``(part, begin, doc_id, n, width, ids)``: little-endian ids with the end id; begin is within the part."""
 
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(path))
+
     def make():
-        enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(path, ranks.value), TaskContext.get().partitionId(), 0
 
         def f(rows, texts):
             nonlocal at
