@@ -87,9 +87,18 @@ def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_CHARS) -
     yield part, part.column(column).to_pylist()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text reach Python 1,000 at a time where the session has the default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")
+
+
 def map_steps(df: DataFrame, schema: str, make: Callable[[], Callable], column: str = "text") -> DataFrame:
     """``mapInArrow`` by bounded slices: ``make()`` runs once a task and gives ``f(slice, texts) -> RecordBatch``."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         f = make()
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfront.llm.common import documents, map_steps, quiet_threads
+from gridfront.llm.common import documents, map_steps, quiet_threads, small_batches
 
 BUCKETS = 128
 #: Weights of the byte values in a triplet's hash, odd and far apart; one row for each kind of triplet.
@@ -122,6 +122,7 @@ def edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     next document in order of ``doc_id``, or by all of it; the first document follows the last.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(docs.sparkSession)
     rows = in_order(docs, parts)
     rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "last", "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -30,7 +30,7 @@ from gridfront.llm.common import cut, documents, map_steps, quiet_threads
 #: a byte-level pre-tokenizer may not start a new match.
 UNSAFE_SPACE = re.compile(r"\s \s|\s $")
 #: Distinct chunks that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -100,19 +100,21 @@ class ChunkEncoder:
 
     def __init__(self, path: str, ranks: dict[bytes, int] | None):
         quiet_threads()
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         if ranks:
             import public_tokenizers
             import tiktoken
 
+            size = len(ranks)
             one = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self.batch = lambda texts: [one(x) for x in texts]
         else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            size = tokenizer.get_vocab_size()
             self.batch = lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
     def clear(self) -> None:
