@@ -180,6 +180,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[D
     some = cut(candidates(docs, cut(wanted, "passages-wanted"), window, gram), "passages-some")
     windows = some.select("uid", "doc_id", F.explode(F.arrays_zip("at", "h", "g")).alias("w")).select("uid", "doc_id", "w.at", "w.h", "w.g")
     first = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo")
+    first = cut(first, "passages-first")  # so that the join reads two exchanges, of which a hot passage's can be split
     hits = windows.join(first, ["h", "g"]).filter("doc_id > lo").groupBy("uid").agg(F.collect_set("at").alias("starts"))
     parts = some.drop("at", "h", "g").join(cut(hits, "passages-hits"), "uid").select("doc_id", "th", "text", "starts")
     marked = rows.join(classes.select("whole", "least"), "whole", "left")
