@@ -3,17 +3,19 @@
 Two codebooks, learned independently on the halves of the unit vectors, form a product grid of
 cells; each vector lies in the cell of its nearest centroids. For every vector the multi-sequence
 traversal walks the grid from the nearest cells outwards, in the order of the sum of two sorted
-sequences, and stops as soon as the target recall is reached: the sequences are lower bounds of the
-squared distance from the vector to a half's Voronoi cells, so once their sum exceeds the greatest
-squared distance of a link, no unvisited cell holds one and recall is 1. Candidates are then
-verified by their cosine in double precision.
+sequences (lower bounds of the squared distance from the vector to a half's Voronoi cells), and
+stops at the reach that gives the target recall. The reach is measured: ``PROBES`` vectors are
+compared with all others by brute force, and it is the least at which ``RECALL`` of their links lie
+in a cell that one end visits. Where the probes have no link, it is the squared distance of the
+weakest link, which misses none. Candidates are then verified by their cosine in double precision.
 
-Only vectors with equal labels meet. Equal vectors are one class with a count. A cell with many
-members is dealt out in square blocks of ``BLOCK`` by ``BLOCK`` members. A block yields counts and
-links that span its components, at most one row a member, never its pairs.
+A link counts for both ends, whichever of them visited the other. Only vectors with equal labels
+meet. Equal vectors are one class with a count. A cell with many members is dealt out in square
+blocks. A block yields counts and links that span its components, at most one row a member, never
+its pairs.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors (least ``xxhash64(vec_id)``); every vector is
-indexed. Fit and index do not depend on each other's results: any codebook gives the same links.
+indexed, and the grid grows with the number of vectors.
 
 Cases: null labels, and vectors that are null, empty, zero, or hold null or non-finite numbers, link
 with nothing, and neither do vectors whose length is not that of most sampled ones; a null
@@ -27,12 +29,15 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfront.llm.common import components, cut, quiet_threads
 
-SAMPLE, CENTROIDS, BLOCK = 8_000, 16, 20_000
+SAMPLE, PROBES, RECALL = 8_000, 1_000, 0.995
+#: Members a side of a block, the most cells that are dealt out in blocks, and steps of the measured reach.
+BLOCK, DEALT, STEPS = 20_000, 50_000, 400
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -70,118 +75,162 @@ def traverse(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int, int]]
 
 
 class Index:
-    """Codebooks of both halves, and the radius within which links lie."""
+    """Codebooks of both halves, and how far the traversal goes."""
 
-    def __init__(self, sample: np.ndarray, threshold: float, centroids: int = CENTROIDS):
+    def __init__(self, sample: np.ndarray, threshold: float, centroids: int):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.half = max(1, unit.shape[1] // 2)
         self.books = [kmeans(unit[:, : self.half], centroids, 1), kmeans(unit[:, self.half :], centroids, 2) if unit.shape[1] > 1 else np.zeros((1, 0))]
-        self.most = 2 - 2 * threshold + 1e-9
+        self.most = self.reach = 2 - 2 * threshold + 1e-9
 
-    def cells(self, x: np.ndarray) -> list[list[int]]:
-        """For each row the cells to visit; the first is its own."""
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        sides = []
+    def size(self) -> int:
+        return len(self.books[0]) * len(self.books[1])
+
+    def bounds(self, unit: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Bounds to each half's cells, 0 for the own one, and the own cells of the grid."""
+        sides, own = [], []
         for part, book in zip((unit[:, : self.half], unit[:, self.half :]), self.books):
-            bound = cell_bounds(part, book)
-            near = ((part[:, None, :] - book[None]) ** 2).sum(axis=2) if part.shape[1] else np.zeros((len(part), 1))
-            bound[np.arange(len(part)), near.argmin(axis=1)] = -1.0  # its own cell stands first
-            order = bound.argsort(axis=1, kind="stable")
-            sides.append((order, np.maximum(np.take_along_axis(bound, order, axis=1), 0.0)))
-        (o1, b1), (o2, b2) = sides
+            near = ((part[:, None, :] - book[None]) ** 2).sum(axis=2).argmin(axis=1)
+            bound = np.maximum(cell_bounds(part, book), 1e-12)
+            bound[np.arange(len(part)), near] = 0.0
+            sides.append(bound)
+            own.append(near)
+        return sides, own[0] * len(self.books[1]) + own[1]
+
+    def cells(self, unit: np.ndarray) -> list[list[int]]:
+        """For each row the cells to visit; the first is its own."""
+        sides, _ = self.bounds(unit)
+        order = [b.argsort(axis=1, kind="stable") for b in sides]
+        rising = [np.take_along_axis(b, o, axis=1) for b, o in zip(sides, order)]
         k = len(self.books[1])
-        return [[int(o1[r, i]) * k + int(o2[r, j]) for i, j in traverse(b1[r], b2[r], self.most)] for r in range(len(x))]
+        return [[int(order[0][r, i]) * k + int(order[1][r, j]) for i, j in traverse(rising[0][r], rising[1][r], self.reach)] for r in range(len(unit))]
 
 
-def verify(own: np.ndarray, asking: np.ndarray, times: np.ndarray, same: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of asking rows to own rows (unit vectors): their number, and component roots over both.
+def united(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the components of the pairs in ``label``: each root takes the least label met."""
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            return
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not ((up := label[label]) == label).all():
+            label[:] = up
 
-    ``same`` is the place of an asking row among the own rows, -1 if it is none; it is no link of its own.
-    Roots number the own rows first, then the asking ones.
+
+def verify(own: dict, asking: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between own and asking rows: what each row of either gains, and component roots over both.
+
+    Rows have unit vectors ``x``, ``node``, ``times`` and ``home`` cell; own rows also ``visits``, a
+    boolean matrix of the cells they visit. An asking row gains the copies of the rows it finds; an
+    own row gains those of the rows that find it and that it does not visit. Own rows stand first.
     """
-    n, m = len(own), len(asking)
-    count, label = np.zeros(m, np.int64), np.arange(n + m)
-    label[n:][same >= 0] = same[same >= 0]
+    n, m = len(own["node"]), len(asking["node"])
+    gain, label = np.zeros(n + m, np.int64), np.arange(n + m)
     for a in range(0, m, 1024):
         for b in range(0, n, 2048):
-            near = asking[a : a + 1024] @ own[b : b + 2048].T >= threshold
-            rows = np.arange(a, min(a + 1024, m))
-            inside = (same[rows] >= b) & (same[rows] < b + 2048)
-            near[np.flatnonzero(inside), same[rows[inside]] - b] = False
-            count[rows] += near @ times[b : b + 2048]
+            near = asking["x"][a : a + 1024] @ own["x"][b : b + 2048].T >= threshold
+            near &= asking["node"][a : a + 1024, None] != own["node"][None, b : b + 2048]
+            gain[n + a : n + a + len(near)] += near @ own["times"][b : b + 2048]
+            unseen = near & ~own["visits"][b : b + 2048][:, asking["home"][a : a + 1024]].T
+            gain[b : b + near.shape[1]] += asking["times"][a : a + 1024] @ unseen
             x, y = np.nonzero(near)
-            x, y = x + a + n, y + b
-            while True:  # each root takes the least label met
-                p, q = label[x], label[y]
-                apart = p != q
-                if not apart.any():
-                    break
-                x, y, p, q = x[apart], y[apart], p[apart], q[apart]
-                np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-                while not ((up := label[label]) == label).all():
-                    label[:] = up
-    return count, label
-
-
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, centroids: int = CENTROIDS, block: int = BLOCK) -> DataFrame:
+            united(label, x + a + n, y + b)
+    return gain, label
+
+
+def vectors_of(column: pa.Array, kind: str, dim: int) -> np.ndarray:
+    """Unit vectors, in double precision, of a column of raw vectors."""
+    x = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = RECALL, block: int = BLOCK, centroids: int | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
     spark = rows.sparkSession
-    v = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").alias("label"))
+    single = rows.schema["embedding"].dataType.simpleString() == "array<float>"
+    element, kind = ("float", "<f4") if single else ("double", "<f8")
+    v = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("e"), F.col("label").cast("string").alias("label"))
     sound = "label is not null and e is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)"
     v = v.withColumn("ok", F.coalesce(F.expr(sound), F.lit(False))).withColumn("k1", F.xxhash64("label", "e")).withColumn("k2", F.hash("label", "e"))
     classes = v.filter("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("e").alias("e"))
     classes = cut(classes.withColumn("node", F.xxhash64("k1", "k2")), "vectors")
-    sample = classes.select("least", "e").orderBy(F.xxhash64("least"), "least").limit(SAMPLE).collect()
+    total = classes.count()
+    sample = classes.select("node", "label", "e").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
     sizes: dict[int, int] = {}
     for r in sample:
         sizes[len(r.e)] = sizes.get(len(r.e), 0) + 1
     dim = max(sizes, key=lambda k: (sizes[k], k), default=1)
-    index = Index(np.array([r.e for r in sample if len(r.e) == dim] or [[1.0]]), threshold, centroids)
-    shared = spark.sparkContext.broadcast(index)
-    label_type = classes.schema["label"].dataType.simpleString()
+    sample = [r for r in sample if len(r.e) == dim]
+    index = Index(np.array([r.e for r in sample] or [[1.0] * dim], dtype=np.float64), threshold, centroids or int(np.clip(round((total / 2000) ** 0.5), 8, 256)))
+
+    def raw(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), b.column("times"), pa.array([np.array(e, kind).tobytes() for e in b.column("e").to_pylist()], pa.binary())], ["node", "label", "times", "x"])
 
-    def unit(batch) -> np.ndarray:
-        x = np.array(batch.column("e").to_pylist(), dtype=np.float64).reshape(batch.num_rows, dim)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    fit = classes.filter(F.size("e") == dim).select("node", "label", "times", "e").mapInArrow(raw, "node long, label string, times long, x binary")
+    index.reach = measured_reach(fit, index, sample[:PROBES], threshold, recall, kind, dim)
+    shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
         quiet_threads()
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                x = unit(batch)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("times"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(shared.value.cells(x), pa.list_(pa.int32()))], ["node", "label", "times", "x", "cells"])
-
-    fit = classes.filter(F.size("e") == dim).select("node", "label", "times", "e")
-    placed = cut(fit.mapInArrow(assign, f"node long, label {label_type}, times long, x binary, cells array<int>"), "vectors-cells")
-    # a cell's blocks: as many a side as its members need
-    counts = placed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").count()
-    sides = counts.filter(F.col("count") > block).select(F.col("label").alias("_l"), F.col("cell").alias("_c"), F.ceil(F.col("count") / block).cast("int").alias("side"))
-    spread = placed.select("node", "label", "times", "x", F.posexplode("cells").alias("k", "cell"))
-    spread = spread.join(sides, (F.col("label") == F.col("_l")) & (F.col("cell") == F.col("_c")), "left").withColumn("side", F.coalesce("side", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
-    spread = spread.withColumn("mine", mine).withColumn("others", F.sequence(F.lit(0), F.col("side") - 1))
-    asking = spread.select("label", "cell", F.explode("others").alias("a"), F.col("mine").alias("b"), "node", "times", "x", F.lit(False).alias("own"))
-    owning = spread.filter("k = 0").select("label", "cell", F.col("mine").alias("a"), F.explode("others").alias("b"), "node", "times", "x", F.lit(True).alias("own"))
+                b = whole.slice(at, 2048)
+                cells = shared.value.cells(vectors_of(b.column("x"), kind, dim))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
+
+    placed = cut(fit.mapInArrow(assign, "node long, label string, times long, x binary, cells array<int>"), "vectors-cells")
+    counts = cut(placed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").count(), "vectors-counts")
+    while counts.filter(F.col("count") > block).count() > DEALT:
+        block *= 2
+    sides = {(r.label, r.cell): -(-r["count"] // block) for r in counts.filter(F.col("count") > block).collect()}
+    sides = spark.sparkContext.broadcast(sides)
+
+    def deal(batches):
+        quiet_threads()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                take, cell, first, second, own, home = [], [], [], [], [], []
+                for k, (node, label, cells) in enumerate(zip(b.column("node").to_pylist(), b.column("label").to_pylist(), b.column("cells").to_pylist())):
+                    for c in cells:
+                        side = sides.value.get((label, c), 1)
+                        mine = node % side
+                        for other in range(side):
+                            for holds, i, j in ((False, other, mine), (True, mine, other))[: 1 + (c == cells[0])]:
+                                take.append(k)
+                                cell.append(c)
+                                first.append(i)
+                                second.append(j)
+                                own.append(holds)
+                                home.append(cells[0])
+                part = b.select(["node", "label", "times", "x"]).take(pa.array(take, pa.int32()))
+                visits = b.column("cells").take(pa.array([k if o else None for k, o in zip(take, own)], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.array(own, pa.bool_()), pa.array(home, pa.int32()), visits], [*part.schema.names, "cell", "a", "b", "own", "home", "visits"])
+
+    dealt = placed.mapInArrow(deal, "node long, label string, times long, x binary, cell int, a int, b int, own boolean, home int, visits array<int>")
+    grid = index.size()
 
     def meet(table: pa.Table) -> pa.Table:
         quiet_threads()
-        own = np.array(table.column("own").to_pylist())
-        node, times = table.column("node").to_numpy(), table.column("times").to_numpy()
-        x = np.array([np.frombuffer(r, np.float64) for r in table.column("x").to_pylist()]).reshape(len(node), dim)
-        holds, asks = node[own], node[~own]
-        order = holds.argsort()
-        holds = holds[order]
-        spot = np.searchsorted(holds, asks)
-        hit = (spot < len(holds)) & (holds[np.minimum(spot, len(holds) - 1)] == asks) if len(holds) else np.zeros(len(asks), bool)
-        count, label = verify(x[own][order], x[~own], times[own][order], np.where(hit, spot, -1), threshold)
-        names = np.concatenate([holds, asks])
-        root = names[label[len(holds) :]]
-        some = (count > 0) | (root != asks)
-        return pa.table({"u": asks[some], "v": root[some], "n": count[some]})
-
-    met = cut(owning.union(asking).groupBy("label", "cell", "a", "b").applyInArrow(meet, "u long, v long, n long"), "vectors-links")
+        sides_ = []
+        for part in (table.filter(table.column("own")), table.filter(pc.invert(table.column("own")))):
+            sides_.append({"x": vectors_of(part.column("x"), kind, dim), "node": part.column("node").to_numpy(), "times": part.column("times").to_numpy(), "home": part.column("home").to_numpy()})
+            if len(sides_) == 1:
+                seen = np.zeros((len(part), grid), bool)
+                for k, cells in enumerate(part.column("visits").to_pylist()):
+                    seen[k, cells] = True
+                sides_[0]["visits"] = seen
+        gain, label = verify(*sides_, threshold)
+        names = np.concatenate([s["node"] for s in sides_])
+        root = names[label]
+        some = (gain > 0) | (root != names)
+        return pa.table({"u": names[some], "v": root[some], "n": gain[some]})
+
+    met = cut(dealt.groupBy("label", "cell", "a", "b").applyInArrow(meet, "u long, v long, n long"), "vectors-links")
     joined = components(met.filter("u <> v").select("u", "v"), "vectors")
     links = met.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     known = classes.select("node", "k1", "k2", "least", "times").join(links, "node", "left").join(joined, "node", "left").select("k1", "k2", "least", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
@@ -191,3 +240,48 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, centroids: int = C
     out = v.select("vec_id", "ok", "k1", "k2").join(known, ["ok", "k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def measured_reach(fit: DataFrame, index: Index, probes: list, threshold: float, recall: float, kind: str, dim: int) -> float:
+    """The least reach at which the share ``recall`` of the probes' links is found from either end."""
+    by_label: dict[str, list] = {}
+    for r in probes:
+        by_label.setdefault(r.label, []).append(r)
+    packed = {k: ([r.node for r in rs], np.array([r.e for r in rs], dtype=np.float64)) for k, rs in by_label.items()}
+    shared = fit.sparkSession.sparkContext.broadcast((index, packed))
+
+    def weigh(batches):
+        quiet_threads()
+        own, probes_ = shared.value
+        prepared = {}
+        for k, (nodes, e) in probes_.items():
+            unit = e / np.linalg.norm(e, axis=1, keepdims=True)
+            prepared[k] = (np.array(nodes), unit, *own.bounds(unit))
+        steps = np.zeros(STEPS + 1, np.int64)
+        books = len(own.books[1])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                labels = np.array(b.column("label").to_pylist(), dtype=object)
+                x, node = vectors_of(b.column("x"), kind, dim), b.column("node").to_numpy()
+                for k in set(labels):
+                    if k not in prepared:
+                        continue
+                    rows = np.flatnonzero(labels == k)
+                    names, unit, sides, homes = prepared[k]
+                    i, j = np.nonzero((x[rows] @ unit.T >= threshold) & (node[rows][:, None] != names[None]))
+                    if len(i):
+                        theirs, cells = own.bounds(x[rows])
+                        there = theirs[0][i, homes[j] // books] + theirs[1][i, homes[j] % books]
+                        back = sides[0][j, cells[i] // books] + sides[1][j, cells[i] % books]
+                        need = np.minimum(there, back)
+                        steps += np.bincount(np.minimum(np.ceil(need / own.most * STEPS).astype(int), STEPS), minlength=STEPS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(steps).astype(np.int32)), pa.array(steps[steps > 0])], ["step", "n"])
+
+    found = {r.step: r.n for r in fit.mapInArrow(weigh, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    total, so_far = sum(found.values()), 0
+    for step in sorted(found):
+        so_far += found[step]
+        if so_far >= recall * total:
+            return index.most * step / STEPS + 1e-9
+    return index.most
