@@ -67,6 +67,10 @@ def grid_components(cells: DataFrame, keys: list[str]) -> DataFrame:
         if not moved.filter("label <> was").limit(1).count():
             break
         now = moved.select(*keys, "x", "y", "label")
-    # numbers by rank of the first cell: one row a component is ranked
-    heads = moved.groupBy(*keys).agg(F.array_sort(F.collect_set("label")).alias("all"))
-    return moved.join(heads, keys).select(*keys, "x", "y", (F.array_position("all", F.col("label")) - 1).cast("int").alias("component"))
+    # numbers by the order of first cells: global positions of the distinct labels, counted from each group's first
+    from gridfront.operators.ordering import running_total
+
+    heads = running_total(moved.select(*keys, "label").distinct().withColumn("one", F.lit(1)), [*keys, "label"], "one", "place")
+    first = heads.groupBy(*keys).agg(F.min("place").alias("first"))
+    heads = heads.join(first, keys).select(*keys, "label", (F.col("place") - F.col("first")).cast("int").alias("component"))
+    return moved.join(heads, [*keys, "label"]).select(*keys, "x", "y", "component")

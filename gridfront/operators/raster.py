@@ -15,7 +15,8 @@ from gridfront.functions import scalars as S
 
 def sized(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the grid's ``width`` and ``height``."""
-    return cells.join(cells.groupBy(*keys).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")), keys)
+    size = cells.groupBy(*keys).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return cells.join(size, keys) if keys else cells.join(F.broadcast(size))  # one row without keys
 
 
 def mean_pool(cells: DataFrame, k: int, columns: list[str], keys: list[str]) -> DataFrame:

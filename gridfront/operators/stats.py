@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfront.operators.ordering import running_total
+
 
 def group_quartiles(rows: DataFrame, keys: list[str], metrics: list[str], feasible: str = "feasible") -> DataFrame:
     """Feasible count and rate over all rows, quartiles of each metric over feasible rows."""
@@ -46,7 +48,7 @@ def paired_summary(diffs: DataFrame) -> DataFrame:
     """
     base = diffs.agg(F.count("*").alias("n"), F.percentile("diff", 0.5).alias("median_difference"), F.avg((F.col("diff") > 0).cast("double")).alias("superiority_rate"))
     ties = diffs.filter(F.abs("diff") > 1e-12).groupBy(F.abs("diff").alias("m")).agg(F.count("*").alias("t"), F.sum(F.signum("diff")).alias("s"))
-    ranked = ties.withColumn("rank", F.sum("t").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("t") - 1) / 2)
+    ranked = running_total(ties, ["m"], "t", "upto").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
     effect = ranked.agg((F.sum(F.col("s") * F.col("rank")) / F.sum(F.col("t") * F.col("rank"))).alias("rank_biserial"), F.sum("t").alias("nonzero"))
     return base.join(F.broadcast(effect))  # one row each
 
