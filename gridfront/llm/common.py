@@ -61,6 +61,14 @@ def release(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, led by as many underscores as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(column: Column, parts: int) -> Column:
     """``crc32`` of the value as text, modulo ``parts``; null values go to 0."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % parts, F.lit(0))

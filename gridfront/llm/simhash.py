@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfront.llm.common import components, cut, documents, map_steps, quiet_threads, release
+from gridfront.llm.common import components, cut, documents, free_name, map_steps, quiet_threads, release
 
 BITS, BUDGET = 64, 3
 #: Node pairs that descend together.
@@ -208,7 +208,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The documents with one row of each component: that of the least ``doc_id``.
 
-    Rows without a ``doc_id`` stay, for nothing tells which of them to keep.
+    Rows without a ``doc_id`` stay, for nothing tells which of them to keep; rows that repeat one
+    ``doc_id`` are one document and stay together.
     """
-    found = near_duplicates(docs, shingle).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_first"], "left").filter("_first is not null or doc_id is null").drop("_first")
+    first = free_name(docs, "first")
+    found = near_duplicates(docs, shingle).filter("doc_id = component_id").select(F.col("doc_id").alias(first)).distinct()
+    rows = docs.join(found, docs["doc_id"].cast("long") == found[first], "left")
+    return rows.filter(found[first].isNotNull() | docs["doc_id"].isNull()).drop(first)

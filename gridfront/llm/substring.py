@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfront.llm.common import cut, documents, map_steps, quiet_threads
+from gridfront.llm.common import cut, documents, free_name, map_steps, quiet_threads
 
 WINDOW, GRAM = 50, 20
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -222,14 +222,15 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
     cuts = map_steps(parts, "doc_id long, th long, _new string", make)
     edits = marked.filter("copy").select("doc_id", "th", F.lit("").alias("_new")).union(cuts).dropDuplicates(["doc_id", "th"])
-    edits = edits.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_new")
-    out = docs.join(edits, (docs["doc_id"].cast("long") == edits["_id"]) & (F.xxhash64(docs["text"]) == edits["_th"]), "left")
+    id_, th, new = (free_name(docs, c) for c in ("edit_id", "edit_hash", "edit_text"))
+    edits = edits.select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("_new").alias(new))
+    out = docs.join(edits, (docs["doc_id"].cast("long") == edits[id_]) & (F.xxhash64(docs["text"].cast("string")) == edits[th]), "left")
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.coalesce("_new", docs["text"]).alias("text"))
+            columns.append(F.coalesce(edits[new], docs["text"]).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("_new").isNotNull(), F.length("_new").cast("long")).otherwise(docs[c]).alias(c))
+            columns.append(F.when(edits[new].isNotNull(), F.length(edits[new]).cast("long")).otherwise(docs[c]).alias(c))
         else:
             columns.append(docs[c])
     return out.select(*columns)
