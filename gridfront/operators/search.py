@@ -30,7 +30,7 @@ class Graph:
         self.start, self.goal = (int(first.sx), int(first.sy)), (int(first.gx), int(first.gy))
         self.out: dict = defaultdict(list)
         self.into: dict = defaultdict(list)
-        for r in pdf[pdf.c1.notna()].itertuples():
+        for r in pdf[pdf.c1.notna()].sort_values(["x", "y", "x1", "y1"]).itertuples():
             a, b, c = (int(r.x), int(r.y)), (int(r.x1), int(r.y1)), (r.c1, r.c2, r.c3)
             self.out[a].append((b, c))
             self.into[b].append((a, c))
