@@ -235,7 +235,9 @@ def search(edges: DataFrame, params: DataFrame, methods: tuple[str, ...] = ("exa
         rows = [(case, method, k, *c, path, popped, made) for k, (c, path) in enumerate(routes)]
         return pd.DataFrame(rows, columns=NAMES, dtype=object)
 
-    return rows.groupBy("case_id", "method").applyInPandas(run, ROUTES)
+    # dealt out by number, so that small cases are not put together into one task
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "case_id", "method").groupBy("case_id", "method").applyInPandas(run, ROUTES)
 
 
 def exhaustive_front(g: Graph) -> list[tuple]:

@@ -507,25 +507,24 @@ def baseline_deltas(spark, sf):
     return rounded(b.join(t, "scenario").select("scenario", "method", (F.col("b") - F.col("base")).alias("delta")), ["delta"])
 
 
+def searched(spark: SparkSession, names: tuple[str, ...], methods: tuple[str, ...]) -> DataFrame:
+    e = p = None
+    for c, q in maps.many(spark, names):
+        x = edges.edges(c, q)
+        e, p = (x, q) if e is None else (e.unionByName(x), p.unionByName(q))
+    return search.search(e, p, methods)
+
+
 @query("exact_front")
 def exact_front(spark, sf):
     """All routes of the control maps; the tables do not enter."""
-    out = None
-    for name in (*maps.BUILT_IN, "demo", "brute"):
-        c, p = maps.control_map(spark, name)
-        e = edges.edges(c, p)
-        out = (e, p) if out is None else (out[0].unionByName(e), out[1].unionByName(p))
-    return search.search(*out)
+    return searched(spark, (*maps.BUILT_IN, "demo", "brute"), ("exact",))
 
 
 @query("weighted_fronts")
 def weighted_fronts(spark, sf):
-    out = None
-    for name in ("lake", "nfz", "foggy_valley"):
-        c, p = maps.control_map(spark, name)
-        e = edges.edges(c, p)
-        out = (e, p) if out is None else (out[0].unionByName(e), out[1].unionByName(p))
-    return search.search(*out, ("time_only", "repeated_weighted"))
+    """Time-only and repeated weighted routes of the control maps; the tables do not enter."""
+    return searched(spark, maps.BUILT_IN, ("time_only", "repeated_weighted"))
 
 
 @query("grid_route")

@@ -93,16 +93,31 @@ def control_map(spark: SparkSession, name: str, seed: int | None = None, case_id
     for c, a in drawn(name, h, w, seed).items():
         values[c] = F.element_at(F.lit([float(z) for z in a.ravel()]), (F.col("y") * w + F.col("x") + 1).cast("int"))
     kinds = {c: "boolean" if c == "occ" else "float" if c in single(name) else "double" for c in values}
-    cells = base.select("*", *[v.cast(kinds[c]).alias(c) for c, v in values.items()])
+    # only the averaged layers keep single precision as a type; the others are rounded to it and widened
+    wide = lambda c, v: v.cast(kinds[c]).cast("double") if c in ("dem", "u", "v") else v.cast(kinds[c])
+    cells = base.select("*", *[wide(c, v).alias(c) for c, v in values.items()])
     p = {"case_id": case, "width": w, "height": h, "resolution_m": res, "start": (0, h - 1), "goal": (w - 1, 0), "v_air": 15.0, "v_max": 12.0, "v_air_min": 0.1, "v_air_max": None, "z_max_m": None, "agl_m": None, "clearance_m": None, "battery_wh": None, "reserve_wh": None, "power_w": None, "min_turn_radius_m": None, "sites": None}
     p |= {"foggy_valley": {"start": (0, 1), "goal": (4, 1)}, "mountain_pass": {"start": (0, 2), "goal": (2, 0), "agl_m": 20.0, "z_max_m": 50.0}, "brute": {"start": (0, 0), "goal": (2, 3)}, "realistic": {"start": (1, 16), "goal": (26, 1), "v_air_min": 10.0, "v_air_max": 22.0, "z_max_m": 205.0, "agl_m": 55.0, "battery_wh": 18.0, "reserve_wh": 3.0, "power_w": 450.0, "min_turn_radius_m": 10.0, "sites": [(1, 16), (25, 2)]}}.get(name, {})
     return cells, spark.createDataFrame([tuple(p.values())], PARAMS)
 
 
 def built_in(spark: SparkSession, names: tuple[str, ...] = BUILT_IN) -> list[tuple[DataFrame, DataFrame]]:
+    """The benchmark's control maps; unknown names are an error."""
+    if wrong := set(names) - set(BUILT_IN):
+        raise ValueError(f"unknown maps: {', '.join(sorted(wrong))}")
     return [control_map(spark, n) for n in names]
 
 
+def many(spark: SparkSession, names: tuple[str, ...]) -> list[tuple[DataFrame, DataFrame]]:
+    """The named maps as one relation for each precision of the averaged layers."""
+    groups: dict[str, tuple[DataFrame, DataFrame]] = {}
+    for name in names:
+        c, p = control_map(spark, name)
+        kind = dict(c.dtypes)["nav"]
+        groups[kind] = (groups[kind][0].unionByName(c), groups[kind][1].unionByName(p)) if kind in groups else (c, p)
+    return list(groups.values())
+
+
 def archive(spark: SparkSession, path: str, case_id: str, start: tuple | None = None, goal: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """A map from an ``.npz`` archive of aligned layers, read from any file system that Spark reads."""
     import io

@@ -27,8 +27,7 @@ GOLD = {
 
 def together(spark, names):
     e = p = None
-    for n in names:
-        c, q = maps.control_map(spark, n)
+    for c, q in maps.many(spark, tuple(names)):
         x = edges.edges(c, q)
         e, p = (x, q) if e is None else (e.unionByName(x), p.unionByName(q))
     return e, p
