@@ -1,10 +1,10 @@
 """Quartile bucket digests of documents, compared by a bounded difference score.
 
-Byte triplets inside a sliding window of five bytes are hashed into 128 buckets. A bucket's code is
-the quartile of its count among all counts (two bits), before which stand a logarithmic length and
-the ratios of the quartiles. The difference of two digests sums the code distances (a jump over two
-quartiles counts double) and the header's distances, each of them bounded; likeness is one minus the
-difference over its greatest value.
+Byte triplets are hashed into 1,024 buckets. A bucket's code is the quartile of its count among all
+counts (two bits), before which stand a logarithmic length and the ratios of the quartiles. The
+difference of two digests sums the code distances (from the lowest to the highest quartile counts
+double) and the header's distances; it is bounded at half of the greatest possible sum, where texts
+without anything in common lie, and likeness is one minus the difference over that bound.
 
 Cases: a null text counts as empty; texts with fewer than three bytes have no triplets, so their
 digest is the length and, for any bytes at all, their checksum; equal texts have equal digests; a
@@ -25,31 +25,29 @@ from pyspark.sql import functions as F
 
 from gridfront.llm.common import documents, map_steps, quiet_threads, small_batches
 
-BUCKETS = 128
-#: Weights of the byte values in a triplet's hash, odd and far apart; one row for each kind of triplet.
-MIX = np.array([[0x9E3B, 0x85EB, 0xC2B3], [0x27D5, 0x165F, 0xD3A3], [0xB55B, 0x2C1D, 0x9F4B]], dtype=np.uint32)
-#: Places of the three bytes of each kind of triplet, the last byte at 0.
-PLACES = ((0, 1, 2), (0, 1, 3), (0, 2, 4))
+BUCKETS = 1024
+#: Odd weights of the three byte values in a triplet's hash.
+MIX = np.array([0x9E3B, 0x85EB, 0xC2B3], dtype=np.uint32)
 LENGTH_MOST, RATIO_MOST = 12, 7
-MOST = 6 * BUCKETS + 8 * LENGTH_MOST + 2 * 4 * RATIO_MOST
+#: Greatest difference of the codes, and of all parts with their weights; differences are bounded at half of that.
+CODES_MOST = 6 * BUCKETS
+MOST = CODES_MOST + 64 * LENGTH_MOST + 2 * 32 * RATIO_MOST
+BOUND = MOST // 2
 
 
 def counts(raw: bytes) -> np.ndarray:
     """Occurrences of the hashed triplets by bucket."""
     x = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    total = np.zeros(BUCKETS, np.int64)
-    for mix, (a, b, c) in zip(MIX, PLACES):
-        if len(x) > c:
-            h = x[c - a :] * mix[0]
-            h = h[: len(x) - c] + x[c - b : len(x) - b] * mix[1] + x[: len(x) - c] * mix[2]
-            h ^= h >> 15
-            h *= np.uint32(0x85EBCA6B)
-            total += np.bincount(h >> 25, minlength=BUCKETS)
-    return total
+    if len(x) < 3:
+        return np.zeros(BUCKETS, np.int64)
+    h = x[:-2] * MIX[0] + x[1:-1] * MIX[1] + x[2:] * MIX[2]
+    h ^= h >> 15
+    h *= np.uint32(0x85EBCA6B)
+    return np.bincount(h >> 22, minlength=BUCKETS)
 
 
 def digest(text: str | None) -> str:
-    """Hex digest: length (2), quartile ratios (2), checksum of triplet-free texts (8), codes (64)."""
+    """Hex digest: length (2), quartile ratios (2), checksum of triplet-free texts (8), codes (512)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     n = counts(raw)
     q1, q2, q3 = np.sort(n)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
@@ -62,21 +60,21 @@ def digest(text: str | None) -> str:
 
 
 def difference(a: str, b: str) -> int:
-    """From 0 for equal digests to ``MOST``."""
+    """From 0 for equal digests to ``BOUND``; digests of triplet-free texts are equal or at the bound."""
     if a == b:
         return 0
     size = min(LENGTH_MOST, abs(int(a[:2], 16) - int(b[:2], 16)) // 2)
     ratios = sum(min(RATIO_MOST, abs(int(a[k], 16) - int(b[k], 16))) for k in (2, 3))
     if a[4:12] != b[4:12]:
-        return MOST
+        return BOUND
     x, y = (np.frombuffer(bytes.fromhex(d[12:]), np.uint8) for d in (a, b))
     gaps = np.concatenate([np.abs((x >> s & 3).astype(np.int8) - (y >> s & 3).astype(np.int8)) for s in (0, 2, 4, 6)])
-    return int(gaps.sum() + 3 * (gaps == 3).sum() + 8 * size + 4 * ratios)
+    return min(BOUND, int(gaps.sum() + 3 * (gaps == 3).sum() + 64 * size + 32 * ratios))
 
 
 def likeness(a: str, b: str) -> float:
-    """1 for equal digests, falling to 0; digests of unlike texts of one language lie near a half of ``MOST``."""
-    return max(0.0, 1.0 - difference(a, b) / MOST)
+    """1 for equal digests, falling to 0 at the bound."""
+    return 1.0 - difference(a, b) / BOUND
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
