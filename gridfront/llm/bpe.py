@@ -26,6 +26,8 @@ from gridfront.llm.common import documents, map_steps
 LONG = 200
 #: Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 500_000
+#: Characters of text whose new words go to one query.
+STEP = 6_000_000
 
 #: ``best`` packs a word's least pair: its merged id, the place of its left part, that of its right part.
 #: It is null in a word's last state.
@@ -209,4 +211,4 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return f
 
-    return map_steps(documents(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_steps(documents(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, most=STEP)

@@ -102,7 +102,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-def map_steps(df: DataFrame, schema: str, make: Callable[[], Callable], column: str = "text") -> DataFrame:
+def map_steps(df: DataFrame, schema: str, make: Callable[[], Callable], column: str = "text", most: int = STEP_CHARS) -> DataFrame:
     """``mapInArrow`` by bounded slices: ``make()`` runs once a task and gives ``f(slice, texts) -> RecordBatch``."""
 
     small_batches(df.sparkSession)
@@ -110,7 +110,7 @@ def map_steps(df: DataFrame, schema: str, make: Callable[[], Callable], column:
     def run(batches):
         f = make()
         for batch in batches:
-            for part, texts in steps(batch, column):
+            for part, texts in steps(batch, column, most):
                 yield f(part, texts)
 
     return df.mapInArrow(run, schema)
