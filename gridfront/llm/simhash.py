@@ -8,8 +8,9 @@ most three differing bits agree on one of four 16-bit blocks and, in the other 4
 four 12-bit blocks, so each distinct fingerprint goes to 16 subtries that share 28 bits. In a
 subtrie, node pairs descend together with the bits that differ so far; a pair is dropped when
 they exceed the budget, or when both nodes already lie in one component, so a dense cluster costs
-no pair for each two of its members. A subtrie emits links that span its components, at most one a
-member. The distributed components of these links are those of all links.
+no pair for each two of its members. A subtrie with more than ``CROWD`` members is dealt out in square
+blocks: its members fall on sides by their hash, and every pair of sides is a trie of its own. A trie
+emits links that span its components, at most one a member. The distributed components of these links are those of all links.
 
 Cases: a null text has no words; fingerprints of texts without words are zero and link like others;
 exact copies meet as one fingerprint before the join; a null ``doc_id`` is carried, and does not
@@ -29,6 +30,8 @@ from gridfront.llm.common import components, cut, documents, free_name, map_step
 BITS, BUDGET = 64, 3
 #: Node pairs that descend together.
 FRONTIER = 1 << 17
+#: Members of one side of a subtrie's block, and the most sides.
+CROWD, SIDES = 1 << 17, 1 << 15
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -154,13 +157,26 @@ def subtries(distinct: DataFrame) -> DataFrame:
         rest = F.shiftleft(rest, 16 * i).bitwiseOR(F.col("fp").bitwiseAND((1 << 16 * i) - 1))
         for j in range(4):
             inner = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(0xFFF)
-            keys.append(F.lit((4 * i + j) << 28).bitwiseOR(F.shiftleft(outer.cast("long"), 12)).bitwiseOR(inner))
+            keys.append(F.lit((4 * i + j) << 28).cast("long").bitwiseOR(F.shiftleft(outer.cast("long"), 12)).bitwiseOR(inner))
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def spanning_links(distinct: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, crowd: int) -> DataFrame:
+    """``(key, fp)`` with a key for each block: subtries over ``crowd`` members as all pairs of their sides.
+
+    The table of crowded subtries is written first, so that Spark knows its size when it picks the join.
+    """
+    crowded = rows.groupBy("key").count().filter(F.col("count") > crowd)
+    crowded = cut(crowded.select("key", F.least(F.ceil(F.col("count") / crowd), F.lit(SIDES)).cast("int").alias("sides")), "simhash-crowded")
+    own = F.pmod(F.xxhash64("fp"), F.coalesce("sides", F.lit(1))).cast("int").alias("own")
+    dealt = rows.join(crowded, "key", "left").select("key", "fp", own, F.explode(F.sequence(F.lit(0), F.coalesce("sides", F.lit(1)) - 1)).alias("other"))
+    pair = F.shiftleft(F.least("own", "other").cast("long"), 15).bitwiseOR(F.greatest("own", "other").cast("long"))
+    return dealt.select(F.shiftleft("key", 30).bitwiseOR(pair).alias("key"), "fp")
+
+
+def spanning_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``(u, v)`` over fingerprints: links that span every component of the trie's self-join."""
-    rows = subtries(distinct)
+    rows = blocks(subtries(distinct), crowd)
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):

@@ -239,6 +239,28 @@ def test_trie_join_in_clusters():
         assert label.tolist() == want.tolist()
 
 
+def test_crowded_subtries(spark):
+    rng = np.random.default_rng(6)
+    fp = np.full(150, 0x9ABCDEF012345678, np.uint64)
+    for _ in range(4):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 24, len(fp)).astype(np.uint64))
+    fp = np.unique(fp)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 3
+    want = np.arange(len(fp))
+    while not (new := np.array([want[near[k]].min() for k in range(len(fp))])).tolist() == want.tolist():
+        want = new
+    signed = fp.view(np.int64).tolist()
+    d = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for crowd in (7, 60, 1 << 17):
+        links = [(signed.index(r.u), signed.index(r.v)) for r in simhash.spanning_links(d, crowd).collect()]
+        assert all(near[u, v] or want[u] == want[v] for u, v in links)
+        got = np.arange(len(fp))
+        for _ in range(len(fp)):
+            for u, v in links:
+                got[u] = got[v] = min(got[u], got[v])
+        assert got.tolist() == want.tolist()
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k + 1, k) for k in range(1, 40)] + [(100, 200), (200, 100), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(e, "t").collect()}
