@@ -46,6 +46,17 @@ def patch_grid(pixels: DataFrame, cell_m: float, pixel_m: float, keys: list[str]
     return p.drop("_n", "_s")
 
 
+def mosaic(patches: DataFrame, width: int, height: int) -> DataFrame:
+    """Patches as one picture: pixels ``px, py`` of the patches ``cell_x, cell_y`` get their place ``x, y`` in it.
+
+    A pixel outside its patch's ``width`` by ``height`` is an error when the row is read.
+    """
+    inside = F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)
+    place = lambda cell, size, at: F.when(inside, F.col(cell) * size + F.col(at)).otherwise(F.raise_error("a pixel lies outside its patch").cast("int"))
+    rest = [c for c in patches.columns if c not in ("cell_x", "cell_y", "px", "py")]
+    return patches.select(place("cell_x", width, "px").alias("x"), place("cell_y", height, "py").alias("y"), *rest)
+
+
 def slope(cells: DataFrame, value: str, resolution: float, keys: list[str]) -> DataFrame:
     """Adds ``slope``: central differences inside, one-sided at the border."""
 

@@ -37,6 +37,13 @@ def ranked(rows: DataFrame, keys: list[str], tie: str, weights=(0.5, 0.3, 0.2))
     return topsis(rows, ["f1", "f2", "f3"], list(weights), keys, tie).withColumn("selected", F.col("rank") == 1)
 
 
+def best(rows: DataFrame, n: int) -> DataFrame:
+    """The routes that ``ranked`` places among the first ``n`` of their case."""
+    if n < 1:
+        raise ValueError("at least one route is to be shown")
+    return rows.filter(F.col("rank") <= n)
+
+
 def text_map(cells: DataFrame, path: DataFrame, params: DataFrame) -> DataFrame:
     """One line of text a row of each grid: ``*`` route, ``S``, ``G``, ``X`` occupied, ``~`` no navigation, ``o`` landing site, ``f`` fog."""
     c = cells.join(path.select("case_id", "x", "y", F.lit(True).alias("_on")).distinct(), ["case_id", "x", "y"], "left").join(params.select("case_id", "start", "goal", "sites"), "case_id")

@@ -44,6 +44,14 @@ def apply_weather(cells: DataFrame, params: DataFrame) -> DataFrame:
     return c.withColumns({"u": F.col("u") * scale, "v": F.col("v") * scale, "vis": S.clip(F.col("vis") * F.col("visibility_factor").cast(kind), 0.0, 1.0).cast(kind)}).select(*cells.columns)
 
 
+def apply_vehicle(params: DataFrame, vehicle: str) -> DataFrame:
+    """Parameters with the turn radius of a vehicle; an unknown vehicle is an error."""
+    radius = dict(VEHICLES).get(vehicle)
+    if radius is None:
+        raise ValueError(f"{vehicle} is not a vehicle")
+    return params.withColumn("min_turn_radius_m", F.lit(radius))
+
+
 def apply_ablation(cells: DataFrame, mode: str) -> DataFrame:
     """Navigation density of one source layer (``visual_richness`` or ``rugosity``); without the layer an error."""
     if mode == "full":

@@ -98,6 +98,14 @@ def patch_grid(spark, sf):
     return raster.patch_grid(px, 4.0, 1.0, [])
 
 
+@query("mosaic", """SELECT (p_partkey // 16 % 25 * 4 + p_partkey % 4)::INT AS x, (p_partkey // 400 * 4 + p_partkey // 4 % 4)::INT AS y, p_size AS value FROM part""")
+def mosaic(spark, sf):
+    k = F.col("p_partkey")
+    part = lambda a, b: (F.floor(k / a) % b).cast("int")
+    p = load(spark, sf, "part").select(part(16, 25).alias("cell_x"), F.floor(k / 400).cast("int").alias("cell_y"), part(1, 4).alias("px"), part(4, 4).alias("py"), F.col("p_size").alias("value"))
+    return raster.mosaic(p, 4, 4)
+
+
 SLOPE = f"""{GRID}, sl AS (SELECT *, coalesce((lead(dem) OVER wx - lag(dem) OVER wx) / 20e0, (lead(dem) OVER wx - dem) / 10e0, (dem - lag(dem) OVER wx) / 10e0, 0) AS gx,
   coalesce((lead(dem) OVER wy - lag(dem) OVER wy) / 20e0, (lead(dem) OVER wy - dem) / 10e0, (dem - lag(dem) OVER wy) / 10e0, 0) AS gy
   FROM grid WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y)), slopes AS (SELECT *, sqrt(gx * gx + gy * gy) AS slope FROM sl)"""
@@ -271,6 +279,13 @@ def topsis(spark, sf):
     return rounded(decision.topsis(tied(spark, sf), OBJ, [0.5, 0.3, 0.2], ["scenario"], "key").select("scenario", "method", "id", "closeness", "rank"), ["closeness"])
 
 
+@query("top_routes", f"WITH {SOL}, {topsis_sql((0.5, 0.3, 0.2))} SELECT scenario, method, id, round(closeness, 6) AS closeness, rank::INT AS rank, rank = 1 AS selected FROM rk WHERE rank <= 5")
+def top_routes(spark, sf):
+    """The five best routes of each scenario (the panel is the limit)."""
+    rows = routes.ranked(tied(spark, sf), ["scenario"], "key")
+    return rounded(routes.best(rows, 5).select("scenario", "method", "id", "closeness", "rank", "selected"), ["closeness"])
+
+
 @query("profile_selection", " UNION ALL ".join(f"SELECT * FROM (WITH {SOL}, {topsis_sql(w)} SELECT '{p}' AS profile, scenario, method, id, round(closeness, 6) AS closeness FROM rk WHERE rank = 1)" for p, w in decision.PROFILES.items()))
 def profile_selection(spark, sf):
     return rounded(decision.profile_selection(tied(spark, sf), OBJ, ["scenario"], "key").select("profile", "scenario", "method", "id", "closeness"), ["closeness"])
@@ -342,10 +357,24 @@ def components(spark, sf):
     return paths.grid_components(grid(spark, sf).filter("nav < 0.3"), ["case_id"]).drop("case_id")
 
 
-@query("turn_feasible", f"""WITH {EDGES}, t AS (SELECT f.dx AS hx, f.dy AS hy, s.dx, s.dy, greatest(-1, least(1, (f.dx * s.dx + f.dy * s.dy) / (sqrt(f.dx * f.dx + f.dy * f.dy) * sqrt(s.dx * s.dx + s.dy * s.dy)))) AS co,
+TURNS = f"""{EDGES}, t AS (SELECT f.dx AS hx, f.dy AS hy, s.dx, s.dy, greatest(-1, least(1, (f.dx * s.dx + f.dy * s.dy) / (sqrt(f.dx * f.dx + f.dy * f.dy) * sqrt(s.dx * s.dx + s.dy * s.dy)))) AS co,
   least(sqrt(f.dx * f.dx + f.dy * f.dy), sqrt(s.dx * s.dx + s.dy * s.dy)) AS l FROM edges f JOIN edges s ON s.x = f.x1 AND s.y = f.y1),
- q AS (SELECT *, sqrt(greatest((1 - co) / 2, 0)) AS half FROM t)
- SELECT hx::INT AS hx, hy::INT AS hy, dx::INT AS dx, dy::INT AS dy, count(*) AS n, min(half <= 1e-12 OR l * 10 / (2 * half) + 1e-12 >= 8) AS feasible FROM q GROUP BY 1, 2, 3, 4""")
+ q AS (SELECT *, sqrt(greatest((1 - co) / 2, 0)) AS half FROM t)"""
+
+
+@query("vehicle_transform", f"""WITH {TURNS} SELECT vehicle, count(*) AS turns, sum((half <= 1e-12 OR l * 10 / (2 * half) + 1e-12 >= r)::INT)::BIGINT AS allowed
+ FROM q, (VALUES ('multirotor', 0e0), ('fixed_wing_vtol', 40e0)) v(vehicle, r) GROUP BY 1""")
+def vehicle_transform(spark, sf):
+    """Turns of the grid that each vehicle may take."""
+    e = edges.edges(grid(spark, sf), params(spark))
+    found = None
+    for name, _ in campaign.VEHICLES:
+        one = edges.turns(e, campaign.apply_vehicle(params(spark), name)).agg(F.lit(name).alias("vehicle"), F.count("*").alias("turns"), F.count_if("feasible").alias("allowed"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("turn_feasible", f"""WITH {TURNS} SELECT hx::INT AS hx, hy::INT AS hy, dx::INT AS dx, dy::INT AS dy, count(*) AS n, min(half <= 1e-12 OR l * 10 / (2 * half) + 1e-12 >= 8) AS feasible FROM q GROUP BY 1, 2, 3, 4""")
 def turn_feasible(spark, sf):
     e = edges.edges(grid(spark, sf), params(spark))
     return edges.turns(e, params(spark)).groupBy("hx", "hy", "dx", "dy").agg(F.count("*").alias("n"), F.min("feasible").alias("feasible"))

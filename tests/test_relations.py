@@ -176,6 +176,25 @@ def test_ablation_needs_its_layer(spark):
         campaign.apply_ablation(c, "visual_only")
 
 
+def test_mosaic_vehicle_and_best(spark):
+    cells = [(cx, cy, px, py, float(100 * cx + 10 * cy + px + py)) for cx in range(2) for cy in range(3) for px in range(4) for py in range(2)]
+    d = spark.createDataFrame(cells, "cell_x int, cell_y int, px int, py int, value double")
+    got = {(r.x, r.y): r.value for r in raster.mosaic(d, 4, 2).collect()}
+    assert got == {(cx * 4 + px, cy * 2 + py): v for cx, cy, px, py, v in cells}
+    with pytest.raises(Exception, match="outside its patch"):
+        raster.mosaic(d, 3, 2).collect()
+    p = tables.params(spark)
+    assert campaign.apply_vehicle(p, "fixed_wing_vtol").first().min_turn_radius_m == 40.0
+    assert campaign.apply_vehicle(p, "multirotor").first().min_turn_radius_m == 0.0
+    with pytest.raises(ValueError):
+        campaign.apply_vehicle(p, "balloon")
+    rows = spark.createDataFrame([("a", k, float(k), 1.0, 0.0) for k in range(6)], "case_id string, id int, f1 double, f2 double, f3 double")
+    best = routes.best(routes.ranked(rows, ["case_id"], "id"), 2).orderBy("rank").collect()
+    assert [(r.id, r.selected) for r in best] == [(0, True), (1, False)]
+    with pytest.raises(ValueError):
+        routes.best(rows, 0)
+
+
 def test_campaign(spark):
     m = campaign.matrix(spark)
     assert m.count() == 240 and m.select("case_id").distinct().count() == 240
