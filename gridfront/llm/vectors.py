@@ -4,10 +4,13 @@ Two codebooks, learned independently on the halves of the unit vectors, form a p
 cells; each vector lies in the cell of its nearest centroids. For every vector the multi-sequence
 traversal walks the grid from the nearest cells outwards, in the order of the sum of two sorted
 sequences (lower bounds of the squared distance from the vector to a half's Voronoi cells), and
-stops at the reach that gives the target recall. The reach is measured: ``PROBES`` vectors are
-compared with all others by brute force, and it is the least at which ``RECALL`` of their links lie
-in a cell that one end visits. Where the probes have no link, it is the squared distance of the
-weakest link, which misses none. Candidates are then verified by their cosine in double precision.
+stops at a reach. The full reach is the squared distance of the weakest link, which misses none. A
+lesser one is taken only where it is measured: at most ``PROBES`` vectors are compared with all
+others by brute force, and in every stratum (``BANDS`` of squared distance, few or many links of
+the probe) the mean over the probes of the share of links found must be ``RECALL``, so neither a
+crowd nor tight links speak for the rest. A stratum with fewer than ``1 / (1 - RECALL)`` probes
+measures nothing and keeps the full reach; only the strata of many links may be empty. Candidates
+are then verified by their cosine in double precision.
 
 A link counts for both ends, whichever of them visited the other. Only vectors with equal labels
 meet. Equal vectors are one class with a count. A cell with many members is dealt out in square
@@ -15,7 +18,9 @@ blocks. A block yields counts and links that span its components, at most one ro
 its pairs.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors (least ``xxhash64(vec_id)``); every vector is
-indexed, and the grid grows with the number of vectors.
+indexed, and the grid grows with the number of vectors. At the full reach most cells of a fine grid
+may be visited; then the grid is as coarse as makes rows dealt and comparisons least, down to one
+cell a label, which compares all pairs of the label in blocks.
 
 Cases: null labels, and vectors that are null, empty, zero, or hold null or non-finite numbers, link
 with nothing, and neither do vectors whose length is not that of most sampled ones; a null
@@ -26,18 +31,21 @@ each other; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfront.llm.common import components, cut, quiet_threads
 
-SAMPLE, PROBES, RECALL = 8_000, 1_000, 0.995
+SAMPLE, PROBES, RECALL = 8_000, 4_000, 0.995
 #: Members a side of a block, the most cells that are dealt out in blocks, and steps of the measured reach.
 BLOCK, DEALT, STEPS = 20_000, 50_000, 400
+#: Bands of squared distance, links from which a probe has many, and comparisons that cost as much as a dealt row.
+BANDS, MANY, PAIRS_A_ROW = 4, 8, 2_000
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -164,7 +172,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = RE
         sizes[len(r.e)] = sizes.get(len(r.e), 0) + 1
     dim = max(sizes, key=lambda k: (sizes[k], k), default=1)
     sample = [r for r in sample if len(r.e) == dim]
-    index = Index(np.array([r.e for r in sample] or [[1.0] * dim], dtype=np.float64), threshold, centroids or int(np.clip(round((total / 2000) ** 0.5), 8, 256)))
+    points = np.array([r.e for r in sample] or [[1.0] * dim], dtype=np.float64)
+    index = Index(points, threshold, centroids or int(np.clip(round((total / 2000) ** 0.5), 8, 256)))
 
     def raw(batches):
         for b in batches:
@@ -172,6 +181,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = RE
 
     fit = classes.filter(F.size("e") == dim).select("node", "label", "times", "e").mapInArrow(raw, "node long, label string, times long, x binary")
     index.reach = measured_reach(fit, index, sample[:PROBES], threshold, recall, kind, dim)
+    if index.reach == index.most and centroids is None:
+        index = cheapest(index, points, [r.label for r in sample], threshold, total, block)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -242,22 +253,41 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = RE
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def cheapest(index: Index, points: np.ndarray, labels: list, threshold: float, total: int, block: int) -> Index:
+    """The index, or one of fewer cells, whose full reach costs least: rows dealt and comparisons, by the sample."""
+    code = np.unique(labels, return_inverse=True)[1] if labels else np.zeros(len(points), int)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    some, best, least, k = min(len(points), 500), index, math.inf, max(len(b) for b in index.books)
+    while True:
+        grid = index.size()
+        home = np.concatenate([index.bounds(unit[at : at + 1024])[1] for at in range(0, len(unit), 1024)])
+        held = np.bincount(code * grid + home, minlength=(code.max() + 1) * grid).reshape(-1, grid) * (total / len(points))
+        cost = 0.0
+        for c, cells in zip(code[:some], index.cells(unit[:some])):
+            cost += np.ceil(held[c, cells] / block).sum() * PAIRS_A_ROW + held[c, cells].sum()
+        if cost < least:
+            best, least = index, cost
+        if k == 1:
+            return best
+        k //= 2
+        index = Index(points, threshold, k)
+
+
 def measured_reach(fit: DataFrame, index: Index, probes: list, threshold: float, recall: float, kind: str, dim: int) -> float:
-    """The least reach at which the share ``recall`` of the probes' links is found from either end."""
+    """The least reach at which, in every stratum, probes find the share ``recall`` of their links from either end; else the full one."""
     by_label: dict[str, list] = {}
-    for r in probes:
-        by_label.setdefault(r.label, []).append(r)
-    packed = {k: ([r.node for r in rs], np.array([r.e for r in rs], dtype=np.float64)) for k, rs in by_label.items()}
+    for k, r in enumerate(probes):
+        by_label.setdefault(r.label, []).append((k, r))
+    packed = {label: ([k for k, _ in rs], [r.node for _, r in rs], np.array([r.e for _, r in rs], dtype=np.float64)) for label, rs in by_label.items()}
     shared = fit.sparkSession.sparkContext.broadcast((index, packed))
 
     def weigh(batches):
         quiet_threads()
         own, probes_ = shared.value
         prepared = {}
-        for k, (nodes, e) in probes_.items():
+        for k, (places, nodes, e) in probes_.items():
             unit = e / np.linalg.norm(e, axis=1, keepdims=True)
-            prepared[k] = (np.array(nodes), unit, *own.bounds(unit))
-        steps = np.zeros(STEPS + 1, np.int64)
+            prepared[k] = (np.array(places), np.array(nodes), unit, *own.bounds(unit))
         books = len(own.books[1])
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -268,20 +298,35 @@ def measured_reach(fit: DataFrame, index: Index, probes: list, threshold: float,
                     if k not in prepared:
                         continue
                     rows = np.flatnonzero(labels == k)
-                    names, unit, sides, homes = prepared[k]
-                    i, j = np.nonzero((x[rows] @ unit.T >= threshold) & (node[rows][:, None] != names[None]))
+                    places, names, unit, sides, homes = prepared[k]
+                    cosine = x[rows] @ unit.T
+                    i, j = np.nonzero((cosine >= threshold) & (node[rows][:, None] != names[None]))
                     if len(i):
                         theirs, cells = own.bounds(x[rows])
                         there = theirs[0][i, homes[j] // books] + theirs[1][i, homes[j] % books]
                         back = sides[0][j, cells[i] // books] + sides[1][j, cells[i] % books]
-                        need = np.minimum(there, back)
-                        steps += np.bincount(np.minimum(np.ceil(need / own.most * STEPS).astype(int), STEPS), minlength=STEPS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(steps).astype(np.int32)), pa.array(steps[steps > 0])], ["step", "n"])
-
-    found = {r.step: r.n for r in fit.mapInArrow(weigh, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()}
-    total, so_far = sum(found.values()), 0
-    for step in sorted(found):
-        so_far += found[step]
-        if so_far >= recall * total:
-            return index.most * step / STEPS + 1e-9
-    return index.most
+                        step = np.minimum(np.ceil(np.minimum(there, back) / own.most * STEPS).astype(int), STEPS)
+                        band = np.clip((2 - 2 * cosine[i, j]) / own.most * BANDS, 0, BANDS - 1).astype(int)
+                        code, n = np.unique((places[j] * BANDS + band) * (STEPS + 1) + step, return_counts=True)
+                        rest, step = np.divmod(code, STEPS + 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((rest // BANDS, pa.int32()), (rest % BANDS, pa.int32()), (step, pa.int32()), (n, pa.int64()))], ["probe", "band", "step", "n"])
+
+    found = fit.mapInArrow(weigh, "probe int, band int, step int, n long").groupBy("probe", "band", "step").agg(F.sum("n").alias("n"))
+    of = lambda *keys: F.sum("n").over(Window.partitionBy(*keys))
+    found = found.select("band", "step", (of("probe") >= MANY).alias("many"), (F.col("n") / of("probe", "band")).alias("share"))
+    strata = {(band, many): {} for band in range(BANDS) for many in (False, True)}
+    for r in found.groupBy("band", "many", "step").agg(F.sum("share").alias("share")).collect():
+        strata[r.band, r.many][r.step] = r.share
+    reach = 0
+    for (_, many), shares in strata.items():
+        total, so_far = sum(shares.values()), 0.0  # the shares of a probe add up to 1
+        if many and not shares:
+            continue
+        if recall >= 1 or total < 1 / (1 - recall) - 1e-6:
+            return index.most
+        for step in sorted(shares):
+            so_far += shares[step]
+            if so_far >= recall * total - 1e-9:
+                reach = max(reach, step)
+                break
+    return index.most if reach == STEPS else index.most * reach / STEPS + 1e-9

@@ -290,6 +290,35 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(d.limit(0)).count() == 0
 
 
+def crowd_and_pairs(spark, cosines):
+    """One tight crowd of distinct vectors beside pairs at the given cosines, and the links of each pair's row."""
+    rng = np.random.default_rng(5)
+    e = list(rng.normal(size=16) + rng.normal(size=(300, 16)) * 1e-3)
+    for c in cosines:
+        a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+        e += [a, c * a + np.sqrt(1 - c * c) * b]
+    d = spark.createDataFrame([(k, [float(x) for x in v], 0) for k, v in enumerate(e)], "vec_id long, embedding array<double>, label int")
+    unit = np.array(e) / np.linalg.norm(e, axis=1, keepdims=True)
+    return d, (unit @ unit.T >= 0.93).sum(axis=1) - 1
+
+
+def test_a_crowd_does_not_speak_for_loose_links(spark):
+    d, want = crowd_and_pairs(spark, np.linspace(0.932, 0.96, 60))
+    for centroids in (None, 8):
+        assert {r.vec_id: r.n_links for r in vectors.near_duplicates(d, centroids=centroids).collect()} == dict(enumerate(want))
+
+
+def test_reach_is_measured_in_every_band(spark, monkeypatch):
+    cosines = np.linspace(0.932, 0.999, 240)
+    d, want = crowd_and_pairs(spark, cosines)
+    measured, reached = vectors.measured_reach, []
+    monkeypatch.setattr(vectors, "measured_reach", lambda *a: reached.append(measured(*a)) or reached[-1])
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(d, recall=0.95, centroids=8).collect()}
+    assert 0 < reached[0] < 0.14
+    for at in range(0, 240, 60):
+        assert np.mean([got[k] / want[k] for k in range(300 + 2 * at, 420 + 2 * at)]) >= 0.94
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(1)
     a, b = np.sort(rng.random(9)), np.sort(rng.random(7))
