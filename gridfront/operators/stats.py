@@ -19,11 +19,14 @@ def group_quartiles(rows: DataFrame, keys: list[str], metrics: list[str], feasib
     return out.select(*keys, "instances", "feasibility_rate", *[F.col(f"_{m}")[i].alias(f"{m}_{q}") for m in metrics for i, q in enumerate(("q1", "median", "q3"))])
 
 
-def bootstrap_median(rows: DataFrame, keys: list[str], metric: str, samples: int = 2000, seed: int = 2026) -> DataFrame:
-    """95 % interval of the median by resampling, the same generator for each group; medians of a group stay in one task."""
+def bootstrap_median(rows: DataFrame, keys: list[str], metric: str, samples: int = 2000, seed: int = 2026, order: str | None = None) -> DataFrame:
+    """95 % interval of the median by resampling, the same generator for each group; medians of a group stay in one task.
+
+    The resamples depend on the order of a group's rows; ``order`` names the column that fixes it.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[metric].dropna().to_numpy(float)
+        v = (pdf.sort_values(order) if order else pdf)[metric].dropna().to_numpy(float)
         rng = np.random.default_rng(seed)
         low, high = np.quantile([np.median(rng.choice(v, len(v), replace=True)) for _ in range(samples)], (0.025, 0.975)) if len(v) else (None, None)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci_low": [low], "ci_high": [high]})

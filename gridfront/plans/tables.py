@@ -464,7 +464,7 @@ def paired_stats(spark, sf):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap_median(runs(spark, sf).filter("feasible").select("method", "runtime_ms"), ["method"], "runtime_ms", 200)
+    return stats.bootstrap_median(runs(spark, sf).filter("feasible").select("run_id", "method", "runtime_ms"), ["method"], "runtime_ms", order="run_id")
 
 
 @query("wilcoxon")

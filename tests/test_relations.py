@@ -257,6 +257,17 @@ def test_statistics(spark):
     assert b.ci_low < 9.5 < b.ci_high
 
 
+def test_bootstrap_query_takes_2000_resamples_in_run_order(spark):
+    sf = "/root/testdata/sf0.001"
+    pdf = tables.runs(spark, sf).filter("feasible").toPandas().sort_values("run_id")
+    got = {r.method: (r.ci_low, r.ci_high) for r in tables.bootstrap_ci(spark, sf).collect()}
+    assert set(got) == set(pdf.method)
+    for method, v in pdf.groupby("method").runtime_ms:
+        rng = np.random.default_rng(2026)
+        medians = [np.median(rng.choice(v.to_numpy(float), len(v), replace=True)) for _ in range(2000)]
+        assert got[method] == tuple(np.quantile(medians, (0.025, 0.975)))
+
+
 def test_running_total(spark):
     d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 5).alias("v"))
     got = [(r.k, r.t) for r in ordering.running_total(d, ["k"], "v", "t").orderBy("k").collect()]
