@@ -1,12 +1,12 @@
 """Quality scores: random-indexing word vectors, pooled, then a two-layer network with a temperature.
 
 Every word has a sparse random index vector (from its hash); its word vector adds the index vectors
-of its neighbours over the training texts. A document is the mean of its words' vectors beside the
+of its neighbours over all texts. A document is the mean of its words' vectors beside the
 mean of index vectors of word forms (capitals, marks, repeats) and its length. The network is
 trained in numpy; a temperature and an offset fitted on rows kept out of training calibrate it.
 
-Training takes at most ``SAMPLE`` labelled rows, those with the least ``xxhash64(doc_id)``; scoring
-takes every row and whole texts. Labels come only from rows whose fold is not 0.
+The word vectors need no labels and count every row. The network trains on at most ``SAMPLE``
+labelled rows, those with the least ``xxhash64(doc_id)``; scoring takes every row and whole texts. Labels come only from rows whose fold is not 0.
 
 Cases: a null or empty text has the zero vector and is scored like any other; null labels are left
 out, and so is a ``doc_id`` with contradicting labels; without two classes of labels every score is
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gridfront.llm.common import documents, fold, map_steps, quiet_threads
 
-#: Labelled rows that training takes at most.
+#: Labelled rows that the network's training takes at most.
 SAMPLE = 12_000
 #: Folds of ``doc_id``; fold 0 is held out.
 FOLDS = 5
@@ -46,6 +46,8 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 
 
 INDEX, FORM_INDEX = index_vectors(BUCKETS, 11), index_vectors(len(FORMS), 12)
+PLACES = np.argsort(-np.abs(INDEX), axis=1, kind="stable")[:, :NONZERO]
+WEIGHTS = np.take_along_axis(INDEX, PLACES, axis=1).astype(np.float64)
 
 
 def form(token: str) -> int:
@@ -125,11 +127,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
 
 
 def word_vectors(rows: DataFrame) -> np.ndarray:
-    """Word vectors by bucket from the neighbours in the training texts; at most ``BUCKETS`` rows reach the driver."""
+    """Word vectors by bucket from the neighbours in all texts; at most ``BUCKETS`` rows leave a task and reach the driver."""
 
     def count(batches):
         quiet_threads()
-        tokens, seen = Tokens(), np.zeros((BUCKETS, DIMS), dtype=np.float32)
+        tokens, seen = Tokens(), np.zeros(BUCKETS * DIMS)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 buckets, _, starts = tokens(batch.column("text").slice(at, 200).to_pylist())
@@ -138,14 +140,12 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
                     ok = text[gap:] == text[:-gap]
                     left, right = buckets[:-gap][ok], buckets[gap:][ok]
                     for own, other in ((left, right), (right, left)):
-                        # by distinct pairs: sums of rows in order of the bucket
-                        pair, times = np.unique(own * BUCKETS + other, return_counts=True)
-                        if len(pair):
-                            who, whom = np.divmod(pair, BUCKETS)
-                            first = np.concatenate([[0], np.flatnonzero(np.diff(who)) + 1])
-                            seen[who[first]] += np.add.reduceat(INDEX[whom] * times[:, None].astype(np.float32), first, axis=0)
+                        for k in range(0, len(own), 200_000):  # by the few places where an index vector is not 0
+                            who, whom = own[k : k + 200_000], other[k : k + 200_000]
+                            seen += np.bincount((who[:, None] * DIMS + PLACES[whom]).ravel(), WEIGHTS[whom].ravel(), BUCKETS * DIMS)
+        seen = seen.reshape(BUCKETS, DIMS)
         rows_ = np.flatnonzero(np.abs(seen).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows_.astype(np.int32)), pa.array([seen[k].tobytes() for k in rows_], pa.binary())], ["bucket", "vec"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows_.astype(np.int32)), pa.array([seen[k].astype(np.float32).tobytes() for k in rows_], pa.binary())], ["bucket", "vec"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -156,7 +156,7 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
 
     schema = "bucket int, vec binary"
     out = np.zeros((BUCKETS, DIMS), dtype=np.float32)
-    for r in rows.select("text").coalesce(12).mapInArrow(count, schema).repartition(12, "bucket").mapInArrow(add, schema).collect():
+    for r in rows.select("text").mapInArrow(count, schema).repartition(12, "bucket").mapInArrow(add, schema).collect():
         out[r.bucket] = np.frombuffer(r.vec, np.float32)
     out = np.round(out, 3)
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -210,9 +210,9 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> tuple[np.ndarray, Network]:
-    """Word vectors and the network, from the training rows."""
+    """Word vectors from all documents, and the network from the training rows."""
+    vectors = word_vectors(documents(docs))
     rows = training_rows(docs, labels, target)
-    vectors = word_vectors(rows)
     shared = rows.sparkSession.sparkContext.broadcast(vectors)
 
     def featurise(batches):

@@ -451,6 +451,14 @@ def test_quality(spark, odd, empty):
     assert collected(quality.score(docs, flipped)) == collected(quality.score(docs, labels))
 
 
+def test_word_vectors_count_texts_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    docs = spark.createDataFrame([(k, f"word{k} beside other{k}") for k in range(400)], "doc_id long, text string")
+    vectors, _ = quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    used = sorted({int(b) for b in quality.Tokens()([r.text for r in docs.collect()])[0]})
+    assert np.abs(vectors[used] - quality.INDEX[used] / 2).max(axis=1).min() > 0
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
