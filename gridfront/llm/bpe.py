@@ -3,18 +3,31 @@
 A text is split by the pre-tokenizer's pattern. Distinct words become token-position rows (one row a
 byte); the recursive query joins neighbours to the merge table and contracts each word's leftmost
 pair of least rank until no pair is left. Decoding joins ids to the vocabulary and aggregates the
-bytes in order. Words longer than ``LONG`` bytes run the same round as a loop of statements that
-keeps only the last state, and contract all occurrences of the least pair at once where no lower
-pair can arise from it, so that neither memory nor rounds grow with the square of the length.
+bytes in order.
+
+The query keeps every state, so a word of n bytes makes about n * n / 2 rows. One query takes words
+of at most ``STATES`` rows together, and a word is given to it by pieces of at most ``PIECE`` bytes,
+so rows grow with the text's length only. Neighbouring pieces share ``OVERLAP`` bytes and are joined at
+a token that both have at one place. That is exact: contraction inside a run of final tokens never
+looks beyond it, so if ``u`` and ``t`` contract to ids that end with the token ``t``, and ``t`` and ``v``
+to ids that begin with it, then no contraction of ``u t v`` crosses an end of ``t``. Where two pieces share
+no token (as in periodic words out of step), a new piece begins at a token of the part done so far;
+it is as long as it takes for that token to come back as its first.
 
 Cases: a null text counts as empty (no tokens); a null ``doc_id`` is carried; repeated rows give
-repeated results; an empty table gives no rows; special tokens are ordinary text.
+repeated results; an empty table gives no rows; special tokens are ordinary text; texts of any
+length and words of any length (scripts without spaces, all-distinct words) are taken whole, in
+blocks of ``BLOCK`` words; columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +35,30 @@ from pyspark.sql import DataFrame
 
 from gridfront.llm.common import documents, map_steps
 
-#: Bytes above which a word leaves the recursive query.
-LONG = 200
-#: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 500_000
-#: Characters of text whose new words go to one query.
-STEP = 6_000_000
+#: Bytes of a piece, and those that it shares with the next one (a token has at most 33).
+PIECE, OVERLAP = 96, 32
+#: Rows of all states of one query, and pieces of a long word that go to the queries together.
+STATES, TOGETHER = 4_000_000, 10_000
+#: Distinct words, and characters of them, that a worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 30_000_000
+#: Characters of text whose new words are contracted together, and words of a longer text.
+STEP, BLOCK = 6_000_000, 1_000_000
+#: Ids that one query decodes.
+DECODED = 200_000
 
 #: ``best`` packs a word's least pair: its merged id, the place of its left part, that of its right part.
 #: It is null in a word's last state.
 CONTRACT = """
 WITH RECURSIVE state(w, pos, tok, best) AS (
-    SELECT p.w, p.pos, p.tok, min((m.id::BIGINT << 16) | (p.pos << 8) | p.npos) OVER (PARTITION BY p.w)
+    SELECT p.w, p.pos, p.tok, min((m.id::BIGINT << 44) | (p.pos::BIGINT << 22) | p.npos) OVER (PARTITION BY p.w)
     FROM (SELECT w, pos, tok, lead(tok) OVER o AS nxt, lead(pos) OVER o AS npos
           FROM seed WINDOW o AS (PARTITION BY w ORDER BY pos)) p
     LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
   UNION ALL
-    SELECT p.w, p.pos, p.tok, min((m.id::BIGINT << 16) | (p.pos << 8) | p.npos) OVER (PARTITION BY p.w)
+    SELECT p.w, p.pos, p.tok, min((m.id::BIGINT << 44) | (p.pos::BIGINT << 22) | p.npos) OVER (PARTITION BY p.w)
     FROM (SELECT w, pos, tok, lead(tok) OVER o AS nxt, lead(pos) OVER o AS npos
-          FROM (SELECT w, pos, CASE WHEN pos = (best >> 8) & 255 THEN (best >> 16)::INTEGER ELSE tok END AS tok
-                FROM state WHERE best IS NOT NULL AND pos <> best & 255)
+          FROM (SELECT w, pos, CASE WHEN pos = (best >> 22) & 4194303 THEN (best >> 44)::INTEGER ELSE tok END AS tok
+                FROM state WHERE best IS NOT NULL AND pos <> best & 4194303)
           WINDOW o AS (PARTITION BY w ORDER BY pos)) p
     LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
 )
@@ -49,28 +66,12 @@ SELECT w, pos, tok FROM state WHERE best IS NULL
 """
 
 #: Ids of a word as text, their count, and the decoded bytes, in order of position.
-GATHER = """
+GATHER = f"""
 SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, count(*) AS n, string_agg(raw, '' ORDER BY pos) AS raw
-FROM ({}) JOIN vocab ON vocab.id = tok GROUP BY w
-"""
-
-#: One round over the table ``now``: all disjoint occurrences of a word's least pair, from the left,
-#: or only the leftmost where a lower pair could arise.
-ROUND = """
-CREATE OR REPLACE TABLE after AS
-WITH p AS (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt,
-                  row_number() OVER (PARTITION BY w ORDER BY pos) AS k FROM now),
- j AS (SELECT p.*, m.id, m.lone, min(m.id) OVER (PARTITION BY p.w) AS best
-       FROM p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt),
- h AS (SELECT *, coalesce(id = best, false) AS hit FROM j),
- g AS (SELECT *, k - row_number() OVER (PARTITION BY w, hit ORDER BY k) AS run,
-              min(CASE WHEN hit THEN k END) OVER (PARTITION BY w) AS first FROM h),
- c AS (SELECT *, hit AND CASE WHEN lone THEN k = first
-              ELSE (row_number() OVER (PARTITION BY w, hit, run ORDER BY k)) % 2 = 1 END AS taken FROM g),
- e AS (SELECT *, lag(taken) OVER (PARTITION BY w ORDER BY k) AS eaten FROM c)
-SELECT w, pos, CASE WHEN taken THEN best ELSE tok END AS tok, best IS NOT NULL AS live
-FROM e WHERE eaten IS NOT TRUE
+FROM ({CONTRACT}) JOIN vocab ON vocab.id = tok GROUP BY w
 """
+#: Ids of a word and their places.
+PLACES = f"SELECT w, list(pos ORDER BY pos) AS pos, list(tok ORDER BY pos) AS tok FROM ({CONTRACT}) GROUP BY w"
 
 
 class Vocabulary:
@@ -84,20 +85,19 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        pairs, lone = [], set()
+        pairs = []
         for word, rank in ranks.items():
             for i in range(1, len(word)):
                 a, b = ranks.get(word[:i]), ranks.get(word[i:])
                 if a is not None and b is not None:
                     pairs.append((a, b, rank))
-                    lone |= {x for x in (a, b) if x > rank}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        l, r, m = (np.array(x, dtype=np.int32) for x in zip(*pairs))
-        self.load("merges_in", pa.table({"l": l, "r": r, "id": m, "lone": np.isin(m, np.array(sorted(lone), dtype=np.int32))}))
+        self.load("merges_in", pa.table(dict(zip(("l", "r", "id"), (np.array(x, dtype=np.int32) for x in zip(*pairs))))))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.load("vocab_in", pa.table({"id": pa.array(ranks.values(), pa.int32()), "raw": pa.array(ranks.keys(), pa.binary())}))
         self.db.execute("CREATE TABLE vocab AS SELECT id, hex(raw) AS raw FROM vocab_in")
         self.words: dict[str, tuple] = {}
+        self.chars = 0
 
     def load(self, name: str, table: pa.Table) -> None:
         self.db.register(name, table)
@@ -108,52 +108,120 @@ class Vocabulary:
         at = np.cumsum(lens) - lens
         return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": (np.arange(len(raw)) - np.repeat(at, lens)).astype(np.int32), "tok": self.single[raw]})
 
+    def queried(self, query: str, words: list[bytes]) -> Iterator[tuple]:
+        """Rows of a query over the states of ``words``, by groups of at most ``STATES`` rows; the first value is the place in ``words``."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        rows = np.cumsum([len(words[k]) * (len(words[k]) + 1) // 2 for k in order])
+        for group in np.split(np.array(order), np.flatnonzero(np.diff(rows // STATES)) + 1):
+            self.load("seed", self.seed([words[k] for k in group]))
+            for w, *row in zip(*(c.to_pylist() for c in self.db.sql(query).to_arrow_table().columns)):
+                yield (int(group[w]), *row)
+
     def contract(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
         """Ids of each word as text, how many they are, and their decoded bytes."""
         out: list[tuple[str, int, bytes]] = [("", 0, b"")] * len(words)
-        short = [k for k, x in enumerate(words) if 0 < len(x) <= LONG]
-        long = [k for k, x in enumerate(words) if len(x) > LONG]
-        for group, query in ((short, CONTRACT), (long, "SELECT w, pos, tok FROM ended")):
-            if not group:
-                continue
-            self.load("seed", self.seed([words[k] for k in group]))
-            if group is long:
-                self.rounds()
-            got = self.db.sql(GATHER.format(query)).to_arrow_table()
-            for w, ids, n, raw in zip(*(c.to_pylist() for c in got.columns)):
-                out[group[w]] = (ids, n, bytes.fromhex(raw))
+        whole = [k for k, x in enumerate(words) if 0 < len(x) <= PIECE]
+        if whole:
+            for w, ids, n, raw in self.queried(GATHER, [words[k] for k in whole]):
+                out[whole[w]] = (ids, n, bytes.fromhex(raw))
+        for k, x in enumerate(words):
+            if len(x) > PIECE:
+                ids = self.joined(x)
+                out[k] = (",".join(map(str, ids)), len(ids), self.decode([ids])[0])
         return out
 
-    def rounds(self) -> None:
-        """``ended``: the last state of every word of ``seed``, one statement a round."""
-        self.db.execute("CREATE OR REPLACE TABLE now AS SELECT *, true AS live FROM seed")
-        self.db.execute("CREATE OR REPLACE TABLE ended AS SELECT w, pos, tok FROM now WHERE false")
-        while self.db.execute("SELECT count(*) FROM now").fetchall()[0][0]:
-            self.db.execute(ROUND)
-            self.db.execute("INSERT INTO ended SELECT w, pos, tok FROM after WHERE NOT live")
-            self.db.execute("CREATE OR REPLACE TABLE now AS SELECT w, pos, tok, live FROM after WHERE live")
-
-    def decode(self, many: list[list[int]]) -> list[bytes]:
-        """Bytes of each list of ids; an id outside the vocabulary is an error."""
-        lens = np.fromiter(map(len, many), np.int64, len(many))
-        flat = np.fromiter((x for ids in many for x in ids), np.int32, int(lens.sum()))
-        self.load("coded", pa.table({"w": np.repeat(np.arange(len(many), dtype=np.int32), lens), "pos": np.arange(len(flat)), "id": flat}))
-        got = self.db.sql("SELECT w, string_agg(raw, '' ORDER BY pos) AS raw, count(raw) = count(*) AS known FROM coded LEFT JOIN vocab USING (id) GROUP BY w").to_arrow_table()
+    def joined(self, word: bytes) -> array:
+        """Ids of a long word from its pieces."""
+        stride, known = PIECE - OVERLAP, {}
+
+        def tokens(a: int, size: int, more: int = 1) -> tuple[list[int], list[int]]:
+            """Places and ids of ``word[a : a + size]``; the pieces that follow are contracted together with it."""
+            if (key := word[a : a + size]) not in known:
+                if len(known) > 2 * TOGETHER:
+                    known.clear()
+                ask = list({word[s : s + size] for s in range(a, min(a + more * stride, len(word)), stride)}.difference(known))
+                known.update((ask[w], (pos, tok)) for w, pos, tok in self.queried(PLACES, ask))
+            return known[key]
+
+        at, ids = array("q"), array("i")  # the part done, which ends at byte ``end``
+        for done, x in zip((at, ids), tokens(0, PIECE, TOGETHER)):
+            done.extend(x)
+        end = PIECE
+        while end < len(word):
+            a, size, back = (end - OVERLAP) // stride * stride, PIECE, OVERLAP
+            pos, tok = tokens(a, size, TOGETHER)
+            there = {(a + p, t): j for j, (p, t) in enumerate(zip(pos, tok))}
+            low = bisect_left(at, a)
+            k, j = next(((k, there[x]) for k in range(len(at) - 1, low - 1, -1) if (x := (at[k], ids[k])) in there), (None, 0))
+            while k is None:
+                k = max(0, bisect_right(at, end - back) - 1)
+                a, size = at[k], 3 * back
+                pos, tok = tokens(a, size)
+                if a and tok[0] != ids[k]:
+                    k = None
+                back *= 2
+            del at[k:], ids[k:]
+            at.extend([a + p for p in pos[j:]])
+            ids.extend(tok[j:])
+            end = min(a + size, len(word))
+        return ids
+
+    def decode(self, many: list) -> list[bytes]:
+        """Bytes of each list of ids, at most ``DECODED`` of them in one query; an id outside the vocabulary is an error."""
         out = [b""] * len(many)
+        parts, held = [], 0
+        for k, ids in enumerate(many):
+            for a in range(0, len(ids), DECODED):
+                parts.append((k, ids[a : a + DECODED]))
+                held += len(parts[-1][1])
+                if held >= DECODED:
+                    self.spell(parts, out)
+                    parts, held = [], 0
+        if parts:
+            self.spell(parts, out)
+        return out
+
+    def spell(self, parts: list[tuple], out: list[bytes]) -> None:
+        lens = np.fromiter((len(ids) for _, ids in parts), np.int64, len(parts))
+        flat = np.concatenate([np.asarray(ids, dtype=np.int64) for _, ids in parts])
+        self.load("coded", pa.table({"w": np.repeat(np.arange(len(parts), dtype=np.int32), lens), "pos": np.arange(len(flat)), "id": flat}))
+        got = self.db.sql("SELECT w, string_agg(raw, '' ORDER BY pos) AS raw, count(raw) = count(*) AS known FROM coded LEFT JOIN vocab USING (id) GROUP BY w ORDER BY w").to_arrow_table()
         for w, raw, known in zip(*(c.to_pylist() for c in got.columns)):
             if not known:
                 raise ValueError("an id is not in the vocabulary")
-            out[w] = bytes.fromhex(raw)
-        return out
-
-    def prepare(self, texts: list[str]) -> list[list[str]]:
-        """Matches of the pattern in each text; every one of them is then a key of ``words``."""
-        if len(self.words) > REMEMBERED:
+            out[parts[w][0]] += bytes.fromhex(raw)
+
+    def matches(self, text: str) -> Iterator[list[str]]:
+        """Matches of the pattern, all at once or, of a text longer than ``STEP``, in blocks."""
+        if len(text) <= STEP:
+            yield self.pattern.findall(text)
+            return
+        found = self.pattern.finditer(text)
+        while block := [m[0] for m in islice(found, BLOCK)]:
+            yield block
+
+    def prepared(self, texts: list[str]) -> Iterator[tuple[int, list[tuple]]]:
+        """For each block of matches, the text's place and what ``contract`` gives for each of them."""
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for block in self.matches(text):
+                held.append((k, block))
+                size += len(block)
+                if size >= BLOCK:
+                    yield from self.known(held)
+                    held, size = [], 0
+        yield from self.known(held)
+
+    def known(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list[tuple]]]:
+        if len(self.words) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.words.clear()
-        split = [self.pattern.findall(x) for x in texts]
-        if new := list(set().union(*split).difference(self.words)):
+            self.chars = 0
+        if new := list(set().union(*(block for _, block in held)).difference(self.words)):
             self.words.update(zip(new, self.contract([w.encode() for w in new])))
-        return split
+            self.chars += sum(map(len, new))
+        for k, block in held:
+            yield k, [self.words[w] for w in block]
 
 
 _VOCABULARIES: dict[tuple, Vocabulary] = {}
@@ -173,8 +241,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         vocab = vocabulary(path, pattern)
 
         def f(rows, texts):
-            ids = [[int(i) for w in split for i in vocab.words[w][0].split(",")] for split in vocab.prepare([x or "" for x in texts])]
-            return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [array("i") for _ in texts]
+            for k, got in vocab.prepared([x or "" for x in texts]):
+                for x in got:
+                    ids[k].extend(map(int, x[0].split(",")))
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([np.asarray(x, dtype=np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
         return f
 
@@ -201,13 +272,17 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         vocab = vocabulary(path, pattern)
 
         def f(rows, texts):
-            n, coded, raw = [], [], []
-            for split in vocab.prepare([x or "" for x in texts]):
-                got = [vocab.words[w] for w in split]
-                n.append(sum([x[1] for x in got]))
-                coded.append(hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest())
-                raw.append(hashlib.sha256(b"".join([x[2] for x in got])).hexdigest())
-            return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(raw, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n = [0] * len(texts)
+            coded, raw = ([hashlib.sha256() for _ in texts] for _ in range(2))
+            for k, got in vocab.prepared([x or "" for x in texts]):
+                if not got:
+                    continue
+                if n[k]:
+                    coded[k].update(b",")
+                n[k] += sum([x[1] for x in got])
+                coded[k].update(",".join([x[0] for x in got]).encode())
+                raw[k].update(b"".join([x[2] for x in got]))
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), *(pa.array([h.hexdigest() for h in hs], pa.string()) for hs in (coded, raw))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return f
 

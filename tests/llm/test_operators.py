@@ -129,9 +129,40 @@ def test_bpe_round_trip(odd, empty):
 
 def test_bpe_long_words():
     v, t = bpe.vocabulary(MULTI, P.PATTERN), tiktoken_of()
-    for w in ("a" * 1001, "abcabcxyz" * 90, "thenthenthe" * 60):
-        ids, n, raw = v.contract([w.encode()])[0]
-        assert ids == ",".join(map(str, t.encode_ordinary(w))) and raw == w.encode() and n == ids.count(",") + 1
+    rng = np.random.default_rng(8)
+    for letters in ("ab", "a=-", "日本語テスト人", "กขคงจ", "abcdefghijklmnopqrstuvwxyz", "=-_.", "0123456789abcdef"):
+        for period in (None, 1, 2, 3, 7, 50):
+            n = int(rng.integers(97, 700))
+            some = "".join(rng.choice(list(letters), period or n))
+            w = some * (n // len(some))
+            ids, n, raw = v.contract([w.encode()])[0]
+            want = t._core_bpe.encode_single_piece(w.encode())
+            assert ids == ",".join(map(str, want)) and raw == w.encode() and n == len(want), (letters, period)
+
+
+def test_bpe_of_great_texts(spark):
+    """Six million characters of distinct words, and one unbroken word of a million letters."""
+    rng, t = np.random.default_rng(9), tiktoken_of()
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    texts = [" ".join(bytes(r).decode() for r in letters[rng.integers(0, 26, (600_000, 9))]), bytes(letters[rng.integers(0, 26, 1_000_000)]).decode()]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2, "doc_id")
+    for r in bpe.digest(d, MULTI, P.PATTERN).collect():
+        ids = t.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_bpe_blocks(odd, monkeypatch):
+    want = collected(bpe.digest(odd, MULTI, P.PATTERN))
+    v, texts = bpe.Vocabulary(MULTI, P.PATTERN), [r.text or "" for r in odd.collect()]
+    for name, value in (("STEP", 10), ("BLOCK", 3), ("STATES", 200), ("DECODED", 4), ("REMEMBERED", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    got = [[0, []] for _ in texts]
+    for k, block in v.prepared([x[:2_000] for x in texts]):
+        got[k][0] += sum(x[1] for x in block)
+        got[k][1] += [x[2] for x in block]
+    assert [b"".join(x[1]).decode() for x in got] == [x[:2_000] for x in texts]
+    assert sorted(r[1] for r in want if r[1] < 300) == sorted(x[0] for x, y in zip(got, texts) if len(y) <= 2_000 and x[0] < 300)
 
 
 # --- fingerprints -----------------------------------------------------------------------------
