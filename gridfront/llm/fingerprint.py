@@ -9,7 +9,7 @@ without anything in common lie, and likeness is one minus the difference over th
 Cases: a null text counts as empty; texts with fewer than three bytes have no triplets, so their
 digest is the length and, for any bytes at all, their checksum; equal texts have equal digests; a
 null ``doc_id`` sorts before all others, and rows with one ``doc_id`` sort by their texts; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; a very long text is digested whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfront.llm.common import documents, map_steps, quiet_threads, small_batches
@@ -87,30 +87,30 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return map_steps(documents(docs), "doc_id long, fingerprint string", make)
 
 
+def part_of(bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` lie below ``doc_id``, by a binary search inside one expression."""
+    if not bounds:
+        return F.lit(0)
+    leaps = ", ".join(str(1 << k) for k in reversed(range(len(bounds).bit_length())))
+    held = ", ".join(f"{b}L" if b > -(1 << 63) else "-9223372036854775807L - 1L" for b in bounds)
+    return F.expr(f"aggregate(array({leaps}), 0, (n, s) -> CASE WHEN get(array({held}), n + s - 1) < doc_id THEN n + s ELSE n END)")
+
+
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """``(part, last, doc_id, text)``: rows by ascending ``doc_id``, each part followed by the next one's first row.
 
-    The bounds of the parts are quantiles of ``doc_id`` (one number a part on the driver). A part's
-    first row is sent twice, to its own part and, marked ``last``, to the one before, so each text
-    crosses the network once. The first row of all also ends the last part.
+    The bounds of the parts are quantiles of ``doc_id``, and only they and each part's least ``doc_id``
+    reach the driver (two numbers a part). Rows with that ``doc_id`` are sent twice, to their own part
+    and, marked ``last``, to the one before; the least of their texts comes first there. The first
+    row of all also ends the last part.
     """
     docs = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text", F.coalesce("text", F.lit("")))
     bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    part = F.lit(0)
-    if bounds:
-        part = F.expr(f"aggregate(array({','.join(f'{b}L' for b in bounds)}), 0, (n, b) -> n + int(b < doc_id))")
-    docs = docs.withColumn("part", part.cast("int"))
+    docs = docs.withColumn("part", part_of(sorted(set(bounds or []))).cast("int"))
     firsts = sorted((r.part, r.least) for r in docs.groupBy("part").agg(F.min("doc_id").alias("least")).collect())
-    if not firsts:
-        return docs.select("part", F.lit(False).alias("last"), "doc_id", "text")
-    before = {least: firsts[k - 1][0] for k, (_, least) in enumerate(firsts)}
-    # ties on a first id: the least text is the first row
-    tied = docs.filter(F.col("doc_id").isin([x for _, x in firsts])).groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = tied.collect()
-    spark = docs.sparkSession
-    ends = spark.createDataFrame([(before[r.doc_id], True, r.doc_id, r.text) for r in rows], "part int, last boolean, doc_id long, text string")
-    return docs.select("part", F.lit(False).alias("last"), "doc_id", "text").union(ends)
+    before = F.create_map(*[F.lit(x) for k, (_, least) in enumerate(firsts) for x in (least, firsts[k - 1][0])]) if firsts else F.lit(None).cast("map<bigint,int>")
+    rows = docs.select("doc_id", "text", F.explode(F.array_compact(F.array(F.struct("part", F.lit(False).alias("last")), F.when(F.try_element_at(before, "doc_id").isNotNull(), F.struct(F.try_element_at(before, "doc_id").alias("part"), F.lit(True).alias("last")))))).alias("to"))
+    return rows.select("to.part", "to.last", "doc_id", "text")
 
 
 def edited(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -2,12 +2,18 @@
 
 Pass one tokenizes each partition and keeps the running position of every document inside it.
 The partitions' totals (one number each) are summed on the driver into global offsets. Pass two
-places each document in the stream and cuts it at multiples of the window. Nothing is shuffled
-but the boundary records, the parts of windows that two tasks share.
+places each document in the stream and cuts it at multiples of the window. A task emits its windows
+whole where it holds all of their ids; the parts of windows that tasks share are boundary records,
+which alone are shuffled, by their sequence, at most ``window`` of them for one. A sequence carries
+its ids and the pieces of documents that they are.
+
+Ids are those of the ``tokenizers`` library with ``add_special_tokens=False`` and no other setting: the
+string of a special token in a text becomes that token's id.
 
 Cases: a null text counts as empty, and an empty text is its end id alone; a null ``doc_id`` is
 carried as it is; repeated rows are packed once each; an empty table gives no pieces; texts longer
-than a window span several; columns beside ``doc_id`` and ``text`` are ignored.
+than a window span several, and the longest are encoded whole; columns beside ``doc_id`` and ``text``
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfront.llm.common import cut, documents, map_steps, quiet_threads
+from gridfront.llm.common import cut, documents, map_steps, quiet_threads, release
 
 #: A space that follows white space and precedes white space or the end: the only spaces at which
 #: a byte-level pre-tokenizer may not start a new match.
@@ -32,7 +38,10 @@ UNSAFE_SPACE = re.compile(r"\s \s|\s $")
 #: Distinct chunks that a worker remembers before it starts anew.
 REMEMBERED = 400_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: A piece in its sequence; and a sequence, or a boundary record of it that begins at ``first``.
+PIECE = "doc_id long, start long, length long, doc_tokens long, offset long"
+RECORD = f"sequence_id long, first long, width int, raw binary, pieces array<struct<{PIECE.replace(' ', ':').replace(',:', ',')}>>"
+DIGEST = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Ragged:
@@ -99,22 +108,22 @@ class ChunkEncoder:
     """Token ids of many texts by a ``tokenizers`` file; each distinct space-led chunk is encoded once."""
 
     def __init__(self, path: str, ranks: dict[bytes, int] | None):
+        from tokenizers import Tokenizer
+
         quiet_threads()
+        tokenizer = Tokenizer.from_file(path)
+        self.whole = lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        added = sorted(x.content for x in tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         if ranks:
             import public_tokenizers
             import tiktoken
 
-            size = len(ranks)
             one = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self.batch = lambda texts: [one(x) for x in texts]
         else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            size = tokenizer.get_vocab_size()
-            self.batch = lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+            self.batch = self.whole
+        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
     def clear(self) -> None:
@@ -130,11 +139,12 @@ class ChunkEncoder:
         if len(self.chunks.rows) > REMEMBERED:
             self.clear()
         keys: list = []
-        counts, whole = [], {}
+        counts, whole, added = [], {}, {}
         for k, text in enumerate(texts):
             text = text or ""
-            if UNSAFE_SPACE.search(text):
-                whole[k] = text
+            special = self.special is not None and self.special.search(text)
+            if special or UNSAFE_SPACE.search(text):
+                (added if special else whole)[k] = text
                 counts.append(0)
                 continue
             parts = text.split(" ")
@@ -146,8 +156,8 @@ class ChunkEncoder:
         flat, ends = self.chunks.get(keys)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        if whole:
-            for k, ids in zip(whole, self.batch(list(whole.values()))):
+        for texts_, encode in ((whole, self.batch), (added, self.whole)):
+            for k, ids in zip(texts_, encode(list(texts_.values())) if texts_ else ()):
                 out[k] = np.array(ids, dtype=self.dtype)
         return out
 
@@ -203,61 +213,82 @@ def cuts(begin: int, n: int, window: int) -> list[int]:
     return [0, *range(window - begin % window, n, window), n]
 
 
-def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
-    """One row for each piece of a document: where it lies and a checksum of its ids."""
+def records(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+    """``RECORD`` rows, written once: whole windows, and boundary records of those that tasks share."""
     tokens, offsets = placed(docs, path, end_id)
 
     def run(batches):
+        held: list[np.ndarray] = []
+        pieces: list[tuple] = []
+        seq = first = size = width = 0
         for batch in batches:
             out: list[tuple] = []
-            for part, begin, doc, n, width, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "begin", "doc_id", "n", "width", "ids"))):
-                wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                begin += offsets[part]
+            for part, begin, doc, n, wide, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "begin", "doc_id", "n", "width", "ids"))):
+                ids, begin = np.frombuffer(raw, f"<u{wide}"), begin + offsets[part]
                 bounds = cuts(begin, n, window)
-                out += [(doc, a, b - a, zlib.crc32(wide[a:b].tobytes()), n, (begin + a) // window, (begin + a) % window) for a, b in zip(bounds[:-1], bounds[1:])]
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    s, o = divmod(begin + a, window)
+                    if held and (s != seq or first + size != o):
+                        out.append((seq, first, width, np.concatenate(held).tobytes(), pieces))
+                        held, pieces, size = [], [], 0
+                    if not held:
+                        seq, first, width = s, o, wide
+                    held.append(ids[a:b])
+                    pieces.append((doc, a, b - a, n, o))
+                    size += b - a
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+                yield packed(out)
+        if held:
+            yield packed([(seq, first, width, np.concatenate(held).tobytes(), pieces)])
 
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    return tokens.mapInArrow(run, PIECES)
+    out = cut(tokens.mapInArrow(run, RECORD), "windows")
+    release(tokens)
+    return out
 
 
-def pack_sequences(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
-    """``(sequence_id, ids array<int>)``: the packed windows themselves.
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of ``RECORD`` rows."""
+    seq, first, width, raw, pieces = zip(*rows)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int32)
+    flat = list(zip(*(x for ps in pieces for x in ps)))
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    inner = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in flat], names)
+    arrays = [pa.array(seq, pa.int64()), pa.array(first, pa.int64()), pa.array(width, pa.int32()), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), inner)]
+    return pa.RecordBatch.from_arrays(arrays, ["sequence_id", "first", "width", "raw", "pieces"])
 
-    A task emits the windows that it holds whole; what is left at its borders are boundary records,
-    which meet by ``sequence_id``, at most ``window`` of them for one sequence.
-    """
-    tokens, offsets = placed(docs, path, end_id)
 
-    def run(batches):
-        seq, first, held = -1, 0, []
-        for batch in batches:
-            out = []
-            for part, begin, n, width, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "begin", "n", "width", "ids"))):
-                wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                begin += offsets[part]
-                bounds = cuts(begin, n, window)
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    s, o = divmod(begin + a, window)
-                    if held and (s != seq or first + sum(map(len, held)) != o):
-                        out.append((seq, first, np.concatenate(held).tobytes()))
-                        held = []
-                    if not held:
-                        seq, first = s, o
-                    held.append(wide[a:b])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["sequence_id", "offset", "raw"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([first]), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["sequence_id", "offset", "raw"])
+def sequences(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+    """``(sequence_id, width, raw, pieces)``: each window's ids, little-endian of ``width`` bytes, and its pieces in order."""
+    rows = records(docs, path, window, end_id)
+    whole = F.octet_length("raw") == window * F.col("width")
+    met = rows.filter(~whole).groupBy("sequence_id").agg(F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("first", "raw", "pieces"))).alias("r"))
+    met = met.select("sequence_id", "width", F.expr("aggregate(r, cast('' as binary), (a, x) -> a || x.raw)").alias("raw"), F.flatten(F.transform("r", lambda x: x.pieces)).alias("pieces"))
+    return rows.filter(whole).select("sequence_id", "width", "raw", "pieces").union(met)
 
-    fragments = cut(tokens.mapInArrow(run, "sequence_id long, offset long, raw binary"), "windows")
-    whole = F.octet_length("raw") == 4 * window
-    joined = fragments.filter(~whole).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "raw"))).alias("r"))
-    joined = joined.select("sequence_id", F.expr("aggregate(r, cast('' as binary), (a, x) -> a || x.raw)").alias("raw"))
+
+def pack_sequences(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+    """``(sequence_id, ids array<int>, pieces)``: what training reads. The last sequence may be short."""
 
     def ids(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("sequence_id"), pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in b.column("raw").to_pylist()], pa.list_(pa.int32()))], ["sequence_id", "ids"])
+            flat = [np.frombuffer(x, f"<u{w}").astype(np.int32) for x, w in zip(b.column("raw").to_pylist(), b.column("width").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("sequence_id"), pa.array(flat, pa.list_(pa.int32())), b.column("pieces")], ["sequence_id", "ids", "pieces"])
+
+    kind = RECORD.split("pieces ")[1]
+    return sequences(docs, path, window, end_id).mapInArrow(ids, f"sequence_id long, ids array<int>, pieces {kind}")
+
+
+def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+    """One row for each piece of a document, read off the sequences: where it lies and a checksum of its ids there."""
+    names = [x.split()[0] for x in DIGEST.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for seq, width, raw, pieces in zip(*(b.column(c).to_pylist() for c in ("sequence_id", "width", "raw", "pieces"))):
+                ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
+                out += [(p["doc_id"], p["start"], p["length"], zlib.crc32(ids[p["offset"] : p["offset"] + p["length"]]), p["doc_tokens"], seq, p["offset"]) for p in pieces]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
-    return fragments.filter(whole).select("sequence_id", "raw").union(joined).mapInArrow(ids, "sequence_id long, ids array<int>")
+    return sequences(docs, path, window, end_id).mapInArrow(run, DIGEST)

@@ -8,7 +8,8 @@ the words that hold a digit or an ``@``, or a spelt-out ``at``/``dot`` between b
 The field adds spans where no base span is; base spans stay as they are.
 
 Cases: a null text counts as empty and has no spans; a null ``doc_id`` is carried; repeated rows give
-repeated results; an empty table gives no rows; a text is taken whole whatever its length.
+repeated results; an empty table gives no rows; a text is taken whole whatever its length; ``find``
+ignores columns other than ``doc_id`` and ``text``, and ``mask`` carries them with their types.
 """
 
 from __future__ import annotations
@@ -360,7 +361,7 @@ def mask(docs: DataFrame) -> DataFrame:
             new = [x if x is None else masked(x, s) for x, (_, s) in zip(texts, spans(texts, field))]
             columns = {c: rows.column(c) for c in rows.schema.names} | {"text": pa.array(new, pa.string())}
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if x is None else len(x) for x in new], pa.int64())
+                columns["n_chars"] = pa.array([None if x is None else len(x) for x in new], pa.int64()).cast(columns["n_chars"].type)
             return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         return f

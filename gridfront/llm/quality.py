@@ -3,15 +3,17 @@
 Every word has a sparse random index vector (from its hash); its word vector adds the index vectors
 of its neighbours over all texts. A document is the mean of its words' vectors beside the
 mean of index vectors of word forms (capitals, marks, repeats) and its length. The network is
-trained in numpy; a temperature and an offset fitted on rows kept out of training calibrate it.
+trained in numpy; a temperature fitted on rows kept out of training calibrates it.
 
 The word vectors need no labels and count every row. The network trains on at most ``SAMPLE``
-labelled rows, those with the least ``xxhash64(doc_id)``; scoring takes every row and whole texts. Labels come only from rows whose fold is not 0.
+labelled rows, those with the least ``xxhash64(doc_id)``; scoring takes every row and whole texts.
+Labels come only from rows whose fold is not 0.
 
 Cases: a null or empty text has the zero vector and is scored like any other; null labels are left
 out, and so is a ``doc_id`` with contradicting labels; without two classes of labels every score is
 the share of label 1 (0.5 without labels); a null ``doc_id`` is scored and is of fold 0; repeated
-rows are scored once each; an empty table gives no rows; other columns are ignored.
+rows are scored once each; an empty table gives no rows; a very long text is pooled whole, by pieces
+of 50,000 words; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -156,7 +158,7 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
 
     schema = "bucket int, vec binary"
     out = np.zeros((BUCKETS, DIMS), dtype=np.float32)
-    for r in rows.select("text").mapInArrow(count, schema).repartition(12, "bucket").mapInArrow(add, schema).collect():
+    for r in rows.select("text").mapInArrow(count, schema).repartition("bucket").mapInArrow(add, schema).collect():
         out[r.bucket] = np.frombuffer(r.vec, np.float32)
     out = np.round(out, 3)
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)

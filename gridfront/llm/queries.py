@@ -94,4 +94,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_multi_index": OP6_SQL, "op7_rabin_karp": OP7_SQL}
+    return {"op3_url_filter": urls.judge_sql(RULES), "op6_multi_index": OP6_SQL, "op7_rabin_karp": OP7_SQL}

@@ -230,7 +230,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
         if c == "text":
             columns.append(F.coalesce(edits[new], docs["text"]).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(edits[new].isNotNull(), F.length(edits[new]).cast("long")).otherwise(docs[c]).alias(c))
+            columns.append(F.when(edits[new].isNotNull(), F.length(edits[new]).cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
         else:
             columns.append(docs[c])
     return out.select(*columns)

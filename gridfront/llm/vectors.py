@@ -13,19 +13,19 @@ measures nothing and keeps the full reach; only the strata of many links may be
 are then verified by their cosine in double precision.
 
 A link counts for both ends, whichever of them visited the other. Only vectors with equal labels
-meet. Equal vectors are one class with a count. A cell with many members is dealt out in square
-blocks. A block yields counts and links that span its components, at most one row a member, never
-its pairs.
+and lengths meet; each length has an index of its own. Equal vectors are one class with a count. A
+cell of n members is dealt out in square blocks of about ``16 * sqrt(n)`` a side (``LEAST`` to ``BLOCK``), by a
+join with the cells' counts, so both tasks and copies grow with the root of n only. A block yields counts
+and links that span its components, at most one row a member, never its pairs.
 
-The codebooks are fitted on at most ``SAMPLE`` vectors (least ``xxhash64(vec_id)``); every vector is
-indexed, and the grid grows with the number of vectors. At the full reach most cells of a fine grid
-may be visited; then the grid is as coarse as makes rows dealt and comparisons least, down to one
-cell a label, which compares all pairs of the label in blocks.
+The codebooks are fitted on at most ``SAMPLE`` vectors (least hash); every vector is indexed, and the
+grid grows with the number of vectors. At the full reach most cells of a fine grid may be visited;
+then the grid is as coarse as makes rows dealt and comparisons least, down to one cell a label, which
+compares all pairs of the label in blocks. A length that the sample lacks has one cell a label too.
 
 Cases: null labels, and vectors that are null, empty, zero, or hold null or non-finite numbers, link
-with nothing, and neither do vectors whose length is not that of most sampled ones; a null
-``vec_id`` is carried and counts as a neighbour but not in the least id; repeated rows link with
-each other; an empty table gives no rows; other columns are ignored.
+with nothing; a null ``vec_id`` is carried and counts as a neighbour but not in the least id; repeated
+rows link with each other; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,29 +39,39 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfront.llm.common import components, cut, quiet_threads
+from gridfront.llm.common import components, cut, quiet_threads, release
 
 SAMPLE, PROBES, RECALL = 8_000, 4_000, 0.995
-#: Members a side of a block, the most cells that are dealt out in blocks, and steps of the measured reach.
-BLOCK, DEALT, STEPS = 20_000, 50_000, 400
+#: Least and most members a side of a block, and steps of the measured reach.
+LEAST, BLOCK, STEPS = 256, 20_000, 400
 #: Bands of squared distance, links from which a probe has many, and comparisons that cost as much as a dealt row.
 BANDS, MANY, PAIRS_A_ROW = 4, 8, 2_000
 
 
+def sides_of(n: np.ndarray, block: int) -> np.ndarray:
+    """Sides that ``n`` members of a cell are dealt out to."""
+    return np.ceil(n / np.clip(16 * np.sqrt(n), min(LEAST, block), block))
+
+
+def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances (rows, centroids), up to rounding; one product of matrices."""
+    return (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None]
+
+
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """Centroids of the rows; at most as many as there are distinct rows."""
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        own = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        own = squared(x, c).argmin(axis=1)
         c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
     return np.unique(c, axis=0)
 
 
 def cell_bounds(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Lower bounds (rows, centroids) of the squared distance from each row to each Voronoi cell."""
-    d = (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None]
+    d = squared(x, c)
     gap = 2 * np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 1e-30))
     h = np.zeros_like(d)
     for k in range(len(c)):  # the bisector between k and the cell's own centroid
@@ -98,7 +108,7 @@ class Index:
         """Bounds to each half's cells, 0 for the own one, and the own cells of the grid."""
         sides, own = [], []
         for part, book in zip((unit[:, : self.half], unit[:, self.half :]), self.books):
-            near = ((part[:, None, :] - book[None]) ** 2).sum(axis=2).argmin(axis=1)
+            near = squared(part, book).argmin(axis=1)
             bound = np.maximum(cell_bounds(part, book), 1e-12)
             bound[np.arange(len(part)), near] = 0.0
             sides.append(bound)
@@ -130,18 +140,25 @@ def united(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 def verify(own: dict, asking: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links between own and asking rows: what each row of either gains, and component roots over both.
 
-    Rows have unit vectors ``x``, ``node``, ``times`` and ``home`` cell; own rows also ``visits``, a
-    boolean matrix of the cells they visit. An asking row gains the copies of the rows it finds; an
+    Rows have unit vectors ``x``, ``node``, ``times`` and ``home`` cell; own rows also ``visits``, lists of
+    the cells they visit. An asking row gains the copies of the rows it finds; an
     own row gains those of the rows that find it and that it does not visit. Own rows stand first.
     """
     n, m = len(own["node"]), len(asking["node"])
     gain, label = np.zeros(n + m, np.int64), np.arange(n + m)
+    who = np.repeat(np.arange(n), [len(v) for v in own["visits"]])
+    where = np.concatenate(own["visits"]) if n else np.zeros(0, np.int32)
     for a in range(0, m, 1024):
+        homes, column = np.unique(asking["home"][a : a + 1024], return_inverse=True)
+        k = np.minimum(np.searchsorted(homes, where), len(homes) - 1)
+        hit = homes[k] == where
+        seen = np.zeros((n, len(homes)), bool)
+        seen[who[hit], k[hit]] = True
         for b in range(0, n, 2048):
             near = asking["x"][a : a + 1024] @ own["x"][b : b + 2048].T >= threshold
             near &= asking["node"][a : a + 1024, None] != own["node"][None, b : b + 2048]
             gain[n + a : n + a + len(near)] += near @ own["times"][b : b + 2048]
-            unseen = near & ~own["visits"][b : b + 2048][:, asking["home"][a : a + 1024]].T
+            unseen = near & ~seen[b : b + 2048][:, column].T
             gain[b : b + near.shape[1]] += asking["times"][a : a + 1024] @ unseen
             x, y = np.nonzero(near)
             united(label, x + a + n, y + b)
@@ -164,88 +181,77 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = RE
     sound = "label is not null and e is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)"
     v = v.withColumn("ok", F.coalesce(F.expr(sound), F.lit(False))).withColumn("k1", F.xxhash64("label", "e")).withColumn("k2", F.hash("label", "e"))
     classes = v.filter("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("e").alias("e"))
-    classes = cut(classes.withColumn("node", F.xxhash64("k1", "k2")), "vectors")
-    total = classes.count()
-    sample = classes.select("node", "label", "e").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
-    sizes: dict[int, int] = {}
+    # numbered, not hashed, so no two classes share a node; the numbers hold because the table is written
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    totals = {r.dim: r["count"] for r in classes.groupBy(F.size("e").alias("dim")).count().collect()}
+    sample = classes.select("node", "label", "e").orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(SAMPLE).collect()
+    by: dict[int, list] = {}
     for r in sample:
-        sizes[len(r.e)] = sizes.get(len(r.e), 0) + 1
-    dim = max(sizes, key=lambda k: (sizes[k], k), default=1)
-    sample = [r for r in sample if len(r.e) == dim]
-    points = np.array([r.e for r in sample] or [[1.0] * dim], dtype=np.float64)
-    index = Index(points, threshold, centroids or int(np.clip(round((total / 2000) ** 0.5), 8, 256)))
+        by.setdefault(len(r.e), []).append(r)
+    main = max(by, key=lambda k: (len(by[k]), k), default=1)
 
     def raw(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), b.column("times"), pa.array([np.array(e, kind).tobytes() for e in b.column("e").to_pylist()], pa.binary())], ["node", "label", "times", "x"])
-
-    fit = classes.filter(F.size("e") == dim).select("node", "label", "times", "e").mapInArrow(raw, "node long, label string, times long, x binary")
-    index.reach = measured_reach(fit, index, sample[:PROBES], threshold, recall, kind, dim)
-    if index.reach == index.most and centroids is None:
-        index = cheapest(index, points, [r.label for r in sample], threshold, total, block)
-    shared = spark.sparkContext.broadcast(index)
+            e = b.column("e")
+            ends = np.asarray(e.offsets)
+            held = np.ascontiguousarray(np.asarray(e.values)[ends[0] : ends[-1]], dtype=kind)
+            at = ((ends - ends[0]) * held.itemsize).astype(np.int32)
+            x = pa.Array.from_buffers(pa.binary(), len(e), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(held.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "label", "times", "dim")), x], ["node", "label", "times", "dim", "x"])
+
+    fit = classes.select("node", "label", "times", F.size("e").alias("dim"), "e").mapInArrow(raw, "node long, label string, times long, dim int, x binary")
+    indexes: dict[int, Index] = {}
+    for dim, found in by.items():
+        points = np.array([r.e for r in found], dtype=np.float64)
+        index = Index(points, threshold, centroids or int(np.clip(round((totals[dim] / 2000) ** 0.5), 8, 256)))
+        if dim == main:
+            index.reach = measured_reach(fit.filter(F.col("dim") == dim), index, found[:PROBES], threshold, recall, kind, dim)
+        if index.reach == index.most and centroids is None:
+            index = cheapest(index, points, [r.label for r in found], threshold, totals[dim], block)
+        indexes[dim] = index
+    shared = spark.sparkContext.broadcast(indexes)
 
     def assign(batches):
         quiet_threads()
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                cells = shared.value.cells(vectors_of(b.column("x"), kind, dim))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
-
-    placed = cut(fit.mapInArrow(assign, "node long, label string, times long, x binary, cells array<int>"), "vectors-cells")
-    counts = cut(placed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").count(), "vectors-counts")
-    while counts.filter(F.col("count") > block).count() > DEALT:
-        block *= 2
-    sides = {(r.label, r.cell): -(-r["count"] // block) for r in counts.filter(F.col("count") > block).collect()}
-    sides = spark.sparkContext.broadcast(sides)
-
-    def deal(batches):
-        quiet_threads()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                take, cell, first, second, own, home = [], [], [], [], [], []
-                for k, (node, label, cells) in enumerate(zip(b.column("node").to_pylist(), b.column("label").to_pylist(), b.column("cells").to_pylist())):
-                    for c in cells:
-                        side = sides.value.get((label, c), 1)
-                        mine = node % side
-                        for other in range(side):
-                            for holds, i, j in ((False, other, mine), (True, mine, other))[: 1 + (c == cells[0])]:
-                                take.append(k)
-                                cell.append(c)
-                                first.append(i)
-                                second.append(j)
-                                own.append(holds)
-                                home.append(cells[0])
-                part = b.select(["node", "label", "times", "x"]).take(pa.array(take, pa.int32()))
-                visits = b.column("cells").take(pa.array([k if o else None for k, o in zip(take, own)], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.array(own, pa.bool_()), pa.array(home, pa.int32()), visits], [*part.schema.names, "cell", "a", "b", "own", "home", "visits"])
-
-    dealt = placed.mapInArrow(deal, "node long, label string, times long, x binary, cell int, a int, b int, own boolean, home int, visits array<int>")
-    grid = index.size()
+                some = whole.slice(at, 2048)
+                dims = some.column("dim").to_numpy()
+                for dim in np.unique(dims):
+                    b = some.filter(pa.array(dims == dim))
+                    index = shared.value.get(int(dim)) or Index(np.ones((1, dim)), threshold, 1)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.cells(vectors_of(b.column("x"), kind, dim)), pa.list_(pa.int32()))], [*b.schema.names, "cells"])
+
+    placed = cut(fit.mapInArrow(assign, "node long, label string, times long, dim int, x binary, cells array<int>"), "vectors-cells")
+    held = placed.select("label", "dim", F.explode("cells").alias("cell")).groupBy("label", "dim", "cell").count()
+    side = F.ceil(F.col("count") / F.greatest(F.lit(min(LEAST, block)), F.least(F.lit(block), 16 * F.sqrt("count")))).cast("int")
+    visit = placed.select("*", F.posexplode("cells").alias("nth", "cell")).join(held.select("label", "dim", "cell", side.alias("side")), ["label", "dim", "cell"])
+    mine = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
+    every = F.sequence(F.lit(0), F.col("side") - 1)
+    square = lambda own, a, b: F.struct(a.alias("a"), b.alias("b"), F.lit(own).alias("own"))
+    asks, owns = F.transform(every, lambda i: square(False, i, mine)), F.transform(every, lambda i: square(True, mine, i))
+    to = F.explode(F.when(F.col("nth") == 0, F.concat(asks, owns)).otherwise(asks)).alias("to")
+    dealt = visit.select("label", "dim", "cell", "node", "times", "x", "cells", to).select("label", "dim", "cell", "to.*", "node", "times", "x", F.col("cells")[0].alias("home"), F.when(F.col("to.own"), F.col("cells")).alias("visits"))
 
     def meet(table: pa.Table) -> pa.Table:
         quiet_threads()
-        sides_ = []
+        dim = table.column("dim")[0].as_py()
+        sides = []
         for part in (table.filter(table.column("own")), table.filter(pc.invert(table.column("own")))):
-            sides_.append({"x": vectors_of(part.column("x"), kind, dim), "node": part.column("node").to_numpy(), "times": part.column("times").to_numpy(), "home": part.column("home").to_numpy()})
-            if len(sides_) == 1:
-                seen = np.zeros((len(part), grid), bool)
-                for k, cells in enumerate(part.column("visits").to_pylist()):
-                    seen[k, cells] = True
-                sides_[0]["visits"] = seen
-        gain, label = verify(*sides_, threshold)
-        names = np.concatenate([s["node"] for s in sides_])
+            sides.append({"x": vectors_of(part.column("x"), kind, dim), "node": part.column("node").to_numpy(), "times": part.column("times").to_numpy(), "home": part.column("home").to_numpy(), "visits": [np.array(c, np.int32) for c in part.column("visits").to_pylist() if c is not None]})
+        gain, label = verify(*sides, threshold)
+        names = np.concatenate([s["node"] for s in sides])
         root = names[label]
         some = (gain > 0) | (root != names)
         return pa.table({"u": names[some], "v": root[some], "n": gain[some]})
 
-    met = cut(dealt.groupBy("label", "cell", "a", "b").applyInArrow(meet, "u long, v long, n long"), "vectors-links")
+    met = cut(dealt.groupBy("label", "dim", "cell", "a", "b").applyInArrow(meet, "u long, v long, n long"), "vectors-links")
+    release(placed)
     joined = components(met.filter("u <> v").select("u", "v"), "vectors")
     links = met.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     known = classes.select("node", "k1", "k2", "least", "times").join(links, "node", "left").join(joined, "node", "left").select("k1", "k2", "least", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     known = cut(known, "vectors-classes")
+    release(classes, met, joined)
     ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(ids, "component").select("k1", "k2", "n_links", "component_id", F.lit(True).alias("ok"))
     out = v.select("vec_id", "ok", "k1", "k2").join(known, ["ok", "k1", "k2"], "left")
@@ -264,7 +270,7 @@ def cheapest(index: Index, points: np.ndarray, labels: list, threshold: float, t
         held = np.bincount(code * grid + home, minlength=(code.max() + 1) * grid).reshape(-1, grid) * (total / len(points))
         cost = 0.0
         for c, cells in zip(code[:some], index.cells(unit[:some])):
-            cost += np.ceil(held[c, cells] / block).sum() * PAIRS_A_ROW + held[c, cells].sum()
+            cost += sides_of(held[c, cells], block).sum() * PAIRS_A_ROW + held[c, cells].sum()
         if cost < least:
             best, least = index, cost
         if k == 1:

@@ -58,7 +58,6 @@ def packed_ok(pieces, rows, window=1024):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     by, seqs = {}, {}
     for p in pieces:
         by.setdefault(p.doc_id, []).append(p)
@@ -99,6 +98,27 @@ def test_pack_sequences(docs):
     assert total == packing.pack(docs, JSON).agg(F.sum("length")).first()[0]
 
 
+def test_pack_special_strings(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "<|endoftext|><|endoftext|>  x  "), (4, "<|endoftext |>"), (5, "plain")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), JSON).collect()
+    packed_ok(got, rows)
+    ids = [r.ids for r in packing.pack_sequences(spark.createDataFrame(rows, "doc_id long, text string"), JSON).collect()][0]
+    assert ids.count(50256) == 4
+
+
+def test_boundary_records_meet(docs):
+    few = docs.repartition(7)
+    records = packing.records(few, JSON, 512)
+    shared = records.filter(F.octet_length("raw") < 512 * F.col("width")).count()
+    assert shared > 6 and records.groupBy("sequence_id").count().filter("count > 1").count() > 2
+    for r in packing.sequences(few, JSON, 512).collect():
+        ends = 0
+        for p in r.pieces:
+            assert p.offset == ends
+            ends += p.length
+        assert ends * r.width == len(r.raw)
+
+
 def test_ranks_are_proved():
     assert packing.ranks_of(JSON)
     assert packing.ranks_of(P.path("word_bpe_49k.json")) is None
@@ -155,7 +175,7 @@ def test_bpe_of_great_texts(spark):
 def test_bpe_blocks(odd, monkeypatch):
     want = collected(bpe.digest(odd, MULTI, P.PATTERN))
     v, texts = bpe.Vocabulary(MULTI, P.PATTERN), [r.text or "" for r in odd.collect()]
-    for name, value in (("STEP", 10), ("BLOCK", 3), ("STATES", 200), ("DECODED", 4), ("REMEMBERED", 5)):
+    for name, value in (("STEP", 10), ("BLOCK", 3), ("STATES", 3_000), ("DECODED", 4), ("REMEMBERED", 5)):
         monkeypatch.setattr(bpe, name, value)
     got = [[0, []] for _ in texts]
     for k, block in v.prepared([x[:2_000] for x in texts]):
@@ -201,12 +221,46 @@ def test_urls(spark):
         fits = [(h + p, v) for v, h, p in queries.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, key=lambda x: len(x[0]), default=(None, None))
         assert (got[k].host, got[k].path, got[k].rule) == (host, path, best[0]), u
-        assert got[k].verdict == (best[1] or ("block" if got[k].blocked_probability >= 0.5 else "allow"))
-    seeds = urls.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls.SEEDS)], "page_id long, url string"), [], w)
-    assert all((r.verdict == "block") == bool(urls.SEEDS[r.page_id][1]) for r in seeds.collect())
+        grams = [(ord(m), *map(ord, s[i : i + 3])) for m, s in (("^", f"^^{host}^"), ("$", f"$${path}$")) for i in range(len(s) - 2)]
+        total = w[urls.DIMS] + sum(w[(a * 7919 + b * 2617 + c * 131 + e * 31) % urls.DIMS] for a, b, c, e in grams)
+        assert abs(got[k].blocked_probability - 1 / (1 + np.exp(-total / urls.UNIT))) < 1e-6
+        assert got[k].verdict == (best[1] or ("block" if total >= 0 else "allow"))
     assert urls.judge(d.limit(0), queries.RULES, w).count() == 0
 
 
+def test_url_model():
+    rows = [(urls.bucket_list(u), float(y)) for u, y in urls.labelled_rows()]
+    w, cut = urls.fitted(rows[: len(rows) * 4 // 5]), len(rows) * 4 // 5
+    assert np.mean([(sum(w[k] for k in b) + w[urls.DIMS] >= 0) == bool(y) for b, y in rows[cut:]]) > 0.96
+    w = urls.built_in_weights()
+    blocked = lambda u: sum(w[k] for k in urls.bucket_list(u)) + w[urls.DIMS] >= 0
+    for domain in ("example.com", "home.net", "never-seen.io"):
+        for prefix in ("", "www.", "m."):
+            assert not blocked(f"https://{prefix}garden.{domain}/en/77")
+            for word in ("casino", "pills", "adult", "spam"):
+                assert blocked(f"https://{prefix}{word}-win.{domain}/en/77") and blocked(f"https://{prefix}garden.{domain}/{word}/77.html")
+
+
+def test_url_rules_tie(spark):
+    d = spark.createDataFrame([(1, "http://a.b.c/x/y")], "page_id long, url string")
+    w = urls.built_in_weights()
+    for rules, want in (([("block", "b.c", "/x"), ("allow", "c", "/x/y")], ("b.c/x", "block")), ([("block", "c", "/x/y"), ("allow", "c", "/x/y")], ("c/x/y", "allow")), ([("block", "b.c", "/z")], (None, None))):
+        r = urls.judge(d, rules, w).first()
+        assert r.rule == want[0] and (want[1] is None or r.verdict == want[1])
+    assert urls.judge(d, [], w).first().rule is None
+
+
+def test_url_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got = collected(queries.op3_url_filter(spark, sf))
+    assert got == sorted(db.sql(queries.oracle_sql()["op3_url_filter"]).fetchall(), key=repr)
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
 # --- near-duplicates --------------------------------------------------------------------------
 
 
@@ -304,9 +358,13 @@ def test_vectors(spark, monkeypatch):
     rows = [(k, [float(x) for x in base[k % 30] + rng.normal(size=16) * 0.1], k % 3) for k in range(240)]
     rows += [(300, rows[0][1], 0), (301, rows[0][1], 0), (302, None, 0), (303, [0.0] * 16, 0), (304, [float("nan")] * 16, 0), (305, rows[0][1], None), (306, [None] + [1.0] * 15, 0), (307, [1.0, 2.0], 0), (308, [], 1), (None, rows[1][1], 1)]
     d = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<float>, label int, node string, times int")
-    sound = [(i, np.array(v, np.float32).astype(float), c) for i, v, c in rows if c is not None and v and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    x = np.array([v / np.linalg.norm(v) for _, v, _ in sound])
-    near = (x @ x.T >= 0.93) & (np.array([c for *_, c in sound])[:, None] == np.array([c for *_, c in sound])[None])
+    rows += [(400 + k, [float(x) for x in rng.normal(size=3)], 2) for k in range(30)] + [(500, [1.0, 2.0, 3.0], 2), (501, [2.0, 4.0, 6.01], 2), (502, [1.0, 2.0], 0), (503, [1.0, 2.1], 0)]  # other lengths
+    d = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<float>, label int, node string, times int")
+    sound = [(i, np.array(v, np.float32).astype(float), c) for i, v, c in rows if c is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = [v / np.linalg.norm(v) for _, v, _ in sound]
+    x = np.array([np.pad(v, (0, 16 - len(v))) for v in unit])
+    kinds = np.array([100 * c + len(v) for _, v, c in sound])
+    near = (x @ x.T >= 0.93) & (kinds[:, None] == kinds[None])
     label = np.arange(len(x))
     for _ in range(20):
         label = np.array([label[near[k]].min() for k in range(len(x))])
@@ -321,6 +379,20 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_recall_at_the_default(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    pdf = rows.toPandas()
+    e = [None if v is None else np.asarray(v, float) for v in pdf.embedding]
+    ok = [v is not None and len(v) > 0 and np.isfinite(v).all() and v.any() and c is not None and c == c for v, c in zip(e, pdf.label)]
+    want, found = np.zeros(len(e), int), {r.vec_id: r.n_links for r in queries.op6_multi_index(spark, "/root/testdata/sf0.01").collect()}
+    for c in {c for c, k in zip(pdf.label, ok) if k}:
+        at = [k for k in range(len(e)) if ok[k] and pdf.label[k] == c]
+        x = np.array([e[k] / np.linalg.norm(e[k]) for k in at])
+        want[at] = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = np.array([found[i] for i in pdf.vec_id])
+    assert (got <= want).all() and want.sum() > 0 and got.sum() / want.sum() >= 0.99
+
+
 def crowd_and_pairs(spark, cosines):
     """One tight crowd of distinct vectors beside pairs at the given cosines, and the links of each pair's row."""
     rng = np.random.default_rng(5)
