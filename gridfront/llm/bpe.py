@@ -65,9 +65,9 @@ WITH RECURSIVE state(w, pos, tok, best) AS (
 SELECT w, pos, tok FROM state WHERE best IS NULL
 """
 
-#: Ids of a word as text, their count, and the decoded bytes, in order of position.
+#: Ids of a word as text and the decoded bytes, in order of position.
 GATHER = f"""
-SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, count(*) AS n, string_agg(raw, '' ORDER BY pos) AS raw
+SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, unhex(string_agg(raw, '' ORDER BY pos)) AS raw
 FROM ({CONTRACT}) JOIN vocab ON vocab.id = tok GROUP BY w
 """
 #: Ids of a word and their places.
@@ -108,26 +108,25 @@ class Vocabulary:
         at = np.cumsum(lens) - lens
         return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": (np.arange(len(raw)) - np.repeat(at, lens)).astype(np.int32), "tok": self.single[raw]})
 
-    def queried(self, query: str, words: list[bytes]) -> Iterator[tuple]:
-        """Rows of a query over the states of ``words``, by groups of at most ``STATES`` rows; the first value is the place in ``words``."""
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        rows = np.cumsum([len(words[k]) * (len(words[k]) + 1) // 2 for k in order])
-        for group in np.split(np.array(order), np.flatnonzero(np.diff(rows // STATES)) + 1):
-            self.load("seed", self.seed([words[k] for k in group]))
-            for w, *row in zip(*(c.to_pylist() for c in self.db.sql(query).to_arrow_table().columns)):
-                yield (int(group[w]), *row)
-
-    def contract(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
-        """Ids of each word as text, how many they are, and their decoded bytes."""
-        out: list[tuple[str, int, bytes]] = [("", 0, b"")] * len(words)
-        whole = [k for k, x in enumerate(words) if 0 < len(x) <= PIECE]
-        if whole:
-            for w, ids, n, raw in self.queried(GATHER, [words[k] for k in whole]):
-                out[whole[w]] = (ids, n, bytes.fromhex(raw))
-        for k, x in enumerate(words):
+    def queried(self, query: str, words: list[bytes]) -> Iterator[tuple[list[bytes], list[list]]]:
+        """Columns of a query over the states of ``words``, by groups of at most ``STATES`` rows; the first is the place in the group."""
+        words = sorted(words, key=len)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        bounds = np.flatnonzero(np.diff(np.cumsum(lens * (lens + 1) // 2) // STATES)) + 1
+        for a, b in zip([0, *bounds], [*bounds, len(words)]):
+            self.load("seed", self.seed(words[a:b]))
+            yield words[a:b], [c.to_pylist() for c in self.db.sql(query).to_arrow_table().columns]
+
+    def contract(self, words: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
+        """For each distinct word, which is not empty, its ids as text and their decoded bytes."""
+        out: dict[bytes, tuple[str, bytes]] = {}
+        if whole := [x for x in words if len(x) <= PIECE]:
+            for group, (place, ids, raw) in self.queried(GATHER, whole):
+                out.update(zip(map(group.__getitem__, place), zip(ids, raw)))
+        for x in words:
             if len(x) > PIECE:
                 ids = self.joined(x)
-                out[k] = (",".join(map(str, ids)), len(ids), self.decode([ids])[0])
+                out[x] = (",".join(map(str, ids)), self.decode([ids])[0])
         return out
 
     def joined(self, word: bytes) -> array:
@@ -140,7 +139,8 @@ class Vocabulary:
                 if len(known) > 2 * TOGETHER:
                     known.clear()
                 ask = list({word[s : s + size] for s in range(a, min(a + more * stride, len(word)), stride)}.difference(known))
-                known.update((ask[w], (pos, tok)) for w, pos, tok in self.queried(PLACES, ask))
+                for group, (place, pos, tok) in self.queried(PLACES, ask):
+                    known.update(zip(map(group.__getitem__, place), zip(pos, tok)))
             return known[key]
 
         at, ids = array("q"), array("i")  # the part done, which ends at byte ``end``
@@ -218,10 +218,12 @@ class Vocabulary:
             self.words.clear()
             self.chars = 0
         if new := list(set().union(*(block for _, block in held)).difference(self.words)):
-            self.words.update(zip(new, self.contract([w.encode() for w in new])))
+            coded = [w.encode() for w in new]
+            found = self.contract(coded)
+            self.words.update(zip(new, map(found.__getitem__, coded)))
             self.chars += sum(map(len, new))
         for k, block in held:
-            yield k, [self.words[w] for w in block]
+            yield k, list(map(self.words.__getitem__, block))
 
 
 _VOCABULARIES: dict[tuple, Vocabulary] = {}
@@ -279,9 +281,10 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     continue
                 if n[k]:
                     coded[k].update(b",")
-                n[k] += sum([x[1] for x in got])
-                coded[k].update(",".join([x[0] for x in got]).encode())
-                raw[k].update(b"".join([x[2] for x in got]))
+                ids = ",".join([x[0] for x in got]).encode()
+                n[k] += ids.count(b",") + 1
+                coded[k].update(ids)
+                raw[k].update(b"".join([x[1] for x in got]))
             return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), *(pa.array([h.hexdigest() for h in hs], pa.string()) for hs in (coded, raw))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return f
