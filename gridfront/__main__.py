@@ -23,11 +23,11 @@ def cell(spark: SparkSession, text: str | None) -> tuple[int, int] | None:
 
 def plan(spark: SparkSession, a: argparse.Namespace) -> int:
     """Prints the ranked routes and their map; 1 if there is none."""
-    cells, params = maps.archive(spark, a.archive, "mission", cell(spark, a.start), cell(spark, a.goal)) if a.archive else maps.control_map(spark, a.map)
+    cells, params, excess = maps.archive(spark, a.archive, "mission", cell(spark, a.start), cell(spark, a.goal)) if a.archive else (*maps.control_map(spark, a.map), None)
     if problems := [r.problem for r in edges.validate(cells, params).collect()]:
         print("; ".join(problems), file=sys.stderr)
         return 2
-    found = routes.ranked(search.search(edges.edges(cells, params), params, (a.method,)), ["case_id"], "route_id", a.weights).cache()
+    found = routes.ranked(search.search(edges.edges(cells, params, excess), params, (a.method,)), ["case_id"], "route_id", a.weights).cache()
     rows = found.select("rank", "route_id", seconds_text(F.col("f1")).alias("time"), vector_text([F.col("f1"), F.col("f2"), F.col("f3")]).alias("costs"), F.round("closeness", 4).alias("closeness"), F.size("path").alias("points")).orderBy("rank").collect()
     if not rows:
         print("no route", file=sys.stderr)

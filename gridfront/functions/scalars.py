@@ -33,15 +33,25 @@ def layer_mean(first: Column, middle: Column, last: Column, dtype: str) -> Colum
     return (total / 5).cast(dtype).cast("double")
 
 
-def ground_time(dx_m: Column, dy_m: Column, dz_m: Column, u: Column, v: Column, v_air: Column) -> Column:
-    """Flight time of an edge against the wind; null if the airspeed cannot hold the track."""
-    d = F.sqrt(dx_m * dx_m + dy_m * dy_m)
+def step_length(dx_m: Column, dy_m: Column) -> Column:
+    return F.sqrt(dx_m * dx_m + dy_m * dy_m)
+
+
+def wind_parts(dx_m: Column, dy_m: Column, d: Column, dz_m: Column, u: Column, v: Column) -> dict[str, Column]:
+    """Wind along and across an edge of length ``d``, and its slope."""
     tx, ty = dx_m / d, dy_m / d
-    along, across, slope = u * tx + v * ty, u * ty - v * tx, dz_m / d
-    a, b = 1.0 + slope * slope, -2.0 * along
-    disc = b * b - 4.0 * a * (along * along + across * across - v_air * v_air)
-    speed = (-b + F.sqrt(disc)) / (2.0 * a)
-    return F.when((disc >= 0) & (speed > 0), d / speed)
+    return {"along": u * tx + v * ty, "across": u * ty - v * tx, "slope": dz_m / d}
+
+
+def speed_discriminant(along: Column, across: Column, slope: Column, v_air: Column) -> Column:
+    """Negative where the airspeed cannot hold the track."""
+    b = -2.0 * along
+    return b * b - 4.0 * (1.0 + slope * slope) * (along * along + across * across - v_air * v_air)
+
+
+def ground_speed(along: Column, slope: Column, disc: Column) -> Column:
+    """Speed over the ground at the discriminant; an edge is flown only where it is positive."""
+    return (2.0 * along + F.sqrt(disc)) / (2.0 * (1.0 + slope * slope))
 
 
 def turn_radius(hx: Column, hy: Column, dx: Column, dy: Column, resolution: Column) -> Column:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridfront.operators.ordering import ranked
+
 #: Weight profiles over (time, navigation, visibility).
 PROFILES = {"emergency": (0.7, 0.2, 0.1), "balanced": (0.5, 0.3, 0.2), "localization_visibility": (0.2, 0.5, 0.3)}
 
 
-def topsis(rows: DataFrame, objectives: list[str], weights: list[float], keys: list[str], tie: str, maximize: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``closeness`` and ``rank`` within each group; a group whose rows are all equal has closeness 0.5.
-
-    The column norms and the ideal points are one aggregate a group, joined back to its rows.
-    """
+def with_ideals(rows: DataFrame, objectives: list[str], keys: list[str]) -> DataFrame:
+    """Adds each group's column norms and ideal points: one aggregate a group, joined back to its rows."""
     stats = rows.groupBy(*keys).agg(*[e for o in objectives for e in (F.sqrt(F.sum(F.col(o) * F.col(o))).alias(f"_n_{o}"), F.min(o).alias(f"_lo_{o}"), F.max(o).alias(f"_hi_{o}"))])
-    r = rows.join(stats, keys) if keys else rows.join(F.broadcast(stats))  # without keys the aggregate is one row
+    return rows.join(stats, keys) if keys else rows.join(F.broadcast(stats))  # without keys the aggregate is one row
+
+
+def closeness(objectives: list[str], weights: list[float], maximize: tuple[str, ...] = ()) -> Column:
+    """Closeness to the ideal of a row of ``with_ideals``; 0.5 where all rows of the group are equal."""
     plus, minus = F.lit(0.0), F.lit(0.0)
     for o, w in zip(objectives, weights):
         scale = F.lit(float(w)) / F.when(F.col(f"_n_{o}") > 0, F.col(f"_n_{o}")).otherwise(1.0)
@@ -23,18 +26,22 @@ def topsis(rows: DataFrame, objectives: list[str], weights: list[float], keys: l
         a, b = (F.col(o) - F.col(best)) * scale, (F.col(o) - F.col(worst)) * scale
         plus, minus = plus + a * a, minus + b * b
     plus, minus = F.sqrt(plus), F.sqrt(minus)
-    closeness = F.when(plus + minus > 0, minus / (plus + minus)).otherwise(0.5)
-    r = r.withColumn("closeness", closeness).drop(*[f"{p}{o}" for o in objectives for p in ("_n_", "_lo_", "_hi_")])
-    return r.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("closeness", 12).desc(), tie)))
+    return F.when(plus + minus > 0, minus / (plus + minus)).otherwise(0.5)
+
+
+def topsis(rows: DataFrame, objectives: list[str], weights: list[float], keys: list[str], tie: str, maximize: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``closeness`` and ``rank`` within each group; ``tie`` orders rows of equal closeness."""
+    r = with_ideals(rows, objectives, keys).withColumn("closeness", closeness(objectives, weights, maximize))
+    r = r.select(*rows.columns, "closeness", (-F.round("closeness", 12)).alias("_down"))
+    return ranked(r, keys, ["_down", tie], "rank").drop("_down")
 
 
 def profile_selection(rows: DataFrame, objectives: list[str], keys: list[str], tie: str, profiles: dict[str, tuple] = PROFILES) -> DataFrame:
-    """The best row of each group under each profile."""
-    out = None
-    for name, weights in profiles.items():
-        best = topsis(rows, objectives, list(weights), keys, tie).filter("rank = 1").withColumn("profile", F.lit(name))
-        out = best if out is None else out.unionByName(best)
-    return out
+    """The best row of each group under each profile: one aggregate that keeps a row a group and profile."""
+    r = with_ideals(rows, objectives, keys)
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("profile"), closeness(objectives, list(w)).alias("closeness")) for name, w in profiles.items()]))
+    best = r.select(*rows.columns, each).groupBy(*keys, "profile").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys], "closeness"), F.struct(-F.round("closeness", 12), tie)).alias("_r"))
+    return best.select(*keys, "profile", "_r.*")
 
 
 def best_per_objective(rows: DataFrame, objectives: list[str], keys: list[str], id_: str) -> DataFrame:

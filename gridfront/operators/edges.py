@@ -1,9 +1,10 @@
 """The directed edge relation of a raster: one gather of neighbours, then column arithmetic.
 
 Every cell sends itself to the nine cells around it and one aggregation puts each 3x3 neighbourhood
-into a map: a single shuffle of nine narrow rows a cell with at most nine values a group, instead of
-one join for the end cell, one for the sampled cell and two for the corners. A neighbour outside the
-grid is absent from the map, which is the bounds check.
+into a map: a single shuffle with at most nine values a group, instead of one join for the end cell,
+one for the sampled cell and two for the corners. A neighbour outside the grid is absent from the map,
+which is the bounds check. Values that later steps use more than once are computed in stages that the
+optimiser does not fold into one expression (``once``), so each is evaluated once an edge.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ def neighbourhood(cells: DataFrame, columns: list[str], keys: tuple[str, ...] =
     return near.filter(F.col("near")[0].isNotNull())  # targets outside the grid have no centre
 
 
+def once(rows: DataFrame, **values) -> DataFrame:
+    """Adds columns that are evaluated once a row: a generator of one row, through which no projection is folded."""
+    held = F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()])))
+    return rows.select("*", held)
+
+
 def edges(cells: DataFrame, params: DataFrame, excess: DataFrame | None = None) -> DataFrame:
     """Feasible directed edges ``case_id, x, y, dx, dy, x1, y1, c1, c2, c3``.
 
@@ -34,11 +41,12 @@ def edges(cells: DataFrame, params: DataFrame, excess: DataFrame | None = None)
     wind below the limit at the cell of least indices, and clears the terrain profile if given.
     """
     near = neighbourhood(cells, LAYERS)
-    step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in S.STEPS])).alias("s")
-    e = near.join(params, "case_id").select("*", step)
-    dx, dy = F.col("s.dx"), F.col("s.dy")
+    step = F.inline(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in S.STEPS]))
+    p = F.broadcast(params) if few(params) else params
+    e = near.join(p.select("case_id", "resolution_m", "v_air", "v_max", "z_max_m", "agl_m", "clearance_m"), "case_id").select("*", step)
+    dx, dy = F.col("dx"), F.col("dy")
     at = lambda kx, ky: F.col("near")[3 * kx + ky]
-    e = e.select("*", dx.alias("dx"), dy.alias("dy"), at(F.lit(0), F.lit(0)).alias("a"), at(dx, dy).alias("b"), at(F.least(dx, F.lit(0)), F.least(dy, F.lit(0))).alias("m"), at(dx, F.lit(0)).alias("p"), at(F.lit(0), dy).alias("q"))
+    e = once(e, a=at(F.lit(0), F.lit(0)), b=at(dx, dy), m=at(F.least(dx, F.lit(0)), F.least(dy, F.lit(0))), p=at(dx, F.lit(0)), q=at(F.lit(0), dy)).drop("near")
     e = e.filter("b is not null and not b.occ").filter("z_max_m is null or b.dem + coalesce(agl_m, 0D) <= z_max_m")
     e = e.filter("dx = 0 or dy = 0 or not (p.occ or q.occ)").filter(S.wind_speed(F.col("m.u"), F.col("m.v")) < F.col("v_max"))
     if excess is not None:
@@ -46,11 +54,19 @@ def edges(cells: DataFrame, params: DataFrame, excess: DataFrame | None = None)
         agl = F.coalesce("agl_m", F.lit(0.0))
         e = e.filter(S.edge_clearance(agl, F.col("excess_m")) + 1e-9 >= F.coalesce("clearance_m", agl))
     res = F.col("resolution_m")
-    t = S.ground_time(F.col("dx") * res, -F.col("dy") * res, F.col("b.dem") - F.col("a.dem"), F.col("m.u"), F.col("m.v"), F.col("v_air"))
     dtype = dict(cells.dtypes)
     mean = lambda c: S.layer_mean(F.col(f"a.{c}"), F.col(f"m.{c}"), F.col(f"b.{c}"), dtype[c])
-    e = e.select("case_id", "x", "y", "dx", "dy", t.alias("c1"), mean("nav").alias("nav"), mean("vis").alias("vis")).filter("c1 is not null")
-    return e.select("case_id", "x", "y", "dx", "dy", (F.col("x") + F.col("dx")).alias("x1"), (F.col("y") + F.col("dy")).alias("y1"), "c1", ((1.0 - F.col("nav")) * F.col("c1")).alias("c2"), ((1.0 - F.col("vis")) * F.col("c1")).alias("c3"))
+    e = once(e, d=S.step_length(dx * res, -dy * res), nav=mean("nav"), vis=mean("vis")).select("case_id", "x", "y", "dx", "dy", "d", "nav", "vis", "m.u", "m.v", "v_air", (F.col("b.dem") - F.col("a.dem")).alias("dz"), "resolution_m")
+    e = once(e, **S.wind_parts(dx * res, -dy * res, F.col("d"), F.col("dz"), F.col("u"), F.col("v")))
+    e = once(e, disc=S.speed_discriminant(F.col("along"), F.col("across"), F.col("slope"), F.col("v_air"))).filter("disc >= 0")
+    e = once(e, speed=S.ground_speed(F.col("along"), F.col("slope"), F.col("disc"))).filter("speed > 0")
+    e = once(e, c1=F.col("d") / F.col("speed"))
+    return e.select("case_id", "x", "y", "dx", "dy", (F.col("x") + dx).alias("x1"), (F.col("y") + dy).alias("y1"), "c1", ((1.0 - F.col("nav")) * F.col("c1")).alias("c2"), ((1.0 - F.col("vis")) * F.col("c1")).alias("c3"))
+
+
+def few(params: DataFrame, most: int = 8 << 20) -> bool:
+    """Whether the parameter table is known to be small enough to send to every task."""
+    return params._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most
 
 
 def turns(edge_rows: DataFrame, params: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfront.functions import scalars as S
+from gridfront.operators.ordering import quantiles
 
 
 def sized(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,7 +104,7 @@ def terrain_metrics(cells: DataFrame, value: str, resolution: float, keys: list[
 
 def robust_normalize(rows: DataFrame, columns: list[str], keys: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Replaces each column by its position between two percentiles of its group, clipped to [0, 1]."""
-    bounds = rows.groupBy(*keys).agg(*[F.percentile(c, [low, high]).alias(f"_b_{c}") for c in columns])
+    bounds = quantiles(rows, keys, columns, (low, high)).withColumnsRenamed({f"_{c}": f"_b_{c}" for c in columns})
     r = rows.join(bounds, keys) if keys else rows.join(F.broadcast(bounds))  # one row without keys
     for c in columns:
         r = r.withColumn(c, S.stretch(F.col(c), F.col(f"_b_{c}")[0], F.col(f"_b_{c}")[1]))
@@ -158,47 +159,64 @@ def edge_profiles(fine: DataFrame, centres: DataFrame, patch: int, keys: list[st
 def smoke_visibility(points: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """``density`` and ``visibility`` at points under Gaussian plumes; points without plumes are clear.
 
-    Plumes are few (at most 10,000, checked), and meet the points as one array of literals.
+    Plumes are few (at most 10,000, checked), and meet the points as one array, so the plan does not grow with them.
     """
     rows = sources.select("x0", "y0", "sigma", "min_vis").limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("at most 10,000 plumes are taken")
-    plumes = sorted(tuple(r) for r in rows)
-    clear, seen = F.lit(1.0), F.lit(1.0)
-    for x0, y0, sigma, min_vis in plumes:
-        d = S.gaussian_density(F.col("px"), F.col("py"), F.lit(x0), F.lit(y0), F.lit(sigma))
-        clear, seen = clear * (1.0 - d), seen * (1.0 - (1.0 - F.lit(min_vis)) * d)
-    return points.select(*keys, (1.0 - clear).alias("density"), seen.alias("visibility"))
-
-
-def ring_touches_box(ring: list[tuple[float, float]], x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether a polygon's ring meets a closed box: an edge crosses or touches it, or it lies inside the ring."""
-    hit = F.lit(False)
-    inside = F.lit(0)
-    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
-    closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    for (ax, ay), (bx, by) in zip(closed[:-1], closed[1:]):
-        lo_x, hi_x, lo_y, hi_y = min(ax, bx), max(ax, bx), min(ay, by), max(ay, by)
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x in (x0, x1) for y in (y0, y1)]
-        apart = (F.greatest(*side) < 0) | (F.least(*side) > 0)
-        hit = hit | ((x0 <= hi_x) & (x1 >= lo_x) & (y0 <= hi_y) & (y1 >= lo_y) & ~apart)
-        if ay != by:
-            inside = inside + F.when((cy >= lo_y) & (cy < hi_y) & (cx < ax + (cy - ay) * (bx - ax) / (by - ay)), 1).otherwise(0)
-    return hit | (inside % 2 == 1)
+    if not rows:
+        return points.select(*keys, F.lit(0.0).alias("density"), F.lit(1.0).alias("visibility"))
+    plumes = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(r, ("x0", "y0", "sigma", "min_vis"))]) for r in sorted(tuple(r) for r in rows)])
+    met = F.transform(plumes, lambda p: F.struct(S.gaussian_density(F.col("px"), F.col("py"), p.x0, p.y0, p.sigma).alias("d"), p.min_vis.alias("m")))
+    clear = F.aggregate("met", F.lit(1.0), lambda a, p: a * (1.0 - p.d))
+    seen = F.aggregate("met", F.lit(1.0), lambda a, p: a * (1.0 - (1.0 - p.m) * p.d))
+    return points.select(*keys, met.alias("met")).select(*keys, (1.0 - clear).alias("density"), seen.alias("visibility"))
+
+
+def rings_of(zones: list[list[tuple[float, float]]]) -> Column:
+    """Polygons as one array: each with its bounds and its sides."""
+    number = lambda n, v: F.lit(float(v)).alias(n)
+    out = []
+    for ring in zones:
+        closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
+        sides = [F.struct(number("ax", a[0]), number("ay", a[1]), number("bx", b[0]), number("by", b[1])) for a, b in zip(closed[:-1], closed[1:])]
+        xs, ys = zip(*closed)
+        out.append(F.struct(number("x0", min(xs)), number("x1", max(xs)), number("y0", min(ys)), number("y1", max(ys)), F.array(*sides).alias("sides")))
+    return F.array(*out)
+
+
+def ring_touches_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a polygon's ring meets a closed box: a side crosses or touches it, or it lies inside the ring."""
+
+    def crosses(s: Column) -> Column:
+        side = [(s.bx - s.ax) * (y - s.ay) - (s.by - s.ay) * (x - s.ax) for x in (x0, x1) for y in (y0, y1)]
+        near = (x0 <= F.greatest(s.ax, s.bx)) & (x1 >= F.least(s.ax, s.bx)) & (y0 <= F.greatest(s.ay, s.by)) & (y1 >= F.least(s.ay, s.by))
+        return near & (F.greatest(*side) >= 0) & (F.least(*side) <= 0)
+
+    def right_of(s: Column) -> Column:
+        cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+        level = (s.ay != s.by) & (cy >= F.least(s.ay, s.by)) & (cy < F.greatest(s.ay, s.by))
+        return F.when(level, (cx < s.ax + (cy - s.ay) * (s.bx - s.ax) / F.nullif(s.by - s.ay, F.lit(0.0))).cast("int")).otherwise(0)
+
+    bounds = (x0 <= ring.x1) & (x1 >= ring.x0) & (y0 <= ring.y1) & (y1 >= ring.y0)
+    inside = F.aggregate(ring.sides, F.lit(0), lambda n, s: n + right_of(s)) % 2 == 1
+    return bounds & (F.exists(ring.sides, crosses) | inside)
 
 
 def in_zones(cells: DataFrame, zones: list[list[tuple[float, float]]], extent: tuple[float, float, float, float], keys: list[str]) -> DataFrame:
-    """Adds ``in_zone``: whether any polygon touches the cell; ``extent`` is (xmin, xmax, ymin, ymax), row 0 in the north."""
-    if sum(map(len, zones)) > 20_000:
-        raise ValueError("zones of at most 20,000 corners are taken")
-    xmin, xmax, ymin, ymax = extent
+    """Adds ``in_zone``: whether any polygon touches the cell; ``extent`` is (xmin, xmax, ymin, ymax), row 0 in the north.
+
+    The polygons are one array of constants (a list on the driver to begin with); a cell looks at a polygon's sides
+    only where it meets its bounds, and the plan does not grow with them.
+    """
     c = sized(cells, keys)
+    if not zones:
+        return c.withColumn("in_zone", F.lit(False)).drop("width", "height")
+    xmin, xmax, ymin, ymax = extent
     w, h = (xmax - xmin) / F.col("width"), (ymax - ymin) / F.col("height")
-    box = (xmin + F.col("x") * w, ymax - (F.col("y") + 1) * h, xmin + (F.col("x") + 1) * w, ymax - F.col("y") * h)
-    hit = F.lit(False)
-    for ring in zones:
-        hit = hit | ring_touches_box(ring, *box)
-    return c.withColumn("in_zone", hit).drop("width", "height")
+    box = {"_x0": xmin + F.col("x") * w, "_y0": ymax - (F.col("y") + 1) * h, "_x1": xmin + (F.col("x") + 1) * w, "_y1": ymax - F.col("y") * h}
+    hit = F.exists(rings_of(zones), lambda r: ring_touches_box(r, *map(F.col, box)))
+    return c.withColumns(box).withColumn("in_zone", hit).drop("width", "height", *box)
 
 
 def landing_candidates(cells: DataFrame, resolution: float, keys: list[str], min_visibility: float = 0.7, max_slope: float = 0.05) -> DataFrame:

@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfront.operators.ordering import running_total
+from gridfront.operators.ordering import quantiles, running_total
 
 
 def group_quartiles(rows: DataFrame, keys: list[str], metrics: list[str], feasible: str = "feasible") -> DataFrame:
-    """Feasible count and rate over all rows, quartiles of each metric over feasible rows."""
+    """Feasible count and rate over all rows, quartiles of each metric over feasible rows; no task holds a group."""
     of = lambda m: F.when(F.col(feasible), F.col(m))
-    out = rows.groupBy(*keys).agg(F.sum(F.col(feasible).cast("long")).alias("instances"), F.avg(F.col(feasible).cast("double")).alias("feasibility_rate"), *[F.percentile(of(m), [0.25, 0.5, 0.75]).alias(f"_{m}") for m in metrics])
+    out = rows.groupBy(*keys).agg(F.sum(F.col(feasible).cast("long")).alias("instances"), F.avg(F.col(feasible).cast("double")).alias("feasibility_rate"))
+    places = quantiles(rows.select(*keys, *[of(m).alias(m) for m in metrics]), keys, metrics, (0.25, 0.5, 0.75))
+    out = out.join(places, keys, "left")
     return out.select(*keys, "instances", "feasibility_rate", *[F.col(f"_{m}")[i].alias(f"{m}_{q}") for m in metrics for i, q in enumerate(("q1", "median", "q3"))])
 
 
@@ -56,32 +58,41 @@ def paired_summary(diffs: DataFrame) -> DataFrame:
     return base.join(F.broadcast(effect))  # one row each
 
 
-def wilcoxon_p(diffs: np.ndarray) -> float | None:
-    """Two-sided p-value of the signed-rank test: exact for up to 50 untied differences, else by the normal approximation."""
-    d = diffs[np.abs(diffs) > 1e-12]
-    n = len(d)
+def signed_rank_p(n: int, low: float, ties: int, untied: bool) -> float | None:
+    """Two-sided p-value of the lesser rank sum: exact for up to 50 untied differences, else by the normal approximation."""
     if not n:
         return None
-    mags, inverse, counts = np.unique(np.abs(d), return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
-    plus = ranks[d > 0].sum()
-    low = min(plus, ranks.sum() - plus)
-    if n <= 50 and (counts == 1).all():
+    if n <= 50 and untied:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1.0
         for r in range(1, n + 1):
             ways[r:] = ways[r:] + ways[:-r]
         return float(min(1.0, 2 * ways[: int(low) + 1].sum() / 2.0**n))
-    var = n * (n + 1) * (2 * n + 1) / 24 - (counts**3 - counts).sum() / 48
+    var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     z = (low - n * (n + 1) / 4) / math.sqrt(var)
     return float(min(1.0, math.erfc(abs(z) / math.sqrt(2))))
 
 
 def wilcoxon(diffs: DataFrame, keys: list[str]) -> DataFrame:
-    """P-value by group of differences."""
-    kinds = dict(diffs.dtypes)
+    """``keys, n, nonzero, statistic, p_value``: the signed-rank test by group of differences.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [len(pdf)], "p_value": [wilcoxon_p(pdf["diff"].to_numpy(float))]})
+    Average ranks come from a running count over distinct absolute differences, so no task holds a group; only
+    one row of sums a group reaches Python, for the distribution. Null p-value and statistic without differences.
+    """
+    every = diffs.groupBy(*keys).agg(F.count("diff").alias("n"))
+    d = diffs.filter(F.abs("diff") > 1e-12).groupBy(*keys, F.abs("diff").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("diff") > 0).alias("up"))
+    placed = running_total(d, [*keys, "m"], "t", "upto")
+    start = placed.groupBy(*keys).agg(F.min(F.col("upto") - F.col("t")).alias("start"))
+    placed = placed.join(start, keys).withColumn("rank", F.col("upto") - F.col("start") - (F.col("t") - 1) / 2)
+    t = F.col("t")
+    sums = placed.groupBy(*keys).agg(F.sum(t).alias("nonzero"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(t * F.col("rank")).alias("whole"), F.sum(t * t * t - t).alias("ties"))
+    sums = every.join(sums, keys, "left").select(*keys, "n", F.coalesce("nonzero", F.lit(0)).alias("nonzero"), F.least(F.col("plus"), F.col("whole") - F.col("plus")).alias("statistic"), F.coalesce("ties", F.lit(0)).alias("ties"))
+
+    def run(batches):
+        for pdf in batches:
+            p = [signed_rank_p(int(n), low, int(ties), ties == 0) for n, low, ties in zip(pdf.nonzero_, pdf.statistic, pdf.ties)]
+            yield pdf.drop(columns=["ties"]).rename(columns={"nonzero_": "nonzero"}).assign(p_value=pd.Series(p, dtype="float64", index=pdf.index))
 
-    return diffs.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, p_value double")
+    kinds = dict(diffs.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, nonzero long, statistic double, p_value double"
+    return sums.withColumnRenamed("nonzero", "nonzero_").mapInPandas(run, schema)

@@ -118,8 +118,18 @@ def many(spark: SparkSession, names: tuple[str, ...]) -> list[tuple[DataFrame, D
     return list(groups.values())
 
 
-def archive(spark: SparkSession, path: str, case_id: str, start: tuple | None = None, goal: tuple | None = None) -> tuple[DataFrame, DataFrame]:
-    """A map from an ``.npz`` archive of aligned layers, read from any file system that Spark reads."""
+#: Layers that an archive must hold, and those that it may hold beside them, with their columns.
+NEEDED = {"dem": "dem", "nav_density": "nav", "visibility": "vis"}
+OPTIONAL = {"dem_max": "dem_max", "visual_richness": "visual_richness", "rugosity": "rugosity"}
+
+
+def archive(spark: SparkSession, path: str, case_id: str, start: tuple | None = None, goal: tuple | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """A map from an ``.npz`` archive of aligned layers, read from any file system that Spark reads.
+
+    Gives ``cells`` (with the optional layers that the archive holds), ``params``, and the terrain profile
+    ``case_id, x, y, dx, dy, excess_m`` of the directed edges, None without one. Start and goal come from
+    the arguments or from the archive; neither is an error. A value of the profile that is not finite bars its edge.
+    """
     import io
 
     raw = spark.read.format("binaryFile").load(path).select("content").first()
@@ -130,18 +140,29 @@ def archive(spark: SparkSession, path: str, case_id: str, start: tuple | None =
     if missing:
         raise ValueError(f"the archive lacks {', '.join(missing)}")
     h, w = z["dem"].shape
-    for k in ("nav_density", "visibility", "occupancy"):
-        if z[k].shape != (h, w):
-            raise ValueError("layers must have one shape")
+    shapes = {k: z[k].shape for k in (*NEEDED, *OPTIONAL, "occupancy", "landing_sites") if k in z} | {"wind_field": z["wind_field"].shape[:2]}
+    if wrong := [k for k, s in shapes.items() if s != (h, w)]:
+        raise ValueError(f"layers must have one shape; not so: {', '.join(wrong)}")
+    if "edge_terrain_excess_m" in z and z["edge_terrain_excess_m"].shape != (h, w, 3, 3):
+        raise ValueError("the terrain profile must have three by three values a cell")
+    if lacks := [k for k, v in (("goal", goal), ("start", start)) if v is None and k not in z]:
+        raise ValueError(f"the archive lacks {' and '.join(lacks)}, and none is given")
     number = lambda k, d=None: float(z[k]) if k in z and not np.isnan(float(z[k])) else d
-    cell = lambda v, k: tuple(int(q) for q in (v if v is not None else z[k] if k in z else (0, 0)))
+    cell = lambda v, k: tuple(int(q) for q in (v if v is not None else z[k]))
     yy, xx = np.mgrid[:h, :w]
     import pandas as pd
 
     kind = lambda a: "float" if a.dtype == np.float32 else "double"
-    cols = {"dem": z["dem"], "nav": z["nav_density"], "vis": z["visibility"], "u": z["wind_field"][..., 0], "v": z["wind_field"][..., 1]}
+    cols = {c: z[k] for k, c in (NEEDED | OPTIONAL).items() if k in z} | {"u": z["wind_field"][..., 0], "v": z["wind_field"][..., 1]}
+    cols = {c: cols[c] for c in ("dem", "nav", "vis", "u", "v", *OPTIONAL.values()) if c in cols}
     pdf = pd.DataFrame({"case_id": case_id, "x": xx.ravel().astype(np.int32), "y": yy.ravel().astype(np.int32)} | {k: a.ravel() for k, a in cols.items()} | {"occ": z["occupancy"].astype(bool).ravel()})
     cells = spark.createDataFrame(pdf, "case_id string, x int, y int, " + ", ".join(f"{k} {kind(a)}" for k, a in cols.items()) + ", occ boolean")
     sites = [(int(x), int(y)) for y, x in np.argwhere(z["landing_sites"])] if "landing_sites" in z else None
     row = (case_id, w, h, number("resolution_m", 10.0), cell(start, "start"), cell(goal, "goal"), number("v_air", 15.0), number("v_max", 12.0), number("v_air_min_mps", 0.1), number("v_air_max_mps"), number("z_max_m"), number("cruise_altitude_agl_m"), number("min_terrain_clearance_m"), number("battery_energy_wh"), number("energy_reserve_wh"), number("cruise_power_w"), number("min_turn_radius_m"), sites)
-    return cells, spark.createDataFrame([row], PARAMS)
+    excess = None
+    if "edge_terrain_excess_m" in z:
+        e = z["edge_terrain_excess_m"].astype(float)
+        dy, dx = np.mgrid[-1:2, -1:2]
+        table = pd.DataFrame({"case_id": case_id} | {k: np.broadcast_to(v, e.shape).ravel().astype(np.int32) for k, v in (("x", xx[..., None, None]), ("y", yy[..., None, None]), ("dx", dx), ("dy", dy))} | {"excess_m": np.where(np.isfinite(e), e, np.inf).ravel()})
+        excess = spark.createDataFrame(table[(table.dx != 0) | (table.dy != 0)], "case_id string, x int, y int, dx int, dy int, excess_m double")
+    return cells, spark.createDataFrame([row], PARAMS), excess

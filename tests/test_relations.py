@@ -251,8 +251,10 @@ def test_statistics(spark):
     s = stats.paired_summary(d).first()
     assert (s.n, s.median_difference, s.superiority_rate, s.nonzero) == (5, 1.0, 0.6, 4)
     assert s.rank_biserial == pytest.approx((1 - 2 + 3.5 + 3.5) / 10)
-    assert stats.wilcoxon_p(np.array([1.0, 2.0, 3.0, 4.0, 5.0])) == pytest.approx(0.0625)
-    assert stats.wilcoxon_p(np.zeros(3)) is None
+    d = spark.createDataFrame([("five", float(k)) for k in range(1, 6)] + [("none", 0.0)] * 3, "pair string, diff double")
+    got = {r.pair: r for r in stats.wilcoxon(d, ["pair"]).collect()}
+    assert got["five"].p_value == pytest.approx(0.0625) and got["five"].statistic == 0.0
+    assert got["none"].p_value is None and got["none"].n == 3 and got["none"].nonzero == 0
     b = stats.bootstrap_median(spark.createDataFrame([("m", float(k)) for k in range(20)], "m string, v double"), ["m"], "v").first()
     assert b.ci_low < 9.5 < b.ci_high
 
@@ -314,9 +316,25 @@ def test_files(spark, tmp_path):
 def test_archive(spark, tmp_path):
     z = {"dem": np.arange(12.0).reshape(3, 4), "nav_density": np.full((3, 4), 0.5, np.float32), "visibility": np.ones((3, 4)), "wind_field": np.zeros((3, 4, 2)), "occupancy": np.zeros((3, 4), bool), "resolution_m": 20.0, "start": np.array([0, 0]), "goal": np.array([3, 2])}
     np.savez_compressed(tmp_path / "m.npz", **z)
-    c, p = maps.archive(spark, str(tmp_path / "m.npz"), "arc")
+    c, p, none = maps.archive(spark, str(tmp_path / "m.npz"), "arc")
+    assert none is None
     assert c.count() == 12 and c.filter("x = 3 and y = 2").first().dem == 11.0 and p.first().goal.x == 3
     assert search.search(edges.edges(c, p), p).count() >= 1
+    # a profile that bars the step from (1, 1) to the east, and one that is not finite to the south
+    profile = np.zeros((3, 4, 3, 3))
+    profile[1, 1, 1, 2], profile[1, 1, 2, 1] = 30.0, np.nan
+    np.savez_compressed(tmp_path / "p.npz", **z, edge_terrain_excess_m=profile, dem_max=z["dem"] + 1, visual_richness=z["visibility"], cruise_altitude_agl_m=25.0)
+    c, p, excess = maps.archive(spark, str(tmp_path / "p.npz"), "arc")
+    assert {"dem_max", "visual_richness"} <= set(c.columns) and excess.count() == 96
+    key = ["x", "y", "dx", "dy"]
+    free, barred = ({tuple(r) for r in edges.edges(c, p, e).select(*key).collect()} for e in (None, excess))
+    assert free - barred == set(free) - set(barred) and all(excess.filter(f"x = {x} and y = {y} and dx = {dx} and dy = {dy}").first().excess_m > 0 for x, y, dx, dy in free - barred)
+    no_margin = p.withColumn("clearance_m", F.lit(0.0))
+    assert {tuple(r) for r in edges.edges(c, no_margin, excess).select(*key).collect()} == free - {(1, 1, 1, 0), (1, 1, 0, 1)}
+    np.savez_compressed(tmp_path / "ends.npz", **{k: v for k, v in z.items() if k != "goal"})
+    with pytest.raises(ValueError, match="goal"):
+        maps.archive(spark, str(tmp_path / "ends.npz"), "arc")
+    assert maps.archive(spark, str(tmp_path / "ends.npz"), "arc", goal=(2, 1))[1].first().goal.x == 2
     np.savez_compressed(tmp_path / "bad.npz", dem=z["dem"])
     with pytest.raises(ValueError, match="lacks"):
         maps.archive(spark, str(tmp_path / "bad.npz"), "bad")
