@@ -44,6 +44,16 @@ def profile_selection(rows: DataFrame, objectives: list[str], keys: list[str], t
     return best.select(*keys, "profile", "_r.*")
 
 
+def premiums(rows: DataFrame, objectives: list[str], baseline: str, tie: str, scenario: str = "scenario", method: str = "method", profiles: dict[str, tuple] = PROFILES) -> DataFrame:
+    """Each method's choice under each profile against the baseline method's: ``time_premium``, ``nav_improvement`` and
+    ``visibility_improvement``, null where the baseline has no route."""
+    best = profile_selection(rows, objectives, [scenario, method], tie, profiles).select(scenario, method, "profile", *objectives)
+    base = best.filter(F.col(method) == baseline).select(scenario, "profile", *[F.col(o).alias(f"_{o}") for o in objectives])
+    f1, f2, f3 = objectives
+    out = best.join(base, [scenario, "profile"], "left")
+    return out.select(scenario, method, "profile", *objectives, (F.col(f1) - F.col(f"_{f1}")).alias("time_premium"), (F.col(f"_{f2}") - F.col(f2)).alias("nav_improvement"), (F.col(f"_{f3}") - F.col(f3)).alias("visibility_improvement"))
+
+
 def best_per_objective(rows: DataFrame, objectives: list[str], keys: list[str], id_: str) -> DataFrame:
     """Each objective's minimum and the first row that has it."""
     return rows.groupBy(*keys).agg(*[e for o in objectives for e in (F.min(o).alias(f"best_{o}"), F.min_by(id_, F.struct(o, id_)).alias(f"best_{o}_{id_}"))])

@@ -44,6 +44,17 @@ def best(rows: DataFrame, n: int) -> DataFrame:
     return rows.filter(F.col("rank") <= n)
 
 
+def representative(rows: DataFrame, keys: list[str], id_: str, limit: int = 8) -> DataFrame:
+    """The routes to show of each case: all of them up to ``limit``, else the first best of each cost and the selected one.
+
+    ``rows`` come from ``ranked``; one aggregate a case, joined back.
+    """
+    best = [F.min_by(id_, F.struct(o, id_)).alias(f"_{o}") for o in ("f1", "f2", "f3")]
+    each = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *best, F.min_by(id_, "rank").alias("_best"))
+    r = rows.join(each, keys)
+    return r.filter((F.col("_n") <= limit) | F.col(id_).isin(*[F.col(c) for c in ("_f1", "_f2", "_f3", "_best")])).select(*rows.columns)
+
+
 def text_map(cells: DataFrame, path: DataFrame, params: DataFrame) -> DataFrame:
     """One line of text a row of each grid: ``*`` route, ``S``, ``G``, ``X`` occupied, ``~`` no navigation, ``o`` landing site, ``f`` fog."""
     c = cells.join(path.select("case_id", "x", "y", F.lit(True).alias("_on")).distinct(), ["case_id", "x", "y"], "left").join(params.select("case_id", "start", "goal", "sites"), "case_id")

@@ -21,6 +21,19 @@ def group_quartiles(rows: DataFrame, keys: list[str], metrics: list[str], feasib
     return out.select(*keys, "instances", "feasibility_rate", *[F.col(f"_{m}")[i].alias(f"{m}_{q}") for m in metrics for i, q in enumerate(("q1", "median", "q3"))])
 
 
+#: The metrics of an aggregate.
+METRICS = ["normalized_hypervolume", "union_front_recall", "runtime_ms", "peak_memory_kib", "solution_count"]
+
+
+def aggregate(rows: DataFrame, keys: list[str], metrics: list[str] = METRICS, order: str | None = None, feasible: str = "feasible") -> DataFrame:
+    """``group_quartiles`` with the 95 % interval of each metric's median (``<metric>_ci95_low``, ``_ci95_high``)."""
+    out = group_quartiles(rows, keys, metrics, feasible)
+    for m in metrics:
+        ci = bootstrap_median(rows.filter(F.col(feasible) & F.col(m).isNotNull()).select(*keys, m, *([order] if order else [])), keys, m, order=order)
+        out = out.join(ci.withColumnsRenamed({"ci_low": f"{m}_ci95_low", "ci_high": f"{m}_ci95_high"}), keys, "left")
+    return out
+
+
 def bootstrap_median(rows: DataFrame, keys: list[str], metric: str, samples: int = 2000, seed: int = 2026, order: str | None = None) -> DataFrame:
     """95 % interval of the median by resampling, the same generator for each group; medians of a group stay in one task.
 
@@ -51,7 +64,9 @@ def paired_summary(diffs: DataFrame) -> DataFrame:
     Average ranks need how many differences are smaller and how many equal; they come from one
     aggregate of distinct absolute differences and a running sum over it.
     """
-    base = diffs.agg(F.count("*").alias("n"), F.percentile("diff", 0.5).alias("median_difference"), F.avg((F.col("diff") > 0).cast("double")).alias("superiority_rate"))
+    base = diffs.agg(F.count("*").alias("n"), F.avg((F.col("diff") > 0).cast("double")).alias("superiority_rate"))
+    middle = quantiles(diffs, [], ["diff"], (0.5,)).select(F.col("_diff")[0].alias("median_difference"))
+    base = base.join(F.broadcast(middle), how="left").select("n", "median_difference", "superiority_rate")
     ties = diffs.filter(F.abs("diff") > 1e-12).groupBy(F.abs("diff").alias("m")).agg(F.count("*").alias("t"), F.sum(F.signum("diff")).alias("s"))
     ranked = running_total(ties, ["m"], "t", "upto").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
     effect = ranked.agg((F.sum(F.col("s") * F.col("rank")) / F.sum(F.col("t") * F.col("rank"))).alias("rank_biserial"), F.sum("t").alias("nonzero"))

@@ -80,6 +80,20 @@ def grid_edges(spark, sf):
     return rounded(e.select("x", "y", "dx", "dy", "c1", "c2", "c3"), ["c1", "c2", "c3"])
 
 
+@query("profile_edges", f"""WITH {EDGES}, k AS (SELECT (p_partkey % 50)::INT AS x, (p_partkey // 50)::INT AS y, p_partkey AS k FROM part),
+ ex AS (SELECT x, y, dx, dy, CASE WHEN k % 97 = 0 THEN NULL ELSE (k * 7 + dx * 3 + dy * 5 + 8) % 11 - 2e0 END AS excess FROM k, steps WHERE (k + dx + dy + 2) % 4 <> 0)
+ SELECT e.x, e.y, e.dx::INT AS dx, e.dy::INT AS dy, round(c1, 6) AS c1 FROM edges e LEFT JOIN (SELECT *, true AS known FROM ex) ex USING (x, y, dx, dy)
+ WHERE known IS NULL OR (excess IS NOT NULL AND 5e0 - excess + 1e-9 >= 3e0)""")
+def profile_edges(spark, sf):
+    """Edges that clear a terrain profile: some edges have none, and some a value that is not finite and bars them."""
+    c = grid(spark, sf)
+    k = F.col("p_partkey")
+    p = load(spark, sf, "part").select(F.lit("part").alias("case_id"), "p_partkey", (k % 50).cast("int").alias("x"), F.floor(k / 50).cast("int").alias("y"), F.inline(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in S.STEPS])))
+    excess = p.filter((k + F.col("dx") + F.col("dy") + 2) % 4 != 0).select("case_id", "x", "y", "dx", "dy", F.when(k % 97 == 0, F.lit(S.INF)).otherwise((k * 7 + F.col("dx") * 3 + F.col("dy") * 5 + 8) % 11 - 2.0).alias("excess_m"))
+    e = edges.edges(c, params(spark).withColumn("clearance_m", F.lit(3.0)), excess)
+    return rounded(e.select("x", "y", "dx", "dy", "c1"), ["c1"])
+
+
 @query("mean_pool", f"WITH {GRID} SELECT (x // 5)::INT AS x, (y // 5)::INT AS y, round(avg(dem), 6) AS dem, round(avg(vis), 6) AS vis FROM grid GROUP BY ALL HAVING count(*) = 25")
 def mean_pool(spark, sf):
     return rounded(raster.mean_pool(grid(spark, sf), 5, ["dem", "vis"], []), ["dem", "vis"])
@@ -254,9 +268,49 @@ def hypervolume(spark, sf):
     return rounded(pareto.hypervolume(s, ref, OBJ), ["hypervolume"], 3)
 
 
-@query("scenario_metrics")
+HV_STEPS = ", ".join(f"a{k} AS (SELECT scenario, method, v AS lo, lead(v) OVER (PARTITION BY scenario, method ORDER BY v) AS hi FROM (SELECT scenario, method, f{k} AS v FROM pf UNION SELECT DISTINCT scenario, method, r{k} FROM pf JOIN ref USING (scenario)))" for k in (1, 2, 3))
+#: Methods of the measures; the last one never has a route.
+METHODS = ("F", "O", "none")
+METRICS = f"""{REF}, runs AS (SELECT scenario, method, true AS feasible, count(*) AS n FROM sol GROUP BY 1, 2 UNION ALL SELECT DISTINCT scenario, 'none', false, 0 FROM sol),
+ pts AS (SELECT DISTINCT s.* FROM (SELECT scenario, method, f1, f2, f3 FROM sol UNION ALL SELECT scenario, '#', f1, f2, f3 FROM front) s JOIN ref USING (scenario) WHERE f1 < r1 - 1e-9 AND f2 < r2 - 1e-9 AND f3 < r3 - 1e-9),
+ pf AS (SELECT * FROM pts a WHERE NOT EXISTS (SELECT 1 FROM pts b WHERE b.scenario = a.scenario AND b.method = a.method AND {BEATS})), {HV_STEPS},
+ box AS (SELECT a1.scenario, a1.method, a1.lo AS x, a2.lo AS y, a3.lo AS z, (a1.hi - a1.lo) * (a2.hi - a2.lo) * (a3.hi - a3.lo) AS vol FROM a1 JOIN a2 USING (scenario, method) JOIN a3 USING (scenario, method) WHERE a1.hi IS NOT NULL AND a2.hi IS NOT NULL AND a3.hi IS NOT NULL),
+ hv AS (SELECT scenario, method, sum(vol) AS hv FROM box b WHERE EXISTS (SELECT 1 FROM pf p WHERE p.scenario = b.scenario AND p.method = b.method AND p.f1 <= b.x + 1e-9 AND p.f2 <= b.y + 1e-9 AND p.f3 <= b.z + 1e-9) GROUP BY 1, 2),
+ gap AS (SELECT f.scenario, s.method, min(greatest(s.f1 - f.f1, s.f2 - f.f2, s.f3 - f.f3)) AS gap FROM front f JOIN sol s ON s.scenario = f.scenario GROUP BY f.scenario, s.method, f.f1, f.f2, f.f3),
+ eps AS (SELECT scenario, method, max(gap) AS eps FROM gap GROUP BY 1, 2),
+ rec AS (SELECT m.scenario, m.method, avg(EXISTS (SELECT 1 FROM sol s WHERE s.scenario = f.scenario AND s.method = m.method AND {NEAR})::INT) AS rec FROM runs m JOIN front f USING (scenario) GROUP BY 1, 2),
+ cov AS (SELECT r.scenario, r.method AS a, s.method AS b, avg(EXISTS (SELECT 1 FROM sol p WHERE p.scenario = s.scenario AND p.method = r.method AND p.f1 <= s.f1 + 1e-9 AND p.f2 <= s.f2 + 1e-9 AND p.f3 <= s.f3 + 1e-9)::INT) AS cov
+  FROM runs r JOIN sol s ON s.scenario = r.scenario AND s.method <> r.method GROUP BY 1, 2, 3),
+ measured AS (SELECT r.scenario, r.method, r.feasible, r.n, round(coalesce(h.hv, 0), 3) AS hypervolume, round(CASE WHEN u.hv > 1e-9 THEN coalesce(h.hv, 0) / u.hv ELSE r.feasible::INT END, 6) AS normalized_hypervolume,
+  round(eps, 6) + 0 AS additive_epsilon, round(coalesce(rec, 0), 6) AS union_front_recall, round(r1, 6) AS q1, round(r2, 6) AS q2, round(r3, 6) AS q3,
+  {", ".join(f"(SELECT round(cov, 6) FROM cov WHERE cov.scenario = r.scenario AND cov.a = r.method AND cov.b = '{m}') AS coverage_of_{m}" for m in METHODS)}
+  FROM runs r JOIN ref USING (scenario) LEFT JOIN hv h USING (scenario, method) LEFT JOIN hv u ON u.scenario = r.scenario AND u.method = '#' LEFT JOIN eps USING (scenario, method) LEFT JOIN rec USING (scenario, method))"""
+COVERS = [f"coverage_of_{m}" for m in METHODS]
+
+
+def scenario_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A run for each scenario and method, and one without a route for each scenario."""
+    s = solutions(spark, sf)
+    own = s.groupBy("scenario", "method").agg(F.lit(True).alias("feasible"), F.count("*").alias("n"))
+    return own.union(s.select("scenario").distinct().select("scenario", F.lit("none").alias("method"), F.lit(False).alias("feasible"), F.lit(0).cast("long").alias("n")))
+
+
+@query("scenario_metrics", f"WITH {METRICS} SELECT scenario, method, feasible, hypervolume, normalized_hypervolume, additive_epsilon, union_front_recall, q1 AS ref_f1, q2 AS ref_f2, q3 AS ref_f3, {', '.join(COVERS)} FROM measured")
 def scenario_metrics(spark, sf):
-    return pareto.scenario_metrics(solutions(spark, sf), OBJ)
+    m = pareto.scenario_metrics(solutions(spark, sf), OBJ, runs=scenario_runs(spark, sf))
+    m = m.select("*", *[F.try_element_at("coverage", F.lit(x)).alias(f"coverage_of_{x}") for x in METHODS]).drop("coverage")
+    return rounded(rounded(m, ["normalized_hypervolume", "additive_epsilon", "union_front_recall", "ref_f1", "ref_f2", "ref_f3", *COVERS]), ["hypervolume"], 3)
+
+
+@query("summary_rows", f"""WITH {METRICS}, best AS (SELECT scenario, method, min(f1) AS b1, min(f2) AS b2, min(f3) AS b3 FROM sol GROUP BY 1, 2)
+ SELECT scenario, 'lineitem' AS source, method, feasible, n * 0.5e0 AS runtime_ms, n AS n_expanded, 2 * n AS n_generated, CASE WHEN feasible THEN n * 2e0 END AS peak_memory_kib, n AS solution_count,
+  round(b1, 6) AS best_f1_time_s, round(b2, 6) AS best_f2_nav_deficit_s, round(b3, 6) AS best_f3_visibility_deficit_s, hypervolume, normalized_hypervolume, additive_epsilon, union_front_recall,
+  q1 AS reference_f1, q2 AS reference_f2, q3 AS reference_f3, {', '.join(COVERS)} FROM measured LEFT JOIN best USING (scenario, method)""")
+def summary_rows(spark, sf):
+    n = F.col("n")
+    r = scenario_runs(spark, sf).select("scenario", F.lit("lineitem").alias("source"), "method", "feasible", (n * 0.5).alias("runtime_ms"), n.alias("n_expanded"), (2 * n).alias("n_generated"), F.when(F.col("feasible"), n * 2.0).alias("peak_memory_kib"))
+    rows = pareto.summary_rows(solutions(spark, sf), r, OBJ, list(METHODS))
+    return rounded(rounded(rows, ["normalized_hypervolume", "additive_epsilon", "union_front_recall", *pareto.BEST, *pareto.REFERENCE, *COVERS]), ["hypervolume"], 3)
 
 
 def topsis_sql(weights, source="sol") -> str:
@@ -291,6 +345,20 @@ def profile_selection(spark, sf):
     return rounded(decision.profile_selection(tied(spark, sf), OBJ, ["scenario"], "key").select("profile", "scenario", "method", "id", "closeness"), ["closeness"])
 
 
+@query("profile_premiums", f"""WITH {SOL}, own AS (SELECT scenario AS sc, scenario || '|' || method AS scenario, method, id, f1, f2, f3 FROM sol), picks AS (""" + " UNION ALL ".join(f"SELECT * FROM (WITH {topsis_sql(w, 'own')} SELECT '{p}' AS profile, sc, method, f1, f2, f3 FROM rk WHERE rank = 1)" for p, w in decision.PROFILES.items()) + """)
+ SELECT p.sc AS scenario, p.method, p.profile, round(p.f1, 6) AS f1, round(p.f2, 6) AS f2, round(p.f3, 6) AS f3, round(p.f1 - b.f1, 6) + 0 AS time_premium, round(b.f2 - p.f2, 6) + 0 AS nav_improvement, round(b.f3 - p.f3, 6) + 0 AS visibility_improvement
+ FROM picks p LEFT JOIN picks b ON b.sc = p.sc AND b.profile = p.profile AND b.method = 'F'""")
+def profile_premiums(spark, sf):
+    return rounded(decision.premiums(tied(spark, sf), OBJ, "F", "key"), [*OBJ, "time_premium", "nav_improvement", "visibility_improvement"])
+
+
+@query("representative_routes", f"""WITH {SOL}, {topsis_sql((0.5, 0.3, 0.2))}, c AS (SELECT *, count(*) OVER (PARTITION BY scenario, method) AS n, row_number() OVER (PARTITION BY scenario, method ORDER BY rank) AS b0,
+  row_number() OVER (PARTITION BY scenario, method ORDER BY f1, id) AS b1, row_number() OVER (PARTITION BY scenario, method ORDER BY f2, id) AS b2, row_number() OVER (PARTITION BY scenario, method ORDER BY f3, id) AS b3 FROM rk)
+ SELECT scenario, method, id, rank::INT AS rank FROM c WHERE n <= 8 OR 1 IN (b0, b1, b2, b3)""")
+def representative_routes(spark, sf):
+    return routes.representative(routes.ranked(tied(spark, sf), ["scenario"], "key"), ["scenario", "method"], "id").select("scenario", "method", "id", "rank")
+
+
 @query("best_per_objective", f"WITH {SOL} SELECT scenario, method, round(min(f1), 6) AS best_f1, first(id ORDER BY f1, id) AS best_f1_id, round(min(f2), 6) AS best_f2, first(id ORDER BY f2, id) AS best_f2_id, round(min(f3), 6) AS best_f3, first(id ORDER BY f3, id) AS best_f3_id FROM sol GROUP BY 1, 2")
 def best_per_objective(spark, sf):
     return rounded(decision.best_per_objective(solutions(spark, sf), OBJ, ["scenario", "method"], "id"), ["best_f1", "best_f2", "best_f3"])
@@ -340,7 +408,13 @@ def time_to_landing(spark, sf):
     return rounded(paths.cost_to_targets(e, t, "c1", ["case_id", "x", "y"], ["case_id", "x1", "y1"]).drop("case_id"), ["cost"])
 
 
-@query("time_to_landing_turns")
+@query("time_to_landing_turns", f"""WITH RECURSIVE {EDGES}, mv AS (SELECT f.x1 AS x, f.y1 AS y, f.dx AS hx, f.dy AS hy, s.dx, s.dy, s.x1, s.y1, s.c1 AS w, sqrt(f.dx * f.dx + f.dy * f.dy) AS l1, sqrt(s.dx * s.dx + s.dy * s.dy) AS l2 FROM edges f JOIN edges s ON s.x = f.x1 AND s.y = f.y1),
+ hf AS (SELECT *, sqrt(greatest((1 - greatest(-1, least(1, (hx * dx + hy * dy) / (l1 * l2)))) / 2, 0)) AS half FROM mv), ok AS (SELECT * FROM hf WHERE half <= 1e-12 OR least(l1, l2) * 10 / (2 * half) + 1e-12 >= 8),
+ tt AS (SELECT x, y, dx AS hx, dy AS hy, 0e0 AS cost FROM grid, steps WHERE dem = 2 AND NOT occ),
+ r(x, y, hx, hy, cost) USING KEY (x, y, hx, hy) AS (SELECT x, y, hx, hy, cost FROM tt UNION
+  (SELECT e.x, e.y, e.hx, e.hy, min(e.w + r.cost) AS cost FROM ok e JOIN r ON r.x = e.x1 AND r.y = e.y1 AND r.hx = e.dx AND r.hy = e.dy
+   LEFT JOIN recurring.r AS k ON k.x = e.x AND k.y = e.y AND k.hx = e.hx AND k.hy = e.hy
+   WHERE k.cost IS NULL OR e.w + r.cost < k.cost - 1e-12 GROUP BY e.x, e.y, e.hx, e.hy)) SELECT x, y, hx::INT AS hx, hy::INT AS hy, round(cost, 6) AS cost FROM r""")
 def time_to_landing_turns(spark, sf):
     c = grid(spark, sf)
     e = edges.edges(c, params(spark))
@@ -467,9 +541,13 @@ def bootstrap_ci(spark, sf):
     return stats.bootstrap_median(runs(spark, sf).filter("feasible").select("run_id", "method", "runtime_ms"), ["method"], "runtime_ms", order="run_id")
 
 
-@query("wilcoxon")
+@query("wilcoxon", f"""WITH {PAIRS}, z AS (SELECT diff, abs(diff) AS m FROM p WHERE abs(diff) > 1e-12), k AS (SELECT *, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY m) AS t FROM z),
+ s AS (SELECT count(*) AS nz, least(sum(rk) FILTER (diff > 0), sum(rk) FILTER (diff < 0)) AS low, sum(t * t - 1) AS ties FROM k),
+ q AS (SELECT *, abs((low - nz * (nz + 1) / 4e0) / sqrt(nz * (nz + 1) * (2 * nz + 1) / 24e0 - ties / 48e0)) / sqrt(2e0) AS x FROM s)
+ SELECT 'first_last' AS pair, (SELECT count(*) FROM p) AS n, nz AS nonzero, low AS statistic, round(1 - CASE WHEN x = 0 THEN 0 ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(100), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * exp((2 * i + 1) * ln(x) - lgamma(i + 1)) / (2 * i + 1))) END, 6) AS p_value FROM q""")
 def wilcoxon(spark, sf):
-    return stats.wilcoxon(diffs(spark, sf).withColumn("pair", F.lit("first_last")), ["pair"])
+    """The test by its normal approximation, which holds above 50 pairs."""
+    return rounded(stats.wilcoxon(diffs(spark, sf).withColumn("pair", F.lit("first_last")), ["pair"]), ["p_value"])
 
 
 @query("bilinear_resample", f"""WITH {GRID}, d AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM grid), p AS (SELECT x AS id_x, y AS id_y, least(greatest(x * 0.8e0 + 0.3e0, 0), w - 1) AS px, least(greatest(y * 0.7e0 - 0.4e0, 0), h - 1) AS py, w, h FROM grid, d),
@@ -566,3 +644,46 @@ def grid_route(spark, sf):
 def visual_richness(spark, sf):
     px = grid(spark, sf).select(F.floor(F.col("x") / 10).cast("int").alias("cx"), F.floor(F.col("y") / 4).cast("int").alias("cy"), (F.col("x") % 10).alias("px"), (F.col("y") % 4).alias("py"), (F.col("dem") * 2.5).alias("grey"))
     return imagery.visual_richness(px, ["cx", "cy"], [])
+
+
+@query("band_richness")
+def band_richness(spark, sf):
+    """The part grid as red and near-infrared patches."""
+    px = grid(spark, sf).select(F.floor(F.col("x") / 10).cast("int").alias("cx"), F.floor(F.col("y") / 4).cast("int").alias("cy"), (F.col("x") % 10).alias("px"), (F.col("y") % 4).alias("py"), (F.col("dem") * 2.5).alias("red"), (F.col("vis") * 200.0).alias("nir"))
+    return imagery.band_richness(px, ["cx", "cy"], [])
+
+
+@query("grid_route_cost", f"""WITH RECURSIVE {EDGES}, r(x, y, cost) USING KEY (x, y) AS (SELECT 49 AS x, 3 AS y, 0e0 AS cost UNION
+  (SELECT e.x, e.y, min(e.c1 + r.cost) AS cost FROM edges e JOIN r ON r.x = e.x1 AND r.y = e.y1 LEFT JOIN recurring.r AS k ON k.x = e.x AND k.y = e.y
+   WHERE k.cost IS NULL OR e.c1 + r.cost < k.cost - 1e-12 GROUP BY e.x, e.y)) SELECT 'part' AS case_id, round(cost, 6) AS f1 FROM r WHERE x = 1 AND y = 0""")
+def grid_route_cost(spark, sf):
+    """The flight time of ``grid_route``."""
+    return rounded(grid_route(spark, sf).select("case_id", "f1"), ["f1"])
+
+
+def tiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every twelve parts as a case of four columns and three rows; ends are free."""
+    p = load(spark, sf, "part").select("p_partkey", "p_size")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    at = k % 12
+    c = p.select(F.floor(k / 12).cast("string").alias("case_id"), (at % 4).cast("int").alias("x"), F.floor(at / 4).cast("int").alias("y"), (s * 2.0).alias("dem"), (s / 50.0).alias("nav"), (k % 7 / 8.0 + 0.125).alias("vis"), (k % 5 - 2.0).alias("u"), (k % 3 - 1.0).alias("v"), ((s > 40) & (at > 0) & (at < 11)).alias("occ"))
+    whole = c.groupBy("case_id").agg(F.count("*").alias("n")).filter("n = 12").select("case_id")
+    row = (None, 4, 3, 10.0, (0, 0), (3, 2), 15.0, 12.0, 0.1, None, None, None, None, None, None, None, None, None)
+    q = whole.join(F.broadcast(spark.createDataFrame([row], maps.PARAMS).drop("case_id"))).select(*[x.split()[0] for x in ("case_id", *[f.name for f in spark.createDataFrame([row], maps.PARAMS).drop("case_id").schema])])
+    return c.join(whole, "case_id"), q
+
+
+TILE_EDGES = EDGES.split("edges AS (")[0].replace(GRID, """tile AS (SELECT (p_partkey // 12)::VARCHAR AS c, (p_partkey % 12 % 4)::INT AS x, (p_partkey % 12 // 4)::INT AS y, p_size * 2e0 AS dem, p_size / 50e0 AS nav,
+  p_partkey % 7 / 8e0 + 0.125e0 AS vis, p_partkey % 5 - 2e0 AS u, p_partkey % 3 - 1e0 AS v, p_size > 40 AND p_partkey % 12 BETWEEN 1 AND 10 AS occ FROM part),
+ grid AS (SELECT * FROM tile WHERE c IN (SELECT c FROM tile GROUP BY c HAVING count(*) = 12))""").replace("SELECT a.x, a.y,", "SELECT a.c, a.x, a.y,").replace("JOIN grid b ON", "JOIN grid b ON b.c = a.c AND").replace("JOIN grid m ON", "JOIN grid m ON m.c = a.c AND").replace("JOIN grid p ON", "JOIN grid p ON p.c = a.c AND").replace("q ON q.x", "q ON q.c = a.c AND q.x").replace(" AND b.dem + 5e0 <= 95e0", "") + "edges AS (SELECT c, x, y, x1, y1, d / vh AS c1, (1 - nav) * (d / vh) AS c2, (1 - vis) * (d / vh) AS c3 FROM e4 WHERE vh > 0)"
+
+
+@query("exact_front_tiles", f"""WITH RECURSIVE {TILE_EDGES}, w(c, x, y, seen, f1, f2, f3) AS (SELECT DISTINCT c, 0, 0, 1::BIGINT, 0e0, 0e0, 0e0 FROM grid UNION ALL
+  SELECT w.c, e.x1, e.y1, w.seen | (1::BIGINT << (e.y1 * 4 + e.x1)), f1 + c1, f2 + c2, f3 + c3 FROM w JOIN edges e ON e.c = w.c AND e.x = w.x AND e.y = w.y
+  WHERE (w.seen >> (e.y1 * 4 + e.x1)) & 1 = 0 AND NOT (w.x = 3 AND w.y = 2)),
+ g AS (SELECT DISTINCT c, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3 FROM w WHERE x = 3 AND y = 2)
+ SELECT c AS case_id, f1, f2, f3 FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.c = a.c AND {BEATS})""")
+def exact_front_tiles(spark, sf):
+    """The exact fronts of small cases cut from the part table; the SQL walks every simple path."""
+    c, p = tiles(spark, sf)
+    return pareto.dedupe_front(search.search(edges.edges(c, p), p, ("exact",)), OBJ, ["case_id"])

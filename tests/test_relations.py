@@ -246,6 +246,57 @@ def test_imagery(spark):
     assert imagery.corner_response(corner).max() > 0
 
 
+def test_entropy_by_brute_force():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 6, (9, 13)).astype(np.uint8)
+    got = imagery.disk_entropy(a, 3)
+    for y in range(9):
+        for x in range(13):
+            near = [a[v, u] for v in range(9) for u in range(13) if (v - y) ** 2 + (u - x) ** 2 <= 9]
+            p = np.bincount(near) / len(near)
+            assert got[y, x] == pytest.approx(-sum(q * np.log2(q) for q in p if q))
+
+
+def test_band_richness(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, x, y, float(r), float(n)) for c in range(3) for y in range(8) for x in range(8) for r, n in [rng.integers(0, 255, 2) if c else (7, 7)]]
+    got = {r.c: r for r in imagery.band_scores(spark.createDataFrame(rows, "c int, px int, py int, red double, nir double"), ["c"]).collect()}
+    assert got[0].geometry == 0 and got[0].texture == 0
+    red, nir = (np.array([[next(r[k] for r in rows if r[:3] == (1, x, y)) for x in range(8)] for y in range(8)]) for k in (3, 4))
+    assert got[1].geometry == pytest.approx((imagery.corner_response(red) + imagery.corner_response(nir)).max())
+    ndvi = np.divide(nir - red, nir + red, out=np.zeros_like(nir), where=nir + red != 0)
+    assert got[1].texture == pytest.approx(imagery.disk_entropy(np.clip((ndvi + 1) * 127.5, 0, 255).astype(np.uint8)).mean())
+
+
+def test_quantiles_and_ranks_by_groups(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None if k % 5 == 4 else f"g{k % 5}", float(v), None if k % 7 == 0 else float(k % 11)) for k, v in enumerate(rng.integers(0, 40, 300))] + [("empty", None, None), ("one", 3.0, None)]
+    d = spark.createDataFrame(rows, "g string, a double, b double")
+    pdf, shares = d.toPandas(), (0.02, 0.25, 0.5, 0.98)
+    got = {r.g: r for r in ordering.quantiles(d, ["g"], ["a", "b"], shares).collect()}
+    for g, part in pdf.groupby("g", dropna=False):
+        for m in ("a", "b"):
+            v = part[m].dropna().to_numpy()
+            found = got[None if g != g else g]["_" + m] if (None if g != g else g) in got else None
+            assert (found == pytest.approx(np.quantile(v, shares))) if len(v) else not found or found[0] is None
+    whole = ordering.quantiles(d, [], ["a"], (0.5,)).first()
+    assert whole["_a"][0] == np.median(pdf.a.dropna())
+    places = ordering.ranked(d.withColumn("id", F.monotonically_increasing_id()), ["g"], ["a", "id"], "place").toPandas()
+    assert len(places) == len(rows)
+    for _, part in places.groupby("g", dropna=False):
+        assert sorted(part.place) == list(range(1, len(part) + 1))
+
+
+def test_measures_of_methods_without_solutions(spark):
+    s = spark.createDataFrame([("s", "a", 1.0, 2.0, 3.0), ("s", "a", 2.0, 1.0, 3.0), ("s", "b", 2.0, 2.0, 3.0)], "scenario string, method string, f1 double, f2 double, f3 double")
+    runs = spark.createDataFrame([("s", "a", True), ("s", "b", True), ("s", "c", False), ("t", "a", False)], "scenario string, method string, feasible boolean")
+    got = {(r.scenario, r.method): r for r in pareto.scenario_metrics(s, OBJ, runs=runs).collect()}
+    assert got["s", "a"].coverage == {"b": 1.0, "c": None} and got["s", "b"].coverage == {"a": 0.0, "c": None} and got["s", "c"].coverage == {"a": 0.0, "b": 0.0}
+    assert (got["s", "a"].union_front_recall, got["s", "b"].union_front_recall, got["s", "c"].union_front_recall) == (1.0, 0.0, 0.0)
+    assert got["s", "c"].additive_epsilon is None and got["s", "c"].hypervolume == 0 and got["s", "c"].normalized_hypervolume == 0
+    assert (got["t", "a"].additive_epsilon, got["t", "a"].union_front_recall, got["t", "a"].normalized_hypervolume, got["t", "a"].coverage) == (0.0, 1.0, 0.0, None)
+
+
 def test_statistics(spark):
     d = spark.createDataFrame([("a", 1.0), ("b", -2.0), ("c", 3.0), ("d", 3.0), ("e", 0.0)], "scenario string, diff double")
     s = stats.paired_summary(d).first()
