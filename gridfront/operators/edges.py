@@ -1,8 +1,8 @@
 """The directed edge relation of a raster: one gather of neighbours, then column arithmetic.
 
-Every cell sends itself to the nine cells around it and one aggregation puts each 3x3 neighbourhood
-into a map: a single shuffle with at most nine values a group, instead of one join for the end cell,
-one for the sampled cell and two for the corners. A neighbour outside the grid is absent from the map,
+Cells are dealt out by tiles with a border of one cell; there every cell sends itself to the nine cells
+around it and one aggregation puts each 3x3 neighbourhood into a map: a single shuffle of little more
+than a row a cell, instead of one join for the end cell, one for the sampled cell and two for the corners. A neighbour outside the grid is absent from the map,
 which is the bounds check. Values that later steps use more than once are computed in stages that the
 optimiser does not fold into one expression (``once``), so each is evaluated once an edge.
 """
@@ -14,16 +14,26 @@ from pyspark.sql import functions as F
 
 from gridfront.functions import scalars as S
 
+#: Cells along a side of the tiles that cells are dealt out by.
+TILE = 16
 LAYERS = ["dem", "nav", "vis", "u", "v", "occ"]
 
 
 def neighbourhood(cells: DataFrame, columns: list[str], keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """``keys, x, y, near``: ``near`` maps 3 * dx + dy to the neighbour's columns (0 is the cell itself)."""
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in [(0, 0), *S.STEPS]])
-    sent = cells.select(*keys, "x", "y", F.struct(*columns).alias("cell"), F.explode(around).alias("o"))
-    sent = sent.select(*keys, (F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), F.struct((3 * F.col("o.dx") + F.col("o.dy")).alias("k"), F.col("cell")).alias("e"))
-    near = sent.groupBy(*keys, "x", "y").agg(F.map_from_entries(F.collect_list("e")).alias("near"))
-    return near.filter(F.col("near")[0].isNotNull())  # targets outside the grid have no centre
+    """``keys, x, y, near``: ``near`` maps 3 * dx + dy to the neighbour's columns (0 is the cell itself).
+
+    Cells are dealt out once by square tiles, those at a border to each tile that they touch; around a tile's cells
+    nothing is shuffled any more.
+    """
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda c, d: F.floor((F.col(c) + d) / TILE)
+    tiles = F.array_distinct(F.array(*[F.struct(side("x", dx).alias("tx"), side("y", dy).alias("ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    dealt = cells.select(*keys, "x", "y", F.struct(*columns).alias("cell"), F.inline(tiles)).repartition(n, *keys, "tx", "ty")
+    around = F.inline(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in [(0, 0), *S.STEPS]]))
+    sent = dealt.select("*", around).withColumns({"x": F.col("x") - F.col("dx"), "y": F.col("y") - F.col("dy")})
+    sent = sent.filter((side("x", 0) == F.col("tx")) & (side("y", 0) == F.col("ty")))
+    near = sent.groupBy(*keys, "tx", "ty", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct((3 * F.col("dx") + F.col("dy")).alias("k"), F.col("cell")))).alias("near"))
+    return near.select(*keys, "x", "y", "near").filter(F.col("near")[0].isNotNull())  # targets outside the grid have no centre
 
 
 def once(rows: DataFrame, **values) -> DataFrame:
