@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,17 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+#: Tables of ``cut`` that stand, by path, with what it takes to delete them.
+_STANDING: dict[str, tuple] = {}
+
+
+def cut(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files.
 
     A lost executor then costs the tasks of one stage, not the whole history. Shuffle files of the
-    writing job are released as soon as it ends.
+    writing job are released as soon as it ends. The files go with ``release``, at the end of a ``scratch``
+    block (not if they are to be ``kept``), or when the process ends: a result that reads them may be evaluated
+    until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridfront/{label}-{uuid.uuid4().hex}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
+    if not _STANDING:
+        atexit.unregister(at_exit)
+        atexit.register(at_exit)
+    _STANDING[path] = (spark._jvm, spark._jsc.hadoopConfiguration(), kept)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
@@ -52,13 +64,36 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete(path: str) -> None:
+    """Delete a table of ``cut``, or do nothing if it is gone."""
+    if found := _STANDING.pop(path, None):
+        jvm, conf, _ = found
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of tables made by ``cut`` that no later plan reads."""
     for df in frames:
         if path := getattr(df, "_gridfront_path", None):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(path)
+
+
+@contextmanager
+def scratch():
+    """At the end of the block, delete the tables that were cut inside it; its result is to be written by then."""
+    before = set(_STANDING)
+    try:
+        yield
+    finally:
+        for path in [p for p, (*_, kept) in _STANDING.items() if p not in before and not kept]:
+            delete(path)
+
+
+def at_exit() -> None:
+    with suppress(Exception):  # the JVM may be gone already
+        for path in list(_STANDING):
+            delete(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -8,8 +8,9 @@ context that carry no label. Training is backpropagation through time in numpy,
 held-out fold and with a language are used.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; without labelled rows all
-are ``und``; a null ``doc_id`` is labelled and is of fold 0; repeated rows are labelled once each; an
-empty table gives no rows; other columns are ignored.
+are ``und``; of languages with equal probability the first by name is given; a null ``doc_id`` is labelled
+and is of fold 0; repeated rows are labelled once each; an empty table gives no rows; a very long text
+is read whole, by its segments; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -178,10 +179,12 @@ def training_segments(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarra
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.5 * SAMPLE / n))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.filter(chance < share[F.col("lang")])
-    # pieces from the start, the middle and the end of each row
-    at = [F.greatest(F.lit(1), (F.length("text") * k / SEGMENTS).cast("int")) for k in range(SEGMENTS)]
-    got = picked.select("doc_id", "lang", *(F.substring("text", a, F.lit(SEGMENT)).alias(f"s{k}") for k, a in enumerate(at))).collect()
-    got = sorted((r.doc_id, r.lang, *(r[f"s{k}"] for k in range(SEGMENTS))) for r in got)
+    # pieces from the start, the middle and the end of each row; rows of one id and language count once
+    last = F.greatest(F.lit(0), F.length("text") - SEGMENT)
+    at = [F.floor(last * k / max(1, SEGMENTS - 1)).cast("int") + 1 for k in range(SEGMENTS)]
+    pieces = picked.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", F.struct(*(F.substring("text", a, F.lit(SEGMENT)).alias(f"s{k}") for k, a in enumerate(at))).alias("s"))
+    got = pieces.groupBy("h", "doc_id", "lang").agg(F.min("s").alias("s")).collect()
+    got = [(r.doc_id, r.lang, *r.s) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.lang))]
     langs = sorted(counts)
     held: dict[str, int] = {}
     x, y = [], []

@@ -3,8 +3,9 @@
 Patterns give the base spans, leftmost and not overlapping within a kind. The field labels words by
 their shapes, neighbours and trigger words; it is trained by gradient ascent on a small labelled
 table built from templates, and decoded by Viterbi in numpy batches of equal width. Its sequences are
-the words that hold a digit or an ``@``, or a spelt-out ``at``/``dot`` between brackets, with
-``CONTEXT`` words on each side: any other word carries the outside label, for no kind can lie there.
+the words that hold a digit or an ``@``, or a spelt-out ``at``/``dot`` between brackets (in any case, with
+a space inside them or not), with ``CONTEXT`` words on each side: any other word carries the outside
+label, for no kind can lie there. A span of the field must be a plausible one of its kind (``plausible``).
 The field adds spans where no base span is; base spans stay as they are.
 
 Cases: a null text counts as empty and has no spans; a null ``doc_id`` is carried; repeated rows give
@@ -36,7 +37,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]")
 _WORD = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|AT|dot|DOT)[\])}]")
+_TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?:at|dot)\s?[\])}]", re.I)
+_AT, _DOT = (re.compile(rf"{a}|[\[({{]\s?{b}\s?[\])}}]", re.I) for a, b in (("@", "at"), (r"\.", "dot")))
 
 
 def luhn(digits: str) -> bool:
@@ -82,12 +84,16 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 def shape(word: str) -> str:
     """Letters, digits and marks in short: ``+1`` is ``+9``, ``ab.12@x.org`` is ``a.9@a.a``."""
-    s = re.sub(r"[0-9]+", lambda m: "9" if len(m[0]) < 3 else "99" if len(m[0]) < 5 else "999" if len(m[0]) < 12 else "9999", word[:80])
+    s = re.sub(r"[0-9]+", lambda m: "9" if len(m[0]) < 3 else "99" if len(m[0]) < 5 else "999" if len(m[0]) < 12 else "9999", word)
     return re.sub(r"[^\W\d_]+", "a", s)
 
 
-@lru_cache(50_000)
 def word_features(word: str) -> tuple[str, ...]:
+    """Features of a word; those of usual length are remembered."""
+    return remembered_features(word) if len(word) <= 64 else own_features(word)
+
+
+def own_features(word: str) -> tuple[str, ...]:
     bare = word.strip(".,;:!?\"'()[]{}<>")
     digits = sum(c.isdigit() for c in bare)
     f = [f"s={shape(bare)}", f"d={min(digits, 4) if digits < 13 else 13}"]
@@ -104,6 +110,8 @@ def word_features(word: str) -> tuple[str, ...]:
     return tuple(f)
 
 
+remembered_features = lru_cache(50_000)(own_features)
+
 #: Words that announce personal data in the labelled table.
 CUES = frozenset("call phone tel telephone mobile fax mail email e-mail contact write card visa mastercard credit account ip host server address from".split())
 
@@ -242,15 +250,10 @@ def trained() -> Field:
 
 def sequences(text: str) -> list[list[tuple[str, int, int]]]:
     """Runs of words around those that may belong to a span: (word, start, end)."""
-    triggers = [m.start() for m in _TRIGGER.finditer(text)]
-    if not triggers:
-        return []
     out: list[list] = []
     done = 0
-    for t in triggers:
-        if t < done:
-            continue
-        first = t
+    while found := _TRIGGER.search(text, done):
+        first = t = found.start()
         for _ in range(CONTEXT + 1):  # back over the word that holds the trigger, then its context
             while first > done and not text[first - 1].isspace():
                 first -= 1
@@ -279,7 +282,7 @@ def plausible(kind: str, text: str) -> bool:
     """What a span of the field must hold besides its labels."""
     d = len(_NOT_DIGITS.sub("", text))
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", text, re.I)) and bool(re.search(r"\.|\bdot\b", text, re.I))
+        return bool(_AT.search(text)) and bool(_DOT.search(text))
     return {"ip": bool(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}(:\d+)?", text)), "card": 13 <= d <= 19, "phone": 7 <= d <= 15}[kind]
 
 

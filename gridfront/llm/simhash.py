@@ -15,7 +15,8 @@ emits links that span its components, at most one a member. The distributed comp
 Cases: a null text has no words; fingerprints of texts without words are zero and link like others;
 exact copies meet as one fingerprint before the join; a null ``doc_id`` is carried, and does not
 count in the least id of a component unless it is the only one (then null); repeated rows are kept;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; a very long text is hashed whole; other columns are ignored, whatever their
+names (``keep_first`` carries them).
 """
 
 from __future__ import annotations

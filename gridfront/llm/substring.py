@@ -15,8 +15,8 @@ for whole documents.
 
 Cases: a null text has no words; texts with fewer words than a window lose nothing; a null
 ``doc_id`` is carried, loses nothing and removes nothing; rows that share a ``doc_id`` remove nothing
-from each other; repeated rows give repeated results; an empty table gives no rows; other columns
-are ignored.
+from each other; repeated rows give repeated results; an empty table gives no rows; a very long text is
+hashed whole; ``digest`` ignores other columns, and ``remove`` carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def profiles(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, wanted: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(uid, doc_id, th, text, at, h, g)``: documents with windows that may repeat, and these windows' places and hashes."""
+    """``(doc_id, th, text, at, h, g)``: documents with windows that may repeat, and these windows' places and hashes."""
 
     def make():
         hasher = Hasher()
@@ -159,14 +159,14 @@ def candidates(docs: DataFrame, wanted: DataFrame, window: int, gram: int) -> Da
                 at.append(places.astype(np.int32))
                 h.append(hasher.rolled(ids, window, 0)[places].view(np.int64))
                 g.append((hasher.rolled(ids, window, 1)[places] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            columns = [*(rows.column(c) for c in ("uid", "doc_id", "th", "text")), pa.array(at, pa.list_(pa.int32())), pa.array(h, pa.list_(pa.int64())), pa.array(g, pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "th", "text", "at", "h", "g"])
+            columns = [*(rows.column(c) for c in ("doc_id", "th", "text")), pa.array(at, pa.list_(pa.int32())), pa.array(h, pa.list_(pa.int64())), pa.array(g, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "text", "at", "h", "g"])
 
         return f
 
-    texts = documents(docs, F.xxhash64("text").alias("th")).withColumn("uid", F.xxhash64("doc_id", "th"))
-    rows = texts.join(wanted, "uid").select("uid", "doc_id", "th", "text", "shared")
-    return map_steps(rows, "uid long, doc_id long, th long, text string, at array<int>, h array<long>, g array<int>", make)
+    texts = documents(docs, F.xxhash64("text").alias("th"))
+    rows = texts.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "shared")
+    return map_steps(rows, "doc_id long, th long, text string, at array<int>, h array<long>, g array<int>", make)
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -176,13 +176,13 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[D
     classes = cut(long.groupBy("whole").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("th", "anchors"), "doc_id").alias("r")), "passages-classes")
     reps = classes.select(F.col("least").alias("doc_id"), F.col("r.th").alias("th"), F.explode("r.anchors").alias("anchor"))
     shared = reps.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    wanted = reps.join(shared, "anchor").groupBy(F.xxhash64("doc_id", "th").alias("uid")).agg(F.collect_set("anchor").alias("shared"))
+    wanted = reps.join(shared, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("shared"))
     some = cut(candidates(docs, cut(wanted, "passages-wanted"), window, gram), "passages-some")
-    windows = some.select("uid", "doc_id", F.explode(F.arrays_zip("at", "h", "g")).alias("w")).select("uid", "doc_id", "w.at", "w.h", "w.g")
+    windows = some.select("doc_id", "th", F.explode(F.arrays_zip("at", "h", "g")).alias("w")).select("doc_id", "th", "w.at", "w.h", "w.g")
     first = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo")
     first = cut(first, "passages-first")  # so that the join reads two exchanges, of which a hot passage's can be split
-    hits = windows.join(first, ["h", "g"]).filter("doc_id > lo").groupBy("uid").agg(F.collect_set("at").alias("starts"))
-    parts = some.drop("at", "h", "g").join(cut(hits, "passages-hits"), "uid").select("doc_id", "th", "text", "starts")
+    hits = windows.join(first, ["h", "g"]).filter("doc_id > lo").groupBy("doc_id", "th").agg(F.collect_set("at").alias("starts"))
+    parts = some.drop("at", "h", "g").join(cut(hits, "passages-hits"), ["doc_id", "th"]).select("doc_id", "th", "text", "starts")
     marked = rows.join(classes.select("whole", "least"), "whole", "left")
     return marked.select("doc_id", "th", "n_words", "full_sha", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), parts
 

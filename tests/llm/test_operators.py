@@ -205,6 +205,71 @@ def test_fingerprint(spark, docs, odd, empty):
     assert all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in fingerprint.edited(odd).collect())
 
 
+def digest_brute(text):
+    """The digest by plain counting, one triplet at a time."""
+    raw = (text or "").encode()
+    n = [0] * 1024
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        h = (a * 0x9E3B + b * 0x85EB + c * 0xC2B3) % 2**32
+        h = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+        n[h >> 22] += 1
+    q = [sorted(n)[k] for k in (255, 511, 767)]
+    codes = [sum(v > b for b in q) for v in n]
+    size = min(255, round(8 * np.log2(1 + len(raw))))
+    ratios = [15 * b // q[2] if q[2] else 0 for b in q[:2]]
+    return size, ratios, 0 if len(raw) > 2 else zlib.crc32(raw), codes
+
+
+def likeness_brute(a, b):
+    most = 6 * 1024 + 64 * 12 + 2 * 32 * 7
+    x, y = digest_brute(a), digest_brute(b)
+    if x == y:
+        return 1.0
+    if x[2] != y[2]:
+        return 0.0
+    gap = sum({0: 0, 1: 1, 2: 2, 3: 6}[abs(p - q)] for p, q in zip(x[3], y[3]))
+    gap += 64 * min(12, abs(x[0] - y[0]) // 2) + 32 * sum(min(7, abs(p - q)) for p, q in zip(x[1], y[1]))
+    return 1 - min(most // 2, gap) / (most // 2)
+
+
+def test_fingerprint_by_brute_force(docs, odd):
+    few = docs.limit(40).union(odd.filter("doc_id < 9 or doc_id > 10").dropDuplicates(["doc_id"]).select(docs.columns))
+    few = few.withColumn("doc_id", F.col("doc_id") * 2 + F.when(F.col("source") == "s", 1).otherwise(0))
+    rows = sorted((r.doc_id, r.text or "") for r in few.collect())
+    got = {r.doc_id: r for r in fingerprint.edited(few, 4).collect()}
+    assert len(got) == len(rows)
+    for k, (i, x) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        new = x[: len(x) - len(x) // 2] + nxt[: len(x) // 2]
+        for text, mark in ((x, got[i].fingerprint), (new, got[i].edited_fingerprint)):
+            size, ratios, bare, codes = digest_brute(text)
+            packed = bytes(codes[j] | codes[j + 1] << 2 | codes[j + 2] << 4 | codes[j + 3] << 6 for j in range(0, 1024, 4))
+            assert mark == f"{size:02x}{ratios[0]:x}{ratios[1]:x}{bare:08x}{packed.hex()}"
+        assert got[i].near_edited == pytest.approx(likeness_brute(x, new)) and got[i].near_next == pytest.approx(likeness_brute(x, nxt))
+
+
+def test_fingerprint_of_repeated_ids(spark):
+    """Rows of one id go by their texts; the part borders fall between them or not."""
+    rows = [(k // 3, f"text {k * 7 % 5} of {k}") for k in range(60)] + [(5, "text"), (5, "text")]
+    want = sorted(rows)
+    for parts in (1, 4, 9):
+        got = sorted((r.doc_id, r.edited_sha256) for r in fingerprint.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), parts).collect())
+        new = [(i, x[: len(x) - len(x) // 2] + want[(k + 1) % len(want)][1][: len(x) // 2]) for k, (i, x) in enumerate(want)]
+        assert got == sorted((i, hashlib.sha256(x.encode()).hexdigest()) for i, x in new)
+
+
+def test_very_long_texts(spark):
+    """Three million characters of distinct words: the kernels of the operators that read whole texts."""
+    rng = np.random.default_rng(12)
+    text = " ".join(bytes(r).decode() for r in np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)[rng.integers(0, 26, (300_000, 9))]) + " jane@mail.org " + "9" * 200_000
+    assert fingerprint.digest(text) == fingerprint.digest(text) != fingerprint.digest(text[:-1_500_000])
+    assert pii.base_spans(text) == [("email", a := text.index("jane@"), a + 13)] and pii.spans([text])[0][1][0] == ("email", a, a + 13)
+    x = quality.pooled(quality.Tokens(), [text, "short one"], quality.INDEX)
+    assert np.isfinite(x).all() and x[0, -2] > x[1, -2]
+    assert langid.Network(["a", "b"]).pool([text])[0].sum() == pytest.approx(1.0, abs=1e-4)
+    assert len(list(packing.encoder(JSON, packing.ranks_of(JSON)).encode([text])[0])) > 300_000
+
+
 # --- urls -------------------------------------------------------------------------------------
 
 
@@ -553,6 +618,53 @@ def test_quality(spark, odd, empty):
     assert collected(quality.score(docs, flipped)) == collected(quality.score(docs, labels))
 
 
+def test_quality_features_by_brute_force(docs):
+    texts = [r.text for r in docs.limit(12).collect()] + ["", None, "a", "One, TWO 33 four!! four", "x" * 40]
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=quality.INDEX.shape).astype(np.float32)
+    got = quality.pooled(quality.Tokens(), texts, vectors)
+    for text, row in zip(texts, got):
+        words = re.findall(r"\w+|[^\w\s]+", text or "")
+        at = [zlib.crc32(w.lower().encode()) % quality.BUCKETS for w in words]
+        forms = [quality.form(w) for w in words]
+        for k in range(1, len(words)):
+            if at[k] == at[k - 1] and quality.FORMS[forms[k]] not in ("mark", "marks"):
+                forms[k] = quality.FORMS.index("repeat")
+        n = max(1, len(words))
+        want = np.zeros(quality.WIDTH)
+        for a, f in zip(at, forms):
+            want[: quality.DIMS] += vectors[a] / n
+            want[quality.DIMS : 2 * quality.DIMS] += quality.FORM_INDEX[f] / n
+        want[-2:] = np.log1p(len(words)) / 5, not words
+        assert np.allclose(row, want, atol=1e-4)
+
+
+def test_word_vectors_by_brute_force(spark):
+    texts = ["one two three two", "", None, "two, one"]
+    want = np.zeros((quality.BUCKETS, quality.DIMS))
+    for text in texts:
+        at = [zlib.crc32(w.encode()) % quality.BUCKETS for w in re.findall(r"\w+|[^\w\s]+", text or "")]
+        for i, a in enumerate(at):
+            for j, b in enumerate(at):
+                if 0 < abs(i - j) <= quality.REACH:
+                    want[a] += quality.INDEX[b]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(spark.createDataFrame([(x,) for x in texts], "text string"))
+    assert np.allclose(got, quality.INDEX / 2 + want, atol=1e-5)
+
+
+def test_quality_network_by_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, quality.WIDTH))
+    net = quality.Network(x, (x[:, 0] + x[:, 1] > 0).astype(float))
+    got = net(x[:20])
+    for row, p in zip((x[:20] - net.mean) / net.std, got):
+        h = [np.tanh(sum(row[i] * net.p[0][i, j] for i in range(quality.WIDTH)) + net.p[1][j]) for j in range(quality.HIDDEN)]
+        z = (sum(a * b for a, b in zip(h, net.p[2])) + net.p[3][0]) * net.scale
+        assert p == pytest.approx(1 / (1 + np.exp(-z)))
+    assert np.mean((net(x) > 0.5) == (x[:, 0] + x[:, 1] > 0)) > 0.9
+
+
 def test_word_vectors_count_texts_outside_the_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE", 50)
     docs = spark.createDataFrame([(k, f"word{k} beside other{k}") for k in range(400)], "doc_id long, text string")
@@ -572,6 +684,28 @@ def test_language(spark, odd, empty):
     assert langid.predict(empty).count() == 0
 
 
+def test_language_pooling_by_brute_force():
+    """Probabilities of every byte, segment by segment, and their mean."""
+    net = langid.Network(["a", "b", "c"])
+    texts = ["", None, "short", "é" * 40 + "z" * 91, "words " * 100]
+    got = net.pool(texts)
+    for text, p in zip(texts, got):
+        raw = (text or "").encode()
+        total = np.zeros(3)
+        for at in range(0, len(raw), langid.SEGMENT):
+            end = min(len(raw), at + langid.SEGMENT)
+            column = [raw[k] if 0 <= k < min(len(raw), end + langid.LEAD) else langid.PAD for k in range(at - langid.LEAD, at + langid.SEGMENT + langid.LEAD)]
+            q = net.positions(np.array(column, np.int16)[:, None])
+            total += q[langid.LEAD : langid.LEAD + end - at, :, 0].sum(axis=0)
+        assert np.allclose(p, total / max(1, len(raw)), atol=1e-4)
+
+
+def test_languages_with_equal_probability(spark):
+    net = langid.Network(["x", "a"])
+    net.p = {k: np.zeros_like(v) for k, v in net.p.items()}
+    assert net.pool(["abc"])[0].tolist() == pytest.approx([0.5, 0.5]) and net.pool(["abc"]).argmax() == 0
+
+
 def test_language_gradient():
     net = langid.Network(["a", "b"])
     rng = np.random.default_rng(0)
@@ -609,5 +743,35 @@ def test_pipeline(spark):
     assert total(corpus_pipeline.run(spark, SF)) == total(packing.pack(docs, JSON))
 
 
+def test_pipeline_on_awkward_rows(spark, odd, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    for source in (odd, empty, odd.withColumn("n_chars", F.col("n_chars").cast("int"))):
+        docs, schema = source, source.schema
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{id(source)}-{k}")
+            stage(spark, docs, SF).write.parquet(path)
+            out = spark.read.parquet(path)
+            if k < 4:
+                assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in schema]
+                assert out.count() <= docs.count()
+                docs = out
+        assert out.select("doc_id", "start").distinct().count() <= out.count() and (out.count() >= docs.count())
+        assert out.agg(F.count_distinct(F.struct("sequence_id", "offset"))).first()[0] == out.count()
+    changed = {r.doc_id: r for r in corpus_pipeline.STAGES[3][1](spark, odd, SF).collect()}
+    assert changed[13].n_chars == len(changed[13].text) and changed[3].text is None
+
+
+def test_pipeline_leaves_no_tables_behind(spark):
+    import corpus_pipeline
+    from gridfront.llm import common
+
+    before = set(common._STANDING)
+    out = corpus_pipeline.run(spark, SF)
+    left = set(common._STANDING) - before
+    assert len(left) == 1 and out.count() > 0
+
+
 def test_query_names():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
