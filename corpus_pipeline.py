@@ -1,18 +1,23 @@
 """Five stages over ``documents``: quality, near-duplicates, repeated passages, personal data, packing.
 
 Each stage takes what the one before it kept, as a table on disk. All but the last return the
-columns of ``documents``; the last returns the packed pieces.
+columns of ``documents``, with their types; the last returns the packed pieces.
+
+Cases: a null text counts as empty and stays null; empty texts are judged, deduplicated and packed
+like others (all texts without words are near-duplicates of each other, so one of them stays); very
+long texts are taken whole; repeated rows are near-duplicates, and rows that share the ``doc_id`` that
+stays stay with it; a null ``doc_id`` is carried and removes no passage; columns beside those of
+``documents`` are carried whatever their names, ``n_chars`` follows a changed text; an empty table gives
+no pieces. A stage's intermediate tables, and the table it read, are deleted once its result is written.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridfront.llm import packing, pii, quality, simhash, substring
-from gridfront.llm.common import shared_dir
+from gridfront.llm.common import cut, release, scratch
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each one's result written to the shared folder and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/gridfront/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before = docs
+        with scratch():
+            rows = stage(spark, docs, sf_dir)
+            docs = cut(rows, f"stage-{name.replace(' ', '-')}", kept=True)
+        release(before)
     return docs
