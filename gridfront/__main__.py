@@ -1,15 +1,16 @@
-"""Command line: ``plan`` a mission, run a ``benchmark``, ``analyze`` summaries."""
+"""Command line: ``plan`` a mission, run a ``benchmark`` or a ``campaign``, ``analyze`` summaries."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gridfront.functions.scalars import parse_cell, seconds_text, vector_text
-from gridfront.operators import edges, routes, search, stats
+from gridfront.operators import decision, edges, routes, search, stats
 from gridfront.plans import campaign
 from gridfront.sources import files, maps
 
@@ -42,21 +43,79 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def named_map(text: str) -> tuple[str, str]:
+    """``NAME=PATH``."""
+    name, sep, path = text.partition("=")
+    if not (name and sep and path):
+        raise argparse.ArgumentTypeError("give a map as NAME=PATH")
+    return name, path
+
+
+def written(spark: SparkSession, a: argparse.Namespace, parts: list[tuple], cases: list[dict], meta=None) -> None:
+    """Runs as JSON documents, the summary as CSV and the manifest, below ``a.out``."""
+    runs, summaries = [], []
+    for cells, params, excess in parts:
+        r, s = campaign.benchmark(cells, params, tuple(a.methods), excess, a.measure_memory)
+        runs.append(r)
+        summaries.append(s)
+    mode = "overwrite" if a.overwrite else "errorifexists"
+    summary = files.union_rows(summaries)
+    if meta is not None:
+        summary = summary.join(meta, "scenario", "left")
+    files.run_json(reduce(lambda x, y: x.unionByName(y), runs), ["case_id", "method"]).select("case_id", "method", "json").write.mode(mode).partitionBy("case_id", "method").text(f"{a.out}/runs")
+    files.write_csv(summary, f"{a.out}/summary", a.overwrite)
+    files.manifest(spark, cases, tuple(a.methods), decision.PROFILES).coalesce(1).write.mode(mode).text(f"{a.out}/manifest")
+    summary.select("scenario", "method", "feasible", "solution_count", "best_f1_time_s", "normalized_hypervolume", "union_front_recall").orderBy("scenario", "method").show(1000, False)
+
+
 def benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Runs methods over control maps; writes routes and measures."""
-    for k, (cells, params) in enumerate(maps.many(spark, tuple(a.maps))):
-        found, measures = campaign.benchmark(cells, params, tuple(a.methods))
-        files.write_table(found, f"{a.out}/routes-{k}", a.overwrite, ("case_id", "method"))
-        files.write_table(measures, f"{a.out}/measures-{k}", a.overwrite)
-        measures.orderBy("scenario", "method").show(100, False)
+    """Runs methods over control maps and archives; writes runs, summary and manifest."""
+    own = a.maps if a.maps is not None else [] if a.map else list(maps.BUILT_IN)
+    maps.built_in_names(own)
+    parts = [(c, p, None) for c, p in maps.many(spark, tuple(own))] + [maps.archive(spark, path, name) for name, path in a.map]
+    kinds = [(n, f"synthetic:{n}", "control") for n in own] + [(n, path, "real") for n, path in a.map]
+    meta = spark.createDataFrame(kinds, "scenario string, source string, case_kind string")
+    written(spark, a, parts, [{"name": n, "source": s, "case_kind": k} for n, s, k in kinds], meta)
+    return 0
+
+
+def run_campaign(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Runs methods over the synthetic campaign, or over the real areas of a manifest."""
+    if a.manifest:
+        cases, cells, params, excess = campaign.real_aoi(spark, a.manifest, ablations=tuple(a.ablations))
+        extra = ["case_kind", "aoi", "land_cover", "mission", "weather", "vehicle", "navigation_model", "grid_scale", F.col("archive").alias("source")]
+    else:
+        cases = campaign.matrix(spark, tuple(a.families), a.variants)
+        (cells, params), excess = campaign.synthetic(spark, cases, a.seed), None
+        extra = [F.lit("synthetic_campaign").alias("case_kind"), "family", "variant", "weather", "vehicle", F.concat(F.lit("synthetic:"), "family").alias("source")]
+    meta = cases.select(F.col("case_id").alias("scenario"), *extra)
+    written(spark, a, [(cells, params, excess)], [{"name": a.manifest or "synthetic"}], meta)
     return 0
 
 
 def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Quartiles by method of a summary file, and the paired comparison of two methods."""
+    """Aggregates and paired tests of a summary by kind of case; as CSV below ``--out`` if given."""
     rows = files.summary_csv(spark, a.summary).withColumn("run_id", F.monotonically_increasing_id())
-    stats.group_quartiles(rows, ["method"], [m for m in ("runtime_ms", "normalized_hypervolume", "union_front_recall") if m in rows.columns]).show(100, False)
-    stats.paired_summary(stats.pairs(rows, a.metric, a.first, a.second)).show(truncate=False)
+    kind = F.col("case_kind") if "case_kind" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("group", F.when(kind == "synthetic_campaign", "synthetic").when(kind == "real_aoi", "real_aoi").otherwise("control"))
+    metrics = [m for m in stats.METRICS if m in rows.columns]
+    total = stats.aggregate(rows, ["group", "method"], metrics, "run_id")
+    total.orderBy("group", "method").show(100, False)
+    tests = []
+    for metric in ("normalized_hypervolume", "union_front_recall", "runtime_ms"):
+        if metric in metrics:
+            keyed = rows.withColumn("scenario", F.struct("group", "scenario"))
+            diffs = stats.pairs(keyed, metric, a.first, a.second).select("scenario.group", "diff")
+            for group in ("synthetic", "real_aoi", "control"):
+                own = diffs.filter(F.col("group") == group)
+                tests.append(stats.paired_summary(own).join(F.broadcast(stats.wilcoxon(own, ["group"]).select("statistic", "p_value")), how="left").select(F.lit(group).alias("group"), F.lit(metric).alias("metric"), "n", "median_difference", "superiority_rate", "statistic", "p_value", "rank_biserial"))
+    paired = reduce(lambda x, y: x.unionByName(y), tests) if tests else None
+    if paired is not None:
+        paired.show(100, False)
+    if a.out:
+        files.write_csv(total, f"{a.out}/aggregate", a.overwrite)
+        if paired is not None:
+            files.write_csv(paired, f"{a.out}/paired_tests", a.overwrite)
     return 0
 
 
@@ -75,15 +134,27 @@ def main(argv: list[str] | None = None) -> int:
     q.set_defaults(run=plan)
     q = sub.add_parser("benchmark")
     q.add_argument("out")
-    q.add_argument("--maps", nargs="+", default=list(maps.BUILT_IN))
-    q.add_argument("--methods", nargs="+", default=list(search.METHODS))
-    q.add_argument("--overwrite", action="store_true")
+    q.add_argument("--maps", nargs="*")
+    q.add_argument("--map", action="append", type=named_map, default=[], metavar="NAME=PATH")
     q.set_defaults(run=benchmark)
+    c = sub.add_parser("campaign")
+    c.add_argument("out")
+    c.add_argument("--families", nargs="+", default=list(campaign.FAMILIES))
+    c.add_argument("--variants", type=int, default=30)
+    c.add_argument("--seed", type=int, default=2026)
+    c.add_argument("--manifest")
+    c.add_argument("--ablations", nargs="+", default=["full"], choices=campaign.ABLATIONS)
+    c.set_defaults(run=run_campaign)
+    for x in (q, c):
+        x.add_argument("--methods", nargs="+", default=list(search.METHODS))
+        x.add_argument("--measure-memory", action="store_true")
+        x.add_argument("--overwrite", action="store_true")
     q = sub.add_parser("analyze")
     q.add_argument("summary")
-    q.add_argument("--metric", default="normalized_hypervolume")
-    q.add_argument("--first", default="emoa_star")
-    q.add_argument("--second", default="repeated_weighted_astar")
+    q.add_argument("--out")
+    q.add_argument("--overwrite", action="store_true")
+    q.add_argument("--first", default="exact")
+    q.add_argument("--second", default="repeated_weighted")
     q.set_defaults(run=analyze)
     a = p.parse_args(argv)
     return a.run(SparkSession.builder.appName("gridfront").getOrCreate(), a)

@@ -8,6 +8,8 @@ The edge relation comes from Spark; the ordered search itself has no relational
 from __future__ import annotations
 
 import heapq
+import time
+import tracemalloc
 from bisect import bisect_left
 from collections import defaultdict
 
@@ -17,8 +19,11 @@ from pyspark.sql import functions as F
 
 from gridfront.functions.scalars import INF, simplex_weights, turn_table
 
-ROUTES = "case_id string, method string, route_id int, f1 double, f2 double, f3 double, path array<struct<x:int,y:int>>, n_expanded long, n_generated long"
-NAMES = [x.split()[0] for x in ROUTES.replace("array<struct<x:int,y:int>>", "a").split(", ")]
+PATH = "array<struct<x:int,y:int>>"
+#: A run of a method on a case, and a route of one (``search``).
+RUNS = f"case_id string, method string, feasible boolean, runtime_ms double, n_expanded long, n_generated long, peak_memory_kib double, solutions array<struct<f1:double,f2:double,f3:double,path:{PATH}>>"
+RUN_NAMES = ["case_id", "method", "feasible", "runtime_ms", "n_expanded", "n_generated", "peak_memory_kib", "solutions"]
+ROUTES = f"case_id string, method string, route_id int, f1 double, f2 double, f3 double, path {PATH}, n_expanded long, n_generated long"
 SLACK = 1e-12
 
 
@@ -222,8 +227,11 @@ def repeated_weighted(g: Graph) -> tuple[list, int, int]:
 METHODS = {"exact": exact_front, "time_only": lambda g: best_route(g, (1.0, 0.0, 0.0)), "repeated_weighted": repeated_weighted}
 
 
-def search(edges: DataFrame, params: DataFrame, methods: tuple[str, ...] = ("exact",)) -> DataFrame:
-    """Routes of every case by every method, one task a case and method; infeasible cases have no rows."""
+def runs(edges: DataFrame, params: DataFrame, methods: tuple[str, ...] = ("exact",), measure_memory: bool = False) -> DataFrame:
+    """``RUNS`` rows: one for every case and method, also where there is no route; one task a case and method.
+
+    The time is that of the search alone. ``measure_memory`` runs it once more under an allocation trace.
+    """
     columns = ["resolution_m", "min_turn_radius_m", "battery_wh", "reserve_wh", "power_w", "sites"]
     p = params.select("case_id", F.col("start.x").alias("sx"), F.col("start.y").alias("sy"), F.col("goal.x").alias("gx"), F.col("goal.y").alias("gy"), *columns)
     rows = p.join(edges.select("case_id", "x", "y", "x1", "y1", "c1", "c2", "c3"), "case_id", "left").withColumn("method", F.explode(F.array(*map(F.lit, methods))))
@@ -231,13 +239,31 @@ def search(edges: DataFrame, params: DataFrame, methods: tuple[str, ...] = ("exa
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         case, method = pdf.case_id.iloc[0], pdf.method.iloc[0]
+        began = time.perf_counter()
         routes, popped, made = chosen[method](Graph(pdf))
-        rows = [(case, method, k, *c, path, popped, made) for k, (c, path) in enumerate(routes)]
-        return pd.DataFrame(rows, columns=NAMES, dtype=object)
+        took, peak = 1e3 * (time.perf_counter() - began), None
+        if measure_memory:
+            tracemalloc.start()
+            chosen[method](Graph(pdf))
+            peak = tracemalloc.get_traced_memory()[1] / 1024
+            tracemalloc.stop()
+        found = [dict(zip(("f1", "f2", "f3"), c), path=path) for c, path in routes]
+        return pd.DataFrame([(case, method, bool(routes), took, popped, made, peak, found)], columns=RUN_NAMES, dtype=object)
 
     # dealt out by number, so that small cases are not put together into one task
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "case_id", "method").groupBy("case_id", "method").applyInPandas(run, ROUTES)
+    return rows.repartition(n, "case_id", "method").groupBy("case_id", "method").applyInPandas(run, RUNS)
+
+
+def routes_of(runs_: DataFrame) -> DataFrame:
+    """``ROUTES`` rows of runs: their solutions one by one."""
+    r = runs_.select("case_id", "method", F.posexplode("solutions").alias("route_id", "s"), "n_expanded", "n_generated")
+    return r.select("case_id", "method", "route_id", "s.f1", "s.f2", "s.f3", "s.path", "n_expanded", "n_generated")
+
+
+def search(edges: DataFrame, params: DataFrame, methods: tuple[str, ...] = ("exact",)) -> DataFrame:
+    """Routes of every case by every method; infeasible cases have no rows."""
+    return routes_of(runs(edges, params, methods))
 
 
 def exhaustive_front(g: Graph) -> list[tuple]:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfront.functions import scalars as S
-from gridfront.operators import edges, pareto, search
-from gridfront.sources import maps
+from gridfront.operators import decision, edges, pareto, search
+from gridfront.operators.paths import checkpointed
+from gridfront.sources import files, maps
 
 #: Weather (name, wind, share of the wind limit, visibility factor).
 WEATHER = [("calm_clear", "calm", 0.0, 1.0), ("headwind_clear", "headwind", 0.65, 1.0), ("crosswind_clear", "crosswind", 0.65, 1.0), ("moderate_degradation", "crosswind", 0.25, 0.6), ("severe_degradation", "headwind", 0.35, 0.25)]
 #: Vehicles and their turn radius in metres.
 VEHICLES = [("multirotor", 0.0), ("fixed_wing_vtol", 40.0)]
-ABLATIONS = ("full", "visual_only", "terrain_only")
+#: Ablations of the navigation density and the layer that each one takes instead.
+ABLATED = {"visual_only": "visual_richness", "terrain_only": "rugosity"}
+ABLATIONS = ("full", *ABLATED)
+OBJECTIVES = ["f1", "f2", "f3"]
 FAMILIES = ("lake", "foggy_valley", "terrain", "realistic")
 
 
@@ -56,7 +62,7 @@ def apply_ablation(cells: DataFrame, mode: str) -> DataFrame:
     """Navigation density of one source layer (``visual_richness`` or ``rugosity``); without the layer an error."""
     if mode == "full":
         return cells
-    layer = {"visual_only": "visual_richness", "terrain_only": "rugosity"}.get(mode)
+    layer = ABLATED.get(mode)
     if layer is None or layer not in cells.columns:
         raise ValueError(f"{mode} needs its source layer")
     return cells.withColumn("nav", F.col(layer))
@@ -91,7 +97,56 @@ def synthetic(spark: SparkSession, cases: DataFrame, seed: int = 2026) -> tuple[
     return apply_weather(every, full), full
 
 
-def benchmark(cells: DataFrame, params: DataFrame, methods: tuple[str, ...] = tuple(search.METHODS)) -> tuple[DataFrame, DataFrame]:
-    """Routes of all cases by all methods, and the methods' measures against each case's shared front."""
-    routes = search.search(edges.edges(cells, params), params, methods)
-    return routes, pareto.scenario_metrics(routes.withColumnRenamed("case_id", "scenario"), ["f1", "f2", "f3"])
+def aoi_matrix(missions: DataFrame, vehicles: list[tuple] = VEHICLES, weather: list[tuple] = WEATHER, ablations: tuple[str, ...] = ("full",)) -> DataFrame:
+    """One row a case of real areas: every mission of ``files.aoi_manifest`` under every weather, vehicle and ablation."""
+    sky = F.array(*[F.struct(F.lit(n).alias("weather"), F.lit(k).alias("wind"), F.lit(s).alias("speed_fraction"), F.lit(f).alias("visibility_factor")) for n, k, s, f in weather])
+    craft = F.array(*[F.struct(F.lit(n).alias("vehicle"), F.lit(r).alias("min_turn_radius_m")) for n, r in vehicles])
+    d = missions.select("*", F.inline(sky)).select("*", F.inline(craft)).select("*", F.explode(F.array(*map(F.lit, ablations))).alias("navigation_model"))
+    return d.select(F.format_string("real_%s_%s_%s_%s_%s", "aoi", "mission", "weather", "vehicle", "navigation_model").alias("case_id"), "*", F.lit("real_aoi").alias("case_kind"), F.lit(1).alias("grid_scale"))
+
+
+def real_aoi(spark: SparkSession, manifest: str, vehicles: list[tuple] = VEHICLES, weather: list[tuple] = WEATHER, ablations: tuple[str, ...] = ("full",)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """``cases, cells, params, excess`` of the manifest's areas; archives are named from the manifest's folder.
+
+    A case whose ablation needs a layer that its area's archive lacks is left out.
+    """
+    missions = files.aoi_manifest(spark, manifest)
+    cells = params = excess = None
+    layers: dict[str, set[str]] = {}
+    for r in missions.select("aoi", "archive").distinct().orderBy("aoi").collect():  # the manifest's five areas
+        at = r.archive if r.archive.startswith("/") or "://" in r.archive else f"{manifest.rsplit('/', 1)[0]}/{r.archive}"
+        c, p, e = maps.archive(spark, at, r.aoi, (0, 0), (0, 0))
+        layers[r.aoi] = set(c.columns)
+        cells, params = (c, p) if cells is None else (cells.unionByName(c, allowMissingColumns=True), params.unionByName(p))
+        excess = e if excess is None else excess if e is None else excess.unionByName(e)
+    cases = aoi_matrix(missions, vehicles, weather, ablations)
+    fit = [(F.col("aoi") == a) & F.col("navigation_model").isin(["full", *[m for m, layer in ABLATED.items() if layer in have]]) for a, have in layers.items()]
+    cases = cases.filter(reduce(lambda x, y: x | y, fit))
+    own = cases.select("case_id", "aoi", "start", "goal", "wind", "speed_fraction", "visibility_factor", "min_turn_radius_m", "navigation_model")
+    full = own.join(params.drop("start", "goal", "min_turn_radius_m").withColumnRenamed("case_id", "aoi"), "aoi")
+    every = own.select("case_id", "aoi", "navigation_model").join(cells.withColumnRenamed("case_id", "aoi"), "aoi")
+    nav = F.col("nav")
+    for mode, layer in ABLATED.items():
+        if layer in cells.columns:
+            nav = F.when(F.col("navigation_model") == mode, F.col(layer)).otherwise(nav)
+    every = every.withColumn("nav", nav).select("case_id", *[c for c in cells.columns if c not in ("case_id", *ABLATED.values())])
+    if excess is not None:
+        excess = own.select("case_id", "aoi").join(excess.withColumnRenamed("case_id", "aoi"), "aoi").drop("aoi")
+    return cases, apply_weather(every, full), full.select("case_id", *[c for c in params.columns if c != "case_id"], "wind", "speed_fraction", "visibility_factor"), excess
+
+
+def summarised(runs: DataFrame, baseline: str = "time_only") -> DataFrame:
+    """The summary of runs: counters, measures, coverage of each method, and each profile's choice against the baseline's."""
+    solutions = search.routes_of(runs).withColumnRenamed("case_id", "scenario")
+    methods = sorted(r.method for r in runs.select("method").distinct().collect())
+    rows = pareto.summary_rows(solutions, runs.withColumnRenamed("case_id", "scenario").drop("solutions"), OBJECTIVES, methods)
+    names = {"f1": "f1", "f2": "f2", "f3": "f3", "time_premium": "time_premium_vs_time_only", "nav_improvement": "nav_improvement_vs_time_only", "visibility_improvement": "visibility_improvement_vs_time_only"}
+    picks = decision.premiums(solutions, OBJECTIVES, baseline, "route_id")
+    wide = picks.groupBy("scenario", "method").agg(*[F.first(F.when(F.col("profile") == p, F.col(c)), ignorenulls=True).alias(f"{p}_{n}") for p in decision.PROFILES for c, n in names.items()])
+    return rows.join(wide, ["scenario", "method"], "left")
+
+
+def benchmark(cells: DataFrame, params: DataFrame, methods: tuple[str, ...] = tuple(search.METHODS), excess: DataFrame | None = None, measure_memory: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Runs of all cases by all methods, which are written once, and their summary rows."""
+    runs = checkpointed(search.runs(edges.edges(cells, params, excess), params, methods, measure_memory))
+    return runs, summarised(runs)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Numeric columns of summary files.
-NUMERIC = ["runtime_ms", "peak_memory_kib", "n_expanded", "n_generated", "solution_count", "best_f1", "best_f2", "best_f3", "hypervolume", "normalized_hypervolume", "union_front_recall", "additive_epsilon"]
+NUMERIC = ["runtime_ms", "peak_memory_kib", "n_expanded", "n_generated", "solution_count", "best_f1_time_s", "best_f2_nav_deficit_s", "best_f3_visibility_deficit_s", "reference_f1", "reference_f2", "reference_f3", "hypervolume", "normalized_hypervolume", "union_front_recall", "additive_epsilon"]
 
 
 def summary_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +104,22 @@ def union_rows(frames: list[DataFrame]) -> DataFrame:
     return out.select(*sorted(out.columns))
 
 
-def run_json(routes: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, json``: each run as one document with its routes in order."""
-    r = routes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("f1", "f2", "f3", "path"))).alias("solutions"))
-    return r.select(*keys, F.to_json(F.struct(F.lit(True).alias("feasible"), *keys, "solutions")).alias("json"))
+def run_json(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, json``: each run as one document with its routes in order; an infeasible one has none."""
+    s = F.array_sort(F.coalesce("solutions", F.from_json(F.lit("[]"), runs.schema["solutions"].dataType)))
+    rest = [c for c in runs.columns if c not in (*keys, "solutions")]
+    return runs.select(*keys, F.to_json(F.struct(*keys, *rest, s.alias("solutions")), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def manifest(spark: SparkSession, cases: list[dict], methods: tuple[str, ...], profiles: dict) -> DataFrame:
+    """One row ``json``: the versions, methods, weights and cases of a benchmark, with the hash of each case's file."""
+    import json
+    import platform
+
+    held = []
+    for c in cases:
+        source = c.get("source") or ""
+        found = content_hashes(spark, source).first() if source and not source.startswith("synthetic:") else None
+        held.append(c | ({"sha256": found.sha256} if found else {}))
+    text = json.dumps({"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "methods": list(methods), "profiles": profiles, "cases": held}, sort_keys=True)
+    return spark.range(1).select(F.lit(text).alias("json"))

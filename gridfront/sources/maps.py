@@ -101,10 +101,15 @@ def control_map(spark: SparkSession, name: str, seed: int | None = None, case_id
     return cells, spark.createDataFrame([tuple(p.values())], PARAMS)
 
 
-def built_in(spark: SparkSession, names: tuple[str, ...] = BUILT_IN) -> list[tuple[DataFrame, DataFrame]]:
-    """The benchmark's control maps; unknown names are an error."""
+def built_in_names(names: list[str] | tuple[str, ...]) -> None:
+    """An error if a name is not one of the benchmark's control maps."""
     if wrong := set(names) - set(BUILT_IN):
         raise ValueError(f"unknown maps: {', '.join(sorted(wrong))}")
+
+
+def built_in(spark: SparkSession, names: tuple[str, ...] = BUILT_IN) -> list[tuple[DataFrame, DataFrame]]:
+    """The benchmark's control maps; unknown names are an error."""
+    built_in_names(names)
     return [control_map(spark, n) for n in names]
 
 

@@ -1,5 +1,7 @@
 """Layers from pixels, seeded fields and the command line."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from gridfront.__main__ import main
 from gridfront.operators import edges, search
 from gridfront.plans import layers
-from gridfront.sources import fields
+from gridfront.sources import fields, files
 
 
 def pixels(spark, seed, nan=False):
@@ -55,6 +57,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["plan", "foggy_valley", "--out", str(tmp_path / "r")]) == 0
     assert "*" in capsys.readouterr().out
     assert main(["plan", "walled"]) == 1
-    assert main(["benchmark", str(tmp_path / "b"), "--maps", "nfz", "--methods", "exact", "time_only"]) == 0
-    (tmp_path / "s.csv").write_text("scenario,method,feasible,normalized_hypervolume\na,emoa_star,True,1\na,repeated_weighted_astar,True,0.5\n")
-    assert main(["analyze", str(tmp_path / "s.csv")]) == 0
+    assert main(["benchmark", str(tmp_path / "b"), "--maps", "nfz", "walled", "--methods", "exact", "time_only", "--measure-memory"]) == 0
+    rows = files.summary_csv(spark, str(tmp_path / "b/summary")).collect()
+    assert {(r.scenario, r.method): r.feasible for r in rows} == {("nfz", "exact"): True, ("nfz", "time_only"): True, ("walled", "exact"): False, ("walled", "time_only"): False}
+    assert all(r.peak_memory_kib > 0 and r.case_kind == "control" for r in rows)
+    runs = {(r.case_id, r.method): json.loads(r.value) for r in spark.read.text(str(tmp_path / "b/runs")).collect()}
+    assert runs["walled", "exact"]["feasible"] is False and runs["nfz", "exact"]["solutions"][0]["path"]
+    assert {c["name"] for c in json.loads(spark.read.text(str(tmp_path / "b/manifest")).first().value)["cases"]} == {"nfz", "walled"}
+    assert main(["analyze", str(tmp_path / "b/summary"), "--out", str(tmp_path / "a"), "--second", "time_only"]) == 0
+    paired = spark.read.option("header", True).csv(str(tmp_path / "a/paired_tests")).filter("group = 'control' and metric = 'runtime_ms'").first()
+    assert paired.n == "1"
+    with pytest.raises(ValueError, match="unknown maps"):
+        main(["benchmark", str(tmp_path / "c"), "--maps", "nowhere"])

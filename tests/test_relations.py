@@ -201,13 +201,41 @@ def test_campaign(spark):
     few = campaign.matrix(spark, ("nfz", "foggy_valley"), 2)
     cells, params = campaign.synthetic(spark, few)
     assert params.count() == 8 and edges.validate(cells, params).count() == 0
-    found, measures = campaign.benchmark(cells, params)
-    assert measures.count() > 0 and measures.filter("method = 'exact' and union_front_recall < 1").count() == 0
+    found, rows = campaign.benchmark(cells, params)
+    rows = {(r.scenario, r.method): r for r in rows.collect()}
+    assert len(rows) == found.count() == 24
+    for (scenario, method), r in rows.items():
+        assert r.feasible == (r.solution_count > 0) and r.runtime_ms > 0
+        assert method != "exact" or not r.feasible or (r.union_front_recall == 1 and r.balanced_time_premium_vs_time_only >= -1e-9)
+        if rows[scenario, "exact"].feasible and rows[scenario, "time_only"].feasible:
+            assert rows[scenario, "exact"].coverage_of_time_only == 1.0
+    documents = {(r.case_id, r.method): json.loads(r.json) for r in files.run_json(found, ["case_id", "method"]).collect()}
+    assert all(d["feasible"] == bool(d["solutions"]) for d in documents.values())
     assert cells.filter(S.wind_speed(F.col("u"), F.col("v")) > 0.9 * 12 + 1e-9).count() == 0
     c2, p2 = campaign.scaled(*maps.control_map(spark, "nfz"), 2)
     assert c2.count() == 4 * 11 * 17 and p2.first().resolution_m == 5.0
 
 
+def test_real_areas(spark, tmp_path):
+    z = {"dem": np.zeros((3, 4)), "nav_density": np.full((3, 4), 0.5), "visibility": np.ones((3, 4)), "wind_field": np.zeros((3, 4, 2)), "occupancy": np.zeros((3, 4), bool), "resolution_m": 20.0}
+    areas = []
+    for k in range(5):
+        more = {"visual_richness": np.full((3, 4), 0.7)} if k else {}
+        np.savez_compressed(tmp_path / f"a{k}.npz", **z, **more, edge_terrain_excess_m=np.zeros((3, 4, 3, 3)), cruise_altitude_agl_m=10.0)
+        areas.append({"id": f"a{k}", "land_cover": "forest", "archive": f"a{k}.npz", "missions": [{"id": "m0", "start": [0, 0], "goal": [3, 2]}, {"id": "m1", "start": [0, 2], "goal": [3, 0]}]})
+    (tmp_path / "areas.json").write_text(json.dumps({"aois": areas}))
+    cases, cells, params, excess = campaign.real_aoi(spark, str(tmp_path / "areas.json"), ablations=("full", "visual_only", "terrain_only"))
+    names = {r.case_id for r in cases.select("case_id").collect()}
+    # two missions, five weathers, two vehicles; no archive has the terrain layer, the first lacks the visual one
+    assert len(names) == 5 * 20 + 4 * 20 and "real_a1_m0_calm_clear_multirotor_visual_only" in names and "real_a0_m0_calm_clear_multirotor_visual_only" not in names
+    assert params.count() == len(names) and cells.count() == 12 * len(names) and excess.count() == 96 * len(names)
+    one = cells.filter("case_id = 'real_a1_m1_calm_clear_multirotor_visual_only'").first()
+    assert one.nav == 0.7 and params.filter("case_id like 'real_a1_m1%'").first().start.y == 2
+    few = lambda d: d.filter("case_id = 'real_a2_m1_headwind_clear_multirotor_full'")
+    runs, rows = campaign.benchmark(few(cells), few(params), ("exact", "time_only"), few(excess))
+    assert rows.count() == 2 and runs.filter("feasible").count() == 2
+
+
 def test_raster_kernels(spark):
     ramp = spark.range(16).select((F.col("id") % 4).cast("int").alias("px"), F.floor(F.col("id") / 4).cast("int").alias("py"), F.col("id").cast("double").alias("value"))
     g = raster.patch_grid(ramp, 2.0, 1.0, [])
