@@ -101,16 +101,15 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     metrics = [m for m in stats.METRICS if m in rows.columns]
     total = stats.aggregate(rows, ["group", "method"], metrics, "run_id")
     total.orderBy("group", "method").show(100, False)
-    tests = []
-    for metric in ("normalized_hypervolume", "union_front_recall", "runtime_ms"):
-        if metric in metrics:
-            keyed = rows.withColumn("scenario", F.struct("group", "scenario"))
-            diffs = stats.pairs(keyed, metric, a.first, a.second).select("scenario.group", "diff")
-            for group in ("synthetic", "real_aoi", "control"):
-                own = diffs.filter(F.col("group") == group)
-                tests.append(stats.paired_summary(own).join(F.broadcast(stats.wilcoxon(own, ["group"]).select("statistic", "p_value")), how="left").select(F.lit(group).alias("group"), F.lit(metric).alias("metric"), "n", "median_difference", "superiority_rate", "statistic", "p_value", "rank_biserial"))
-    paired = reduce(lambda x, y: x.unionByName(y), tests) if tests else None
-    if paired is not None:
+    tested = [m for m in ("normalized_hypervolume", "union_front_recall", "runtime_ms") if m in metrics]
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in tested]))
+    long = rows.select("group", "method", "feasible", "run_id", F.col("scenario").alias("name"), each) if tested else None
+    paired = None
+    if tested:
+        diffs = stats.pairs(long.select("method", "feasible", "run_id", "value", F.struct("group", "metric", "name").alias("scenario")), "value", a.first, a.second)
+        diffs = diffs.select("scenario.group", "scenario.metric", "diff")
+        keys = ["group", "metric"]
+        paired = stats.paired_summary(diffs, keys).join(stats.wilcoxon(diffs, keys).drop("n", "nonzero"), keys, "left")
         paired.show(100, False)
     if a.out:
         files.write_csv(total, f"{a.out}/aggregate", a.overwrite)

@@ -28,10 +28,11 @@ METRICS = ["normalized_hypervolume", "union_front_recall", "runtime_ms", "peak_m
 def aggregate(rows: DataFrame, keys: list[str], metrics: list[str] = METRICS, order: str | None = None, feasible: str = "feasible") -> DataFrame:
     """``group_quartiles`` with the 95 % interval of each metric's median (``<metric>_ci95_low``, ``_ci95_high``)."""
     out = group_quartiles(rows, keys, metrics, feasible)
-    for m in metrics:
-        ci = bootstrap_median(rows.filter(F.col(feasible) & F.col(m).isNotNull()).select(*keys, m, *([order] if order else [])), keys, m, order=order)
-        out = out.join(ci.withColumnsRenamed({"ci_low": f"{m}_ci95_low", "ci_high": f"{m}_ci95_high"}), keys, "left")
-    return out
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("_metric"), F.col(m).cast("double").alias("_value")) for m in metrics]))
+    long = rows.filter(F.col(feasible)).select(*keys, *([order] if order else []), each).filter("_value is not null")
+    ci = bootstrap_median(long, [*keys, "_metric"], "_value", order=order)
+    ends = [F.first(F.when(F.col("_metric") == m, F.col(f"ci_{e}")), ignorenulls=True).alias(f"{m}_ci95_{e}") for m in metrics for e in ("low", "high")]
+    return out.join(ci.groupBy(*keys).agg(*ends), keys, "left")
 
 
 def bootstrap_median(rows: DataFrame, keys: list[str], metric: str, samples: int = 2000, seed: int = 2026, order: str | None = None) -> DataFrame:
@@ -58,19 +59,21 @@ def pairs(rows: DataFrame, metric: str, first: str, second: str, scenario: str =
     return w.filter("a is not null and b is not null").select(scenario, (F.col("a") - F.col("b")).alias("diff"))
 
 
-def paired_summary(diffs: DataFrame) -> DataFrame:
-    """Count, median difference, superiority rate and rank-biserial effect of a table of differences.
+def paired_summary(diffs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Count, median difference, superiority rate and rank-biserial effect of a table of differences, by group.
 
     Average ranks need how many differences are smaller and how many equal; they come from one
     aggregate of distinct absolute differences and a running sum over it.
     """
-    base = diffs.agg(F.count("*").alias("n"), F.avg((F.col("diff") > 0).cast("double")).alias("superiority_rate"))
-    middle = quantiles(diffs, [], ["diff"], (0.5,)).select(F.col("_diff")[0].alias("median_difference"))
-    base = base.join(F.broadcast(middle), how="left").select("n", "median_difference", "superiority_rate")
-    ties = diffs.filter(F.abs("diff") > 1e-12).groupBy(F.abs("diff").alias("m")).agg(F.count("*").alias("t"), F.sum(F.signum("diff")).alias("s"))
-    ranked = running_total(ties, ["m"], "t", "upto").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
-    effect = ranked.agg((F.sum(F.col("s") * F.col("rank")) / F.sum(F.col("t") * F.col("rank"))).alias("rank_biserial"), F.sum("t").alias("nonzero"))
-    return base.join(F.broadcast(effect))  # one row each
+    keys = keys or []
+    beside = lambda a, b: a.join(b, keys, "left") if keys else a.join(F.broadcast(b), how="left")  # noqa: E731  one row each without keys
+    base = diffs.groupBy(*keys).agg(F.count("diff").alias("n"), F.avg((F.col("diff") > 0).cast("double")).alias("superiority_rate"))
+    middle = quantiles(diffs, keys, ["diff"], (0.5,)).select(*keys, F.col("_diff")[0].alias("median_difference"))
+    ties = diffs.filter(F.abs("diff") > 1e-12).groupBy(*keys, F.abs("diff").alias("m")).agg(F.count("*").alias("t"), F.sum(F.signum("diff")).alias("s"))
+    placed = running_total(ties, [*keys, "m"], "t", "upto")
+    placed = beside(placed, placed.groupBy(*keys).agg(F.min(F.col("upto") - F.col("t")).alias("start"))).withColumn("rank", F.col("upto") - F.col("start") - (F.col("t") - 1) / 2)
+    effect = placed.groupBy(*keys).agg((F.sum(F.col("s") * F.col("rank")) / F.sum(F.col("t") * F.col("rank"))).alias("rank_biserial"), F.sum("t").alias("nonzero"))
+    return beside(beside(base, middle), effect).select(*keys, "n", "median_difference", "superiority_rate", "rank_biserial", "nonzero")
 
 
 def signed_rank_p(n: int, low: float, ties: int, untied: bool) -> float | None:
