@@ -85,12 +85,10 @@ def synthetic(spark: SparkSession, cases: DataFrame, seed: int = 2026) -> tuple[
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    cells = params = None
+    wanted = []
     for r in cases.select("family", "variant").distinct().orderBy("family", "variant").collect():  # maps, not rows
-        key = f"{r.family}:{r.variant}"
-        c, p = maps.control_map(spark, r.family, int(rng.integers(0, 2**31)) if r.family == "terrain" else None, key)
-        c = c.select("case_id", "x", "y", *[F.col(k).cast("double").alias(k) for k in ("dem", "nav", "vis", "u", "v")], "occ")
-        cells, params = (c, p) if cells is None else (cells.unionByName(c), params.unionByName(p))
+        wanted.append((r.family, int(rng.integers(0, 2**31)) if r.family == "terrain" else None, f"{r.family}:{r.variant}"))
+    cells, params = maps.relation(spark, wanted, double=True)
     own = cases.withColumn("_k", F.concat_ws(":", "family", "variant"))
     full = own.drop("min_turn_radius_m").join(params.drop("min_turn_radius_m").withColumnRenamed("case_id", "_k"), "_k").join(own.select("case_id", "min_turn_radius_m"), "case_id").drop("_k")
     every = own.select("case_id", "_k").join(cells.withColumnRenamed("case_id", "_k"), "_k").drop("_k")

@@ -82,23 +82,61 @@ def drawn(name: str, height: int, width: int, seed: int | None) -> dict[str, np.
     return {}
 
 
+#: Start, goal and limits of the maps that differ from the plain ones.
+OWN = {
+    "foggy_valley": {"start": (0, 1), "goal": (4, 1)},
+    "mountain_pass": {"start": (0, 2), "goal": (2, 0), "agl_m": 20.0, "z_max_m": 50.0},
+    "brute": {"start": (0, 0), "goal": (2, 3)},
+    "realistic": {"start": (1, 16), "goal": (26, 1), "v_air_min": 10.0, "v_air_max": 22.0, "z_max_m": 205.0, "agl_m": 55.0, "battery_wh": 18.0, "reserve_wh": 3.0, "power_w": 450.0, "min_turn_radius_m": 10.0, "sites": [(1, 16), (25, 2)]},
+}
+PLAIN = {"dem": 0.0, "nav": 0.9, "vis": 1.0, "u": 0.0, "v": 0.0, "occ": False}
+
+
+def relation(spark: SparkSession, cases: list[tuple[str, int | None, str]], double: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``cells`` and ``params`` of (map, seed, case id) triples: one small table of cases, exploded to cells, and one CASE a layer.
+
+    Layers of single precision are rounded to it; the averaged ones (``nav``, ``vis``) also have its type, unless all
+    are to be ``double``. Maps of both precisions need ``double``.
+    """
+    if wrong := sorted({n for n, _, _ in cases} - set(SIZES)):
+        raise ValueError(f"unknown map {wrong[0]!r}; known: {', '.join(SIZES)}")
+    names = sorted({n for n, _, _ in cases})
+    if len({"nav" in single(n) for n in names}) > 1 and not double:
+        raise ValueError("maps of both precisions")
+    held, rows = [], []
+    for name, seed, case in cases:
+        h, w, res = SIZES[name]
+        layers_ = drawn(name, h, w, seed)
+        held.append((case, name, w, h, *[[float(z) for z in layers_[c].ravel()] if c in layers_ else None for c in PLAIN if c != "occ"]))
+        p = {"case_id": case, "width": w, "height": h, "resolution_m": res, "start": (0, h - 1), "goal": (w - 1, 0), "v_air": 15.0, "v_max": 12.0, "v_air_min": 0.1, "v_air_max": None, "z_max_m": None, "agl_m": None, "clearance_m": None, "battery_wh": None, "reserve_wh": None, "power_w": None, "min_turn_radius_m": None, "sites": None}
+        rows.append(tuple((p | OWN.get(name, {})).values()))
+    arrays = [f"d_{c}" for c in PLAIN if c != "occ"]
+    base = spark.createDataFrame(held, "case_id string, name string, w int, h int, " + ", ".join(f"{d} array<double>" for d in arrays))
+    base = base.select("*", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)).alias("at"))
+    base = base.select("*", (F.col("at") % F.col("w")).alias("x"), F.floor(F.col("at") / F.col("w")).cast("int").alias("y"))
+    own = {n: layers(n) for n in names}
+    columns = {}
+    for c, plain in PLAIN.items():
+        value = F.lit(plain)
+        for n in names:
+            if c in own[n]:
+                value = F.when(F.col("name") == n, own[n][c]).otherwise(value)
+        if c == "occ":
+            columns[c] = value
+            continue
+        value = F.coalesce(F.get(f"d_{c}", F.col("at")), value)
+        coarse = [n for n in names if c in single(n)]
+        rounded = value.cast("float")
+        if c in ("nav", "vis") and coarse and not double:
+            columns[c] = rounded  # all the maps are of single precision here
+        else:
+            columns[c] = F.when(F.col("name").isin(coarse), rounded.cast("double")).otherwise(value) if coarse else value
+    return base.select("case_id", "x", "y", *[v.alias(c) for c, v in columns.items()]), spark.createDataFrame(rows, PARAMS)
+
+
 def control_map(spark: SparkSession, name: str, seed: int | None = None, case_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``cells`` and ``params`` of a named map; layers of single precision have type float."""
-    if name not in SIZES:
-        raise ValueError(f"unknown map {name!r}; known: {', '.join(SIZES)}")
-    h, w, res = SIZES[name]
-    case = case_id or name
-    base = spark.range(h * w).select(F.lit(case).alias("case_id"), (F.col("id") % w).cast("int").alias("x"), F.floor(F.col("id") / w).cast("int").alias("y"))
-    values = {"dem": F.lit(0.0), "nav": F.lit(0.9), "vis": F.lit(1.0), "u": F.lit(0.0), "v": F.lit(0.0), "occ": F.lit(False)} | layers(name)
-    for c, a in drawn(name, h, w, seed).items():
-        values[c] = F.element_at(F.lit([float(z) for z in a.ravel()]), (F.col("y") * w + F.col("x") + 1).cast("int"))
-    kinds = {c: "boolean" if c == "occ" else "float" if c in single(name) else "double" for c in values}
-    # only the averaged layers keep single precision as a type; the others are rounded to it and widened
-    wide = lambda c, v: v.cast(kinds[c]).cast("double") if c in ("dem", "u", "v") else v.cast(kinds[c])
-    cells = base.select("*", *[wide(c, v).alias(c) for c, v in values.items()])
-    p = {"case_id": case, "width": w, "height": h, "resolution_m": res, "start": (0, h - 1), "goal": (w - 1, 0), "v_air": 15.0, "v_max": 12.0, "v_air_min": 0.1, "v_air_max": None, "z_max_m": None, "agl_m": None, "clearance_m": None, "battery_wh": None, "reserve_wh": None, "power_w": None, "min_turn_radius_m": None, "sites": None}
-    p |= {"foggy_valley": {"start": (0, 1), "goal": (4, 1)}, "mountain_pass": {"start": (0, 2), "goal": (2, 0), "agl_m": 20.0, "z_max_m": 50.0}, "brute": {"start": (0, 0), "goal": (2, 3)}, "realistic": {"start": (1, 16), "goal": (26, 1), "v_air_min": 10.0, "v_air_max": 22.0, "z_max_m": 205.0, "agl_m": 55.0, "battery_wh": 18.0, "reserve_wh": 3.0, "power_w": 450.0, "min_turn_radius_m": 10.0, "sites": [(1, 16), (25, 2)]}}.get(name, {})
-    return cells, spark.createDataFrame([tuple(p.values())], PARAMS)
+    return relation(spark, [(name, seed, case_id or name)])
 
 
 def built_in_names(names: list[str] | tuple[str, ...]) -> None:
@@ -115,12 +153,10 @@ def built_in(spark: SparkSession, names: tuple[str, ...] = BUILT_IN) -> list[tup
 
 def many(spark: SparkSession, names: tuple[str, ...]) -> list[tuple[DataFrame, DataFrame]]:
     """The named maps as one relation for each precision of the averaged layers."""
-    groups: dict[str, tuple[DataFrame, DataFrame]] = {}
+    groups: dict[bool, list] = {}
     for name in names:
-        c, p = control_map(spark, name)
-        kind = dict(c.dtypes)["nav"]
-        groups[kind] = (groups[kind][0].unionByName(c), groups[kind][1].unionByName(p)) if kind in groups else (c, p)
-    return list(groups.values())
+        groups.setdefault("nav" in single(name), []).append((name, None, name))
+    return [relation(spark, g) for g in groups.values()]
 
 
 #: Layers that an archive must hold, and those that it may hold beside them, with their columns.
