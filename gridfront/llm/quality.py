@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfront.llm.common import documents, fold, map_steps, quiet_threads
+from gridfront.llm.common import documents, fold, map_steps, quiet_threads, steps
 
 #: Labelled rows that the network's training takes at most.
 SAMPLE = 12_000
@@ -35,6 +35,8 @@ FOLDS = 5
 BUCKETS, DIMS, HIDDEN, NONZERO, REACH = 1 << 14, 48, 24, 4, 2
 FORMS = ("plain", "title", "upper", "number", "mark", "marks", "mixed", "long", "repeat")
 WIDTH = 2 * DIMS + 2
+#: Pairs of neighbours that are counted at once.
+PAIRS = 500_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -135,16 +137,18 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
         quiet_threads()
         tokens, seen = Tokens(), np.zeros(BUCKETS * DIMS)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                buckets, _, starts = tokens(batch.column("text").slice(at, 200).to_pylist())
+            for _, texts in steps(batch):
+                buckets, _, starts = tokens(texts)
                 text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                pairs = []
                 for gap in range(1, REACH + 1):
                     ok = text[gap:] == text[:-gap]
                     left, right = buckets[:-gap][ok], buckets[gap:][ok]
-                    for own, other in ((left, right), (right, left)):
-                        for k in range(0, len(own), 200_000):  # by the few places where an index vector is not 0
-                            who, whom = own[k : k + 200_000], other[k : k + 200_000]
-                            seen += np.bincount((who[:, None] * DIMS + PLACES[whom]).ravel(), WEIGHTS[whom].ravel(), BUCKETS * DIMS)
+                    pairs += [(left, right), (right, left)]
+                own, other = (np.concatenate(x) for x in zip(*pairs))
+                for k in range(0, len(own), PAIRS):  # by the few places where an index vector is not 0
+                    who, whom = own[k : k + PAIRS], other[k : k + PAIRS]
+                    seen += np.bincount((who[:, None] * DIMS + PLACES[whom]).ravel(), WEIGHTS[whom].ravel(), BUCKETS * DIMS)
         seen = seen.reshape(BUCKETS, DIMS)
         rows_ = np.flatnonzero(np.abs(seen).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(rows_.astype(np.int32)), pa.array([seen[k].astype(np.float32).tobytes() for k in rows_], pa.binary())], ["bucket", "vec"])
