@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridfront.functions import scalars as S
 from gridfront.operators import imagery, raster
+from gridfront.operators.paths import checkpointed
+from gridfront.sources import maps
 
 CASE = ["case_id"]
 
@@ -48,6 +50,52 @@ def build(grey: DataFrame, dem: DataFrame, wind: DataFrame, extent: tuple[float,
     return c.select("case_id", "x", "y", "dem", "dem_max", "phi_vis", "phi_ter", "nav", "vis", "u", "v", "occ")
 
 
+def validate_options(battery_wh: float, reserve_wh: float, power_w: float, agl_m: float, clearance_m: float | None, sites: int) -> None:
+    """The energy, clearance and landing options of a planner map."""
+    if battery_wh <= 0:
+        raise ValueError("battery_wh must be positive")
+    if not 0 <= reserve_wh < battery_wh:
+        raise ValueError("reserve_wh must not be negative and be less than battery_wh")
+    if power_w <= 0:
+        raise ValueError("power_w must be positive")
+    if agl_m < 0:
+        raise ValueError("agl_m must not be negative")
+    if clearance_m is not None and not 0 <= clearance_m <= agl_m:
+        raise ValueError("clearance_m must lie between 0 and agl_m")
+    if sites < 1:
+        raise ValueError("there must be a landing site")
+
+
+def planner_map(grey: DataFrame, dem: DataFrame, wind: DataFrame, points: DataFrame, extent: tuple[float, float, float, float], cell_m: float, pixel_m: float, no_fly: list | None = None, low_visibility: list | None = None, zone_visibility: float | None = None, plumes: DataFrame | None = None, sites: int = 10, battery_wh: float = 300.0, reserve_wh: float = 40.0, power_w: float = 450.0, agl_m: float = 120.0, clearance_m: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A runnable map from pixels and mission points: ``cells, params, excess, provenance``.
+
+    ``points`` has ``role, x, y`` (``files.points``) with a start and a goal. Cells keep both sources of the
+    navigation density; ``excess`` is the terrain profile of every edge; landing sites lie along the mission.
+    """
+    if low_visibility and zone_visibility is None:
+        raise ValueError("zones need zone_visibility")
+    if low_visibility is not None and not low_visibility:
+        raise ValueError("there are no zones")
+    validate_options(battery_wh, reserve_wh, power_w, agl_m, clearance_m, sites)
+    ends = {r.role: (r.x, r.y) for r in points.filter(F.col("role").isin("start", "goal")).groupBy("role").agg(F.min_by("x", "id").alias("x"), F.min_by("y", "id").alias("y")).collect()}
+    if missing := {"start", "goal"} - set(ends):
+        raise ValueError(f"the mission points lack {' and '.join(sorted(missing))}")
+    cells = checkpointed(build(grey, dem, wind, extent, cell_m, pixel_m, no_fly, low_visibility, 1.0 if zone_visibility is None else zone_visibility, plumes).withColumnsRenamed({"phi_vis": "visual_richness", "phi_ter": "rugosity"}))
+    size = cells.agg(F.first("case_id").alias("case_id"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
+    xmin, xmax, ymin, ymax = extent
+    clip = lambda v, n: max(0, min(n - 1, int(v)))
+    start, goal = ((clip((x - xmin) * size.w / (xmax - xmin), size.w), clip((ymax - y) * size.h / (ymax - ymin), size.h)) for x, y in (ends["start"], ends["goal"]))
+    k = int(cell_m // pixel_m)
+    fine = raster.patch_grid(dem, cell_m, pixel_m, CASE).select("case_id", F.col("px").alias("x"), F.col("py").alias("y"), "value")
+    excess = raster.edge_profiles(fine, cells.select("case_id", "x", "y", F.col("dem").alias("height")), k, CASE)
+    found = raster.landing_sites(cells, cell_m, start, goal, CASE, sites).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("sites"))
+    row = (size.case_id, size.w, size.h, float(cell_m), start, goal, 15.0, 12.0, 0.1, None, None, agl_m, clearance_m, battery_wh, reserve_wh, power_w, None, None)
+    params = cells.sparkSession.createDataFrame([row], maps.PARAMS).drop("sites").join(F.broadcast(found))  # one row each
+    source = "zones" if low_visibility else "synthetic_smoke" if plumes is not None else "clear"
+    made = cells.sparkSession.createDataFrame([(size.case_id, source, zone_visibility, list(map(float, extent)), sites)], "case_id string, visibility_source string, visibility_zone_value double, extent array<double>, max_landing_sites int")
+    return cells, params, excess, made
+
+
 def previews(pixels: DataFrame, cell_m: float, pixel_m: float, size: int) -> DataFrame:
     """``case_id, cx, cy, preview``: each patch resampled to size by size and stretched to bytes, missing values at the median."""
     p = patches(pixels, cell_m, pixel_m)

@@ -36,6 +36,28 @@ def test_build(spark):
         layers.build(c, c, wind, (0, 1, 0, 1), 10.0, 1.0, low_visibility=zone, plumes=c)
 
 
+def test_planner_map(spark):
+    points = spark.createDataFrame([(0, "start", 3.0, 38.0), (1, "goal", 47.0, 2.0), (2, "other", 1.0, 1.0)], "id long, role string, x double, y double")
+    wind = fields.wind(spark, "m", 4, 5, speed=3.0, direction=240.0)
+    ground = pixels(spark, 2).withColumn("value", F.col("value") / 1000)
+    args = (pixels(spark, 1), ground, wind, points, (0.0, 50.0, 0.0, 40.0), 10.0, 1.0)
+    c, p, excess, made = layers.planner_map(*args, agl_m=20.0, clearance_m=15.0, sites=3)
+    r = p.first()
+    assert (r.start, r.goal, r.width, r.height) == ((0, 0), (4, 3), 5, 4) and 1 <= len(r.sites) <= 3
+    assert excess.count() == 2 * (4 * 4 + 5 * 3 + 2 * 3 * 4) and 0 <= excess.agg(F.max("excess_m")).first()[0] < 1
+    assert {"visual_richness", "rugosity", "dem_max"} <= set(c.columns) and made.first().visibility_source == "clear"
+    assert edges.validate(c, p).count() == 0
+    routes = search.search(edges.edges(c, p, excess), p)
+    assert routes.count() >= 1
+    barred = layers.planner_map(*args, agl_m=20.0, sites=3)  # the whole height is to be kept
+    assert edges.edges(barred[0], barred[1], barred[2]).count() < edges.edges(c, p, excess).count()
+    for wrong, text in (({"battery_wh": 0.0}, "battery"), ({"reserve_wh": 400.0}, "reserve"), ({"clearance_m": 500.0}, "clearance"), ({"sites": 0}, "site"), ({"low_visibility": [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]}, "zone_visibility"), ({"low_visibility": []}, "no zones")):
+        with pytest.raises(ValueError, match=text):
+            layers.planner_map(*args, **wrong)
+    with pytest.raises(ValueError, match="goal"):
+        layers.planner_map(*args[:3], points.filter("role <> 'goal'"), *args[4:])
+
+
 def test_previews(spark):
     got = layers.previews(pixels(spark, 3), 10.0, 1.0, 4).collect()
     assert len(got) == 20 and all(len(r.preview) == 16 and min(r.preview) >= 0 and max(r.preview) <= 255 for r in got)
