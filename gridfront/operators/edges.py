@@ -74,9 +74,17 @@ def edges(cells: DataFrame, params: DataFrame, excess: DataFrame | None = None)
     return e.select("case_id", "x", "y", "dx", "dy", (F.col("x") + dx).alias("x1"), (F.col("y") + dy).alias("y1"), "c1", ((1.0 - F.col("nav")) * F.col("c1")).alias("c2"), ((1.0 - F.col("vis")) * F.col("c1")).alias("c3"))
 
 
-def few(params: DataFrame, most: int = 8 << 20) -> bool:
-    """Whether the parameter table is known to be small enough to send to every task."""
-    return params._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most
+def few(params: DataFrame, most: int = 8 << 20, rows: int = 10_000) -> bool:
+    """Whether the parameter table is small enough to send to every task, by its known size or, for rows made in the session, their number.
+
+    Spark takes such rows for larger than any table and would rather send all cells than them.
+    """
+    plan = params._jdf.queryExecution().optimizedPlan()
+    if plan.stats().sizeInBytes() <= most:
+        return True
+    while plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRDD" and params.limit(rows + 1).count() <= rows
 
 
 def turns(edge_rows: DataFrame, params: DataFrame) -> DataFrame:

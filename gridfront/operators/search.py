@@ -2,7 +2,8 @@
 
 The edge relation comes from Spark; the ordered search itself has no relational form, so each case
 (or case and weight) is one ``applyInPandas`` group over its edges. A group holds one grid's edges
-(at most 8 a cell) beside its labels; cases are independent and spread over the cluster.
+(at most 8 a cell) beside its labels; cases are independent and spread over the cluster. ``fastest``
+holds only the edges around both ends, as far as the result depends on them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfront.functions.scalars import INF, simplex_weights, turn_table
+from gridfront.operators.edges import few
+from gridfront.operators.paths import checkpointed
 
 PATH = "array<struct<x:int,y:int>>"
 #: A run of a method on a case, and a route of one (``search``).
@@ -227,17 +230,35 @@ def repeated_weighted(g: Graph) -> tuple[list, int, int]:
 METHODS = {"exact": exact_front, "time_only": lambda g: best_route(g, (1.0, 0.0, 0.0)), "repeated_weighted": repeated_weighted}
 
 
+def dealt(edges: DataFrame, params: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """The rows of each case and method: its parameters once, without an edge, and its edges, without parameters.
+
+    A union, since a join on a case that is one literal has no key left and would send all edges to the driver.
+    """
+    columns = ["resolution_m", "min_turn_radius_m", "battery_wh", "reserve_wh", "power_w", "sites"]
+    p = params.select("case_id", F.col("start.x").alias("sx"), F.col("start.y").alias("sy"), F.col("goal.x").alias("gx"), F.col("goal.y").alias("gy"), *columns)
+    rows = p.unionByName(edges.select("case_id", "x", "y", "x1", "y1", "c1", "c2", "c3"), allowMissingColumns=True).withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    # dealt out by number, so that small cases are not put together into one task
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "case_id", "method")
+
+
+def led(pdf: pd.DataFrame) -> pd.DataFrame | None:
+    """A group of ``dealt`` led by its parameters; none for edges of a case without parameters."""
+    own = pdf.sx.notna()
+    return pd.concat([pdf[own], pdf[~own]]) if own.any() else None
+
+
 def runs(edges: DataFrame, params: DataFrame, methods: tuple[str, ...] = ("exact",), measure_memory: bool = False) -> DataFrame:
     """``RUNS`` rows: one for every case and method, also where there is no route; one task a case and method.
 
     The time is that of the search alone. ``measure_memory`` runs it once more under an allocation trace.
     """
-    columns = ["resolution_m", "min_turn_radius_m", "battery_wh", "reserve_wh", "power_w", "sites"]
-    p = params.select("case_id", F.col("start.x").alias("sx"), F.col("start.y").alias("sy"), F.col("goal.x").alias("gx"), F.col("goal.y").alias("gy"), *columns)
-    rows = p.join(edges.select("case_id", "x", "y", "x1", "y1", "c1", "c2", "c3"), "case_id", "left").withColumn("method", F.explode(F.array(*map(F.lit, methods))))
     chosen = {m: METHODS[m] for m in methods}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if (pdf := led(pdf)) is None:
+            return pd.DataFrame(columns=RUN_NAMES, dtype=object)
         case, method = pdf.case_id.iloc[0], pdf.method.iloc[0]
         began = time.perf_counter()
         routes, popped, made = chosen[method](Graph(pdf))
@@ -250,9 +271,7 @@ def runs(edges: DataFrame, params: DataFrame, methods: tuple[str, ...] = ("exact
         found = [dict(zip(("f1", "f2", "f3"), c), path=path) for c, path in routes]
         return pd.DataFrame([(case, method, bool(routes), took, popped, made, peak, found)], columns=RUN_NAMES, dtype=object)
 
-    # dealt out by number, so that small cases are not put together into one task
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "case_id", "method").groupBy("case_id", "method").applyInPandas(run, RUNS)
+    return dealt(edges, params, methods).groupBy("case_id", "method").applyInPandas(run, RUNS)
 
 
 def routes_of(runs_: DataFrame) -> DataFrame:
@@ -266,6 +285,85 @@ def search(edges: DataFrame, params: DataFrame, methods: tuple[str, ...] = ("exa
     return routes_of(runs(edges, params, methods))
 
 
+def settled(g: Graph, box: tuple[int, int, int, int], routes: list) -> bool:
+    """Whether no edge that starts beyond ``box`` and the cells around it can change a search for the fastest route.
+
+    The fastest way to the goal from any cell outside ends in edges that start in or next to the box. So if all cells no
+    farther from the goal than the start is lie inside, their costs are those of the whole grid and the search takes no
+    other cell. Cells next to these that have no way to the goal yet must have none outside either.
+    """
+    inside = lambda v: box[0] <= v[0] <= box[2] and box[1] <= v[1] <= box[3]
+
+    def leaves(cells) -> bool:
+        seen, todo = set(cells), list(cells)
+        while todo:
+            v = todo.pop()
+            if not inside(v):
+                return True
+            new = {u for u, _ in g.out[v]} - seen
+            seen |= new
+            todo += new
+        return False
+
+    if g.start == g.goal:
+        return True
+    ahead = g.to_goal(lambda c: c[0])
+    if not routes:
+        return (g.start not in ahead and all(map(inside, ahead))) or not leaves([g.start])
+    most = routes[0][0][0] * (1 + 1e-9) + SLACK
+    near = [v for v, h in ahead.items() if h <= most]
+    return all(map(inside, near)) and not leaves({u for v in near for u, _ in g.out[v] if u not in ahead})
+
+
+def around(margin: int):
+    """The kernel of ``fastest``: a run and whether the edges at hand settle it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if (pdf := led(pdf)) is None:
+            return pd.DataFrame(columns=[*RUN_NAMES, "settled"], dtype=object)
+        g = Graph(pdf)
+        routes, popped, made = best_route(g, (1.0, 0.0, 0.0))
+        (ax, ay), (bx, by) = g.start, g.goal
+        box = (min(ax, bx) - margin, min(ay, by) - margin, max(ax, bx) + margin, max(ay, by) + margin)
+        found = [dict(zip(("f1", "f2", "f3"), c), path=path) for c, path in routes]
+        row = (pdf.case_id.iloc[0], "time_only", bool(routes), None, popped, made, None, found, g.sites is not None or settled(g, box, routes))
+        return pd.DataFrame([row], columns=[*RUN_NAMES, "settled"], dtype=object)
+
+    return run
+
+
+def fastest(edges: DataFrame, params: DataFrame, margin: int = 64) -> DataFrame:
+    """The rows of ``search`` by ``time_only``, from the edges around both ends alone where the others cannot matter.
+
+    A task gets the edges that start at most ``margin`` + 1 cells beyond the rectangle of start and goal. Cases that these
+    do not settle are searched again with four times the margin, in the end with the whole grid. Cases with landing
+    sites take the whole grid at once.
+    """
+    whole = F.col("battery_wh").isNotNull() & F.col("sites").isNotNull()
+    left, found = params, None
+    while True:
+        # long, for margins beyond the whole grid
+        low, high = ([f(F.col(f"start.{c}"), F.col(f"goal.{c}")).cast("long") + by for c in "xy"] for f, by in ((F.least, -margin), (F.greatest, margin)))
+        box = left.select("case_id", whole.alias("whole"), *[c.alias(n) for c, n in zip((*low, *high), ("x_lo", "y_lo", "x_hi", "y_hi"))])
+        near = edges
+        if few(left):
+            # the rows around any case as plain numbers, which Spark applies before it makes edges
+            box = F.broadcast(box)
+            first, last, any_whole = box.agg(F.min("y_lo"), F.max("y_hi"), F.max("whole")).first()
+            if first is not None and not any_whole:
+                near = edges.filter(F.col("y").between(first - 1, last + 1))
+        near = near.join(box, "case_id").filter("whole or x between x_lo - 1 and x_hi + 1 and y between y_lo - 1 and y_hi + 1")
+        r = checkpointed(dealt(near, left, ("time_only",)).groupBy("case_id", "method").applyInPandas(around(margin), f"{RUNS}, settled boolean"))
+        done = routes_of(r.filter("settled"))
+        found = done if found is None else found.union(done)
+        again = r.filter("not settled").select("case_id")
+        if not again.limit(1).count():
+            return found
+        if left is params:
+            edges = checkpointed(edges)
+        left, margin = checkpointed(left.join(again, "case_id", "leftsemi")), 4 * margin
+
+
 def exhaustive_front(g: Graph) -> list[tuple]:
     """Costs of the front over all simple paths; for tiny grids only. No energy rule."""
     costs: list[tuple] = []

@@ -70,6 +70,62 @@ def test_exhaustive_front(spark, seed, turn):
     assert sorted(map(tuple, front_of(pd.DataFrame([c for c, _ in search.exact_front(g)[0]], columns=OBJ)))) == search.exhaustive_front(g)
 
 
+def walled_cases(spark):
+    """Maps of 30 by 30 cells with walls whose only gap lies far from both ends, as cases of several rules and ends."""
+    rng, cells, rows = np.random.default_rng(5), [], []
+    base = dict.fromkeys((f.name for f in spark.createDataFrame([], maps.PARAMS).schema), None) | {"resolution_m": 10.0, "v_air": 15.0, "v_max": 12.0}
+    rules = {
+        "near": {"start": (3, 3), "goal": (9, 4)},
+        "around": {"start": (13, 3), "goal": (16, 3)},
+        "turns": {"start": (13, 3), "goal": (16, 3), "min_turn_radius_m": 8.0},
+        "budget": {"start": (13, 3), "goal": (16, 3), "battery_wh": 0.001, "power_w": 300.0},
+        "charged": {"start": (13, 3), "goal": (16, 3), "battery_wh": 400.0, "power_w": 300.0},
+        "sites": {"start": (13, 3), "goal": (16, 3), "battery_wh": 400.0, "power_w": 300.0, "sites": [(0, 29)]},
+        "same": {"start": (4, 4), "goal": (4, 4)},
+        "closed": {"start": (13, 3), "goal": (16, 3)},
+    }
+    for name, rule in rules.items():
+        dem, u, v, nav = rng.uniform(0, 5, (30, 30)), rng.uniform(-5, 5, (30, 30)), rng.uniform(-5, 5, (30, 30)), rng.uniform(0, 1, (30, 30))
+        occ = rng.random((30, 30)) < 0.1
+        if name != "near":
+            occ[:29, 15] = True  # the gap is in the last row
+        occ[29] = False
+        if name == "closed":
+            occ[29, 15] = True
+        for at in (rule["start"], rule["goal"]):
+            occ[at[1], at[0]] = False
+        cells += [(name, x, y, float(dem[y, x]), float(nav[y, x]), float(nav[x, y]), float(u[y, x]), float(v[y, x]), bool(occ[y, x])) for x in range(30) for y in range(30)]
+        rows.append(tuple((base | {"case_id": name} | rule).values()))
+    c = spark.createDataFrame(cells, "case_id string, x int, y int, dem double, nav double, vis double, u double, v double, occ boolean")
+    return c, spark.createDataFrame(rows, maps.PARAMS)
+
+
+def test_fastest_from_near_edges_is_that_of_the_whole_grid(spark, monkeypatch):
+    c, p = walled_cases(spark)
+    e = edges.edges(c, p).cache()
+    whole = {r.case_id: r for r in search.search(e, p, ("time_only",)).collect()}
+    assert set(whole) == {"near", "around", "turns", "charged", "sites", "same"}
+    assert max(q.y for q in whole["around"].path) == 29 and max(q.y for q in whole["near"].path) < 12
+    rounds = []
+    around = search.around
+    monkeypatch.setattr(search, "around", lambda margin: rounds.append(margin) or around(margin))
+    assert {r.case_id: r for r in search.fastest(e, p, margin=1).collect()} == whole
+    assert rounds[:3] == [1, 4, 16]
+    e.unpersist()
+
+
+def test_grid_route_sends_no_cells_or_edges_to_the_driver(spark):
+    """The case of the part grid is one literal, so joins on it have no key; only the parameters may be broadcast."""
+    sf = "/root/testdata/sf0.001"
+    p = tables.params(spark, turn=None)
+    e = edges.edges(tables.grid(spark, sf), p)
+    for df in (e, search.runs(e, p, ("time_only",))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and "LeftOuter" not in plan and plan.count("BroadcastExchange") == 1
+    got = tables.grid_route(spark, sf).collect()
+    assert got == search.search(e, p.withColumn("start", F.struct(F.lit(1).alias("x"), F.lit(0).alias("y"))).withColumn("battery_wh", F.lit(None).cast("double")), ("time_only",)).collect()
+
+
 def plain(spark, **over):
     """A 3 by 3 map of 10 m cells from corner to corner."""
     c = spark.range(9).select(F.lit("m").alias("case_id"), (F.col("id") % 3).cast("int").alias("x"), F.floor(F.col("id") / 3).cast("int").alias("y"))
