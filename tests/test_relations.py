@@ -126,6 +126,21 @@ def test_grid_route_sends_no_cells_or_edges_to_the_driver(spark):
     assert got == search.search(e, p.withColumn("start", F.struct(F.lit(1).alias("x"), F.lit(0).alias("y"))).withColumn("battery_wh", F.lit(None).cast("double")), ("time_only",)).collect()
 
 
+def test_grid_route_cost_broadcasts_little(spark):
+    """With broadcasts of at most 256 KB, less than the cells or edges of the grid take, the cost is that of its SQL."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256k")
+    try:
+        got = tables.grid_route_cost(spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert [tuple(r) for r in got] == con.execute(tables.SQL["grid_route_cost"]).fetchall()
+
+
 def plain(spark, **over):
     """A 3 by 3 map of 10 m cells from corner to corner."""
     c = spark.range(9).select(F.lit("m").alias("case_id"), (F.col("id") % 3).cast("int").alias("x"), F.floor(F.col("id") / 3).cast("int").alias("y"))
